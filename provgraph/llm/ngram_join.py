@@ -221,6 +221,7 @@ def ngram_jaccard_join(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     wanted = stage.put(regions.select("id").unionByName(regions.select(F.col("pivot").alias("id"))).distinct(), "wanted")
     once = rows.join(wanted, "id", "left_semi").mapInArrow(_sets(width), f"id {kind}, grams binary")
     sets = stage.put(once, "sets")
+    stage.drop("wanted")
     pairs = regions.join(sets, "id").join(sets.select(F.col("id").alias("pivot"), F.col("grams").alias("pivot_grams")), "pivot")
     near = pairs.mapInArrow(_distances, f"id {kind}, pivot {kind}, common long, n long, pivot_n long")
     union = F.col("n") + F.col("pivot_n") - F.col("common")
@@ -228,6 +229,7 @@ def ngram_jaccard_join(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     near = near.distinct().withColumn("linked", den * F.col("common") >= num * union)
     near = stage.put(near.withColumn("ring", F.when(F.col("linked"), 0).otherwise(F.greatest(F.lit(1), F.floor((1 - F.col("common") / union) / radius + 1e-9))).cast("int")), "distances")
 
+    stage.release()
     # a ring and the one inside it: |d(x, pivot) - d(y, pivot)| <= radius for linked x and y
     own = near.where("ring > 0").select("pivot", "ring", "id", F.lit(True).alias("home"))
     inner = near.select("pivot", (F.col("ring") + 1).alias("ring"), "id", F.lit(False).alias("home"))

@@ -8,6 +8,7 @@ none (tests on one machine) is a local one made.
 from __future__ import annotations
 
 import atexit
+import gc
 import tempfile
 import uuid
 
@@ -51,6 +52,16 @@ class Stage:
 
     def drop(self, name: str) -> None:
         remove(self.spark, self.path(name))
+        self.release()
+
+    def release(self) -> None:
+        """Let Spark's cleaner delete the shuffle files of jobs that are over.
+
+        It does so only once the driver has collected its garbage, which on a large job may be long
+        after the files are of any use.
+        """
+        gc.collect()
+        self.spark.sparkContext._jvm.System.gc()
 
     def _end(self) -> None:
         if self.spark.sparkContext._jsc is not None:
