@@ -8,22 +8,27 @@ inequalities, region by region:
 2. *Pivots.* Within a class, linked sets differ in at most D n-grams, D following from the threshold
    and the largest size. The n-gram universe is cut by hash into about 1.25 * (D + 1) parts. Each set
    tries the first D + 1 parts in which it has anything: D differing n-grams cannot spoil all of them,
-   so linked sets have one such part wholly in common. The sets that share a part are a region; the
-   smallest document of it is its pivot.
-3. *Voronoi regions and windows.* The exact distance of every member to its pivot is computed. Members
-   within the threshold radius are linked to it. By the triangle inequality two linked members lie at
-   most the radius apart in distance to the pivot: members fall into rings one radius wide, and each
-   ring's inner neighbour is replicated into it. Members of the innermost ring need no pairs: all are
-   linked to the pivot already.
-4. *Recursion.* A ring of more than ``leaf`` members is cut by hash into blocks and joined block by
-   block, each small cell by itself, with an inverted index; a cell returns a spanning forest of its
-   links, not all pairs.
+   so linked sets have one such part wholly in common. Sets that share a part have distance 0 to each
+   other there; the smallest document among them is the pivot of all, and the Voronoi region of a
+   pivot holds every set that it is the pivot of in some part.
+3. *Recursion.* Within a region of more than ``leaf`` members the same is done again with other parts,
+   up to ``LEVELS`` times: sets that only share a common passage fall apart, near copies do not.
+4. *Windows.* In a region that stays crowded the exact distance of every member to its pivot is computed.
+   Members within the threshold radius are linked to it. By the triangle inequality two linked members
+   lie at most the radius apart in distance to the pivot: members fall into rings one radius wide, and
+   each ring's inner neighbour is replicated into it. Members of the innermost ring need no pairs: all
+   are linked to the pivot already. A ring of more than ``leaf`` members is cut by hash into blocks and
+   joined block by block.
+
+Regions and cells are joined with an inverted index; each returns a spanning forest of its links, not all
+pairs.
 
 Sets that are equal are one class representative from step 2 on, so copies are never expanded.
 """
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -37,8 +42,10 @@ from provgraph.llm.words import SPACED, U, hashes, mix, slices, spans
 
 #: Ratio of the sizes that a size class holds.
 SIZE_RATIO = 1.7
-#: Documents that a cell of a large ring holds of each of its two blocks.
+#: Members up to which a region is joined at once; of larger ones, members that a cell holds of a block.
 LEAF = 512
+#: Times that the members of a crowded region are cut into smaller ones before distances are used.
+LEVELS = 2
 
 
 def shingle_sets(data: np.ndarray, offsets: np.ndarray, width: int) -> list[np.ndarray]:
@@ -79,9 +86,13 @@ def size_classes(n: int, num: int, den: int) -> list[tuple[int, int, int]]:
     return out
 
 
-def region_keys(x: np.ndarray, classes: list[tuple[int, int, int]]) -> np.ndarray:
-    """A hash for each shared part that can make a region; equal parts of equal classes hash alike."""
+def region_keys(x: np.ndarray, classes: list[tuple[int, int, int]], level: int = 0) -> np.ndarray:
+    """A hash for each shared part that can make a region; equal parts of equal classes hash alike.
+
+    ``level``: another one cuts the n-grams into other parts.
+    """
     out = []
+    x = mix(x + np.array([level], dtype=U)) if level else x
     spread = mix(x + U(0x5851F42D4C957F2D))
     for c, differ, parts in classes:
         if not differ:
@@ -117,11 +128,37 @@ def _profile(width: int, num: int, den: int):
     return run
 
 
-def _sets(width: int):
+def _deeper(width: int, num: int, den: int, level: int):
+    """Keys within regions: of each document (id, regions, text) for each of its regions."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch, data, offsets in slices(batches, "text"):
+            owner, out = [], []
+            for k, (x, regions) in enumerate(zip(shingle_sets(data, offsets, width), batch.column(1).to_pylist(), strict=True)):
+                keys = region_keys(x, size_classes(len(x), num, den), level)
+                for r in regions:
+                    out.append(mix(keys + np.array([hash_of(r)], dtype=U)))
+                    owner.append(np.full(len(keys), k))
+            ids = batch.column(0).take(pa.array(np.concatenate(owner) if owner else np.zeros(0, dtype=np.int64)))
+            yield pa.RecordBatch.from_arrays([ids, pa.array((np.concatenate(out) if out else np.zeros(0, dtype=U)).view(np.int64))], ["id", "key"])
+
+    return run
+
+
+def hash_of(value) -> int:
+    return int.from_bytes(hashlib.blake2b(str(value).encode(), digest_size=8).digest(), "little")
+
+
+def _carried(width: int):
+    """The set of each document (id, regions, text), once for each of its regions."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch, data, offsets in slices(batches, "text"):
-            held = pa.array([x.tobytes() for x in shingle_sets(data, offsets, width)], pa.binary())
-            yield pa.RecordBatch.from_arrays([batch.column(0), held], ["id", "grams"])
+            regions = batch.column(1).to_pylist()
+            owner = pa.array(np.repeat(np.arange(len(regions)), [len(r) for r in regions]))
+            grams = pa.array([x.tobytes() for x in shingle_sets(data, offsets, width)], pa.binary())
+            flat = pa.array([p for r in regions for p in r], batch.column(1).type.value_type)
+            yield pa.RecordBatch.from_arrays([flat, batch.column(0).take(owner), grams.take(owner)], ["pivot", "id", "grams"])
 
     return run
 
@@ -138,43 +175,48 @@ def _distances(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([at["id"], at["pivot"], pa.array(common, pa.int64()), pa.array([len(x) // 8 for x in at["grams"].to_pylist()], pa.int64()), pa.array([len(x) // 8 for x in at["pivot_grams"].to_pylist()], pa.int64())], ["id", "pivot", "common", "n", "pivot_n"])
 
 
-def join_cell(ids: list, grams: list[np.ndarray], home: np.ndarray, tried: np.ndarray, num: int, den: int) -> list[tuple]:
-    """A spanning forest of the links in a cell.
+def join_cell(ids: list, grams: list[np.ndarray], home: np.ndarray, block: np.ndarray, label: list, num: int, den: int) -> list[tuple]:
+    """Links in a cell that, with what is known, connect all that is linked in it.
 
-    ``home``: members whose pairs count; pairs without one are another cell's. ``tried``: 0 or 1, the
-    block of a member; a pair of blocks joins across them only, unless there is but one.
+    ``home``: members whose pairs count; pairs without one are another cell's. ``block``: 0 or 1; if
+    both occur, pairs join across them only. ``label``: members of equal label are connected already,
+    so members of the most frequent one need not be tried against each other.
     """
-    order = np.argsort(~home, kind="stable")
-    ids, grams, home, tried = [ids[i] for i in order], [grams[i] for i in order], home[order], tried[order]
     m, sizes = len(ids), np.array([len(g) for g in grams], dtype=np.int64)
-    across = len(set(tried.tolist())) > 1
+    names, root = np.unique(np.array(label, dtype=object).astype(str), return_inverse=True)
+    rows = np.flatnonzero(root != np.bincount(root).argmax())
+    if not len(rows):
+        return []
+    across = len(set(block.tolist())) > 1
     values, at = np.unique(np.concatenate(grams), return_inverse=True)
     owner = np.repeat(np.arange(m), sizes)
     by = np.argsort(at, kind="stable")
     posting, begin = owner[by], np.searchsorted(at[by], np.arange(len(values) + 1))
     place = np.concatenate([[0], np.cumsum(sizes)])
-    root = np.arange(m)
+    up = np.arange(len(names))
     found = []
 
     def top(i: int) -> int:
-        while root[i] != i:
-            root[i] = root[root[i]]
-            i = root[i]
+        while up[i] != i:
+            up[i] = up[up[i]]
+            i = up[i]
         return i
 
-    for i in range(int(home.sum())):
+    for i in rows.tolist():
         mine = at[place[i] : place[i + 1]]
         lo, count = begin[mine], begin[mine + 1] - begin[mine]
         which = np.repeat(lo - np.concatenate([[0], np.cumsum(count)[:-1]]), count) + np.arange(int(count.sum()))
         common = np.bincount(posting[which], minlength=m)
         linked = den * common >= num * (sizes + sizes[i] - common)
-        linked[: i + 1] = False
+        linked[i] = False
+        if not home[i]:
+            linked &= home
         if across:
-            linked &= tried != tried[i]
+            linked &= block != block[i]
         for j in np.flatnonzero(linked).tolist():
-            a, b = top(i), top(j)
+            a, b = top(root[i]), top(root[j])
             if a != b:
-                root[max(a, b)] = min(a, b)
+                up[max(a, b)] = min(a, b)
                 found.append((ids[i], ids[j]))
     return found
 
@@ -183,7 +225,18 @@ def _cells(num: int, den: int):
     def run(table: pa.Table) -> pa.Table:
         ids, block = table.column("id").to_pylist(), np.array(table.column("block").to_pylist())
         grams = [np.frombuffer(x, dtype=U) for x in table.column("grams").to_pylist()]
-        found = join_cell(ids, grams, np.array(table.column("home").to_pylist(), dtype=bool), block, num, den)
+        found = join_cell(ids, grams, np.array(table.column("home").to_pylist(), dtype=bool), block, table.column("label").to_pylist(), num, den)
+        kind = table.schema.field("id").type
+        return pa.table({"a": pa.array([x for x, _ in found], kind), "b": pa.array([x for _, x in found], kind)})
+
+    return run
+
+
+def _small(num: int, den: int):
+    def run(table: pa.Table) -> pa.Table:
+        ids = table.column("id").to_pylist()
+        grams = [np.frombuffer(x, dtype=U) for x in table.column("grams").to_pylist()]
+        found = join_cell(ids, grams, np.ones(len(ids), dtype=bool), np.zeros(len(ids)), ids, num, den)
         kind = table.schema.field("id").type
         return pa.table({"a": pa.array([x for x, _ in found], kind), "b": pa.array([x for _, x in found], kind)})
 
@@ -211,45 +264,72 @@ def ngram_jaccard_join(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     members = filled.select("id", "n_shingles", "sig1", "sig2").join(represents, ["sig1", "sig2", "n_shingles"]).select("id", "n_shingles", "representative")
     members = stage.put(members.unionByName(profile.where("n_shingles = 0 or id is null").select("id", "n_shingles", F.col("id").alias("representative"))), "members")
 
-    tried = filled.select("id", F.explode("keys").alias("key"))
-    pivots = tried.groupBy("key").agg(F.min("id").alias("pivot"), F.max("id").alias("other")).where("pivot <> other").select("key", "pivot")
-    regions = tried.join(pivots, "key").where("id <> pivot").select("id", "pivot").distinct()
+    tried, small, large = filled.select("id", F.explode("keys").alias("key")), None, None
     first = represents.select(F.col("representative").alias("id"))
-    regions = stage.put(regions.join(first, "id"), "regions")  # a copy's regions are its representative's
+    for level in range(LEVELS):
+        pivots = tried.groupBy("key").agg(F.min("id").alias("pivot"), F.max("id").alias("other")).where("pivot <> other").select("key", "pivot")
+        found = tried.join(pivots, "key").where("id <> pivot").select("id", "pivot").distinct()
+        found = stage.put(found.join(first, "id"), f"regions{level}")  # a copy's regions are its representative's
+        if level:
+            stage.drop(f"tried{level}")
+        crowded = found.groupBy("pivot").count().where(F.col("count") > leaf).select("pivot")
+        part = found.join(crowded, "pivot", "left_anti")
+        small = part if small is None else small.unionByName(part)
+        large = found.join(crowded, "pivot", "left_semi")
+        if crowded.isEmpty() or level + 1 == LEVELS:
+            break
+        crowd = rows.join(_by_document(large), "id").select("id", "regions", "text")
+        tried = stage.put(crowd.mapInArrow(_deeper(width, num, den, level + 1), f"id {kind}, key long"), f"tried{level + 1}")
     stage.drop("profile")
 
-    wanted = stage.put(regions.select("id").unionByName(regions.select(F.col("pivot").alias("id"))).distinct(), "wanted")
-    once = rows.join(wanted, "id", "left_semi").mapInArrow(_sets(width), f"id {kind}, grams binary")
-    sets = stage.put(once, "sets")
-    stage.drop("wanted")
-    pairs = regions.join(sets, "id").join(sets.select(F.col("id").alias("pivot"), F.col("grams").alias("pivot_grams")), "pivot")
-    near = pairs.mapInArrow(_distances, f"id {kind}, pivot {kind}, common long, n long, pivot_n long")
-    union = F.col("n") + F.col("pivot_n") - F.col("common")
+    form = f"pivot {kind}, id {kind}, grams binary"
+    carried = lambda regions: rows.join(_by_document(regions), "id").select("id", "regions", "text").mapInArrow(_carried(width), form)
+    whole = carried(small.distinct()).groupBy("pivot").applyInArrow(_small(num, den), f"a {kind}, b {kind}")
+    links = stage.put(whole.distinct(), "links_small")
+    if not crowded.isEmpty():
+        links = links.unionByName(_ringed(stage, stage.put(carried(large), "carried"), links, kind, num, den, leaf))
+    return members, stage.put(links.distinct(), "links"), stage
+
+
+def _by_document(regions: DataFrame) -> DataFrame:
+    """(id, regions): the pivots of the regions of each document, pivots themselves included."""
+    own = regions.select(F.col("pivot").alias("id"), "pivot")
+    return regions.select("id", "pivot").unionByName(own).groupBy("id").agg(F.collect_set("pivot").alias("regions"))
+
+
+def _ringed(stage: Stage, carried: DataFrame, links: DataFrame, kind: str, num: int, den: int, leaf: int) -> DataFrame:
+    """Links within regions of any size: (pivot, id, grams), the pivot among its members.
+
+    What ``links`` and the links to pivots connect is not tried again.
+    """
     radius = (den - num) / den
+    center = carried.where("id = pivot").select("pivot", F.col("grams").alias("pivot_grams"))
+    near = carried.where("id <> pivot").join(center, "pivot").mapInArrow(_distances, f"id {kind}, pivot {kind}, common long, n long, pivot_n long")
+    union = F.col("n") + F.col("pivot_n") - F.col("common")
     near = near.distinct().withColumn("linked", den * F.col("common") >= num * union)
     near = stage.put(near.withColumn("ring", F.when(F.col("linked"), 0).otherwise(F.greatest(F.lit(1), F.floor((1 - F.col("common") / union) / radius + 1e-9))).cast("int")), "distances")
-
-    stage.release()
+    known = links.unionByName(near.where("linked").select(F.col("id").alias("a"), F.col("pivot").alias("b")))
+    labels = stage.put(connected_components(known, "a", "b", stage, "known").withColumnRenamed("node", "id"), "labels")
+    near = stage.put(near.join(labels, "id", "left").withColumn("label", F.coalesce("label", "id")), "labelled")
     # a ring and the one inside it: |d(x, pivot) - d(y, pivot)| <= radius for linked x and y
-    own = near.where("ring > 0").select("pivot", "ring", "id", F.lit(True).alias("home"))
-    inner = near.select("pivot", (F.col("ring") + 1).alias("ring"), "id", F.lit(False).alias("home"))
+    own = near.where("ring > 0").select("pivot", "ring", "id", "label", F.lit(True).alias("home"))
+    inner = near.select("pivot", (F.col("ring") + 1).alias("ring"), "id", "label", F.lit(False).alias("home"))
     rings = near.where("ring > 0").select("pivot", "ring").distinct()
-    sizes = own.unionByName(inner.join(rings, ["pivot", "ring"], "left_semi")).groupBy("pivot", "ring").agg(F.count_if("home").alias("own"), F.count_if(~F.col("home")).alias("inside"))
-    sizes = sizes.where("own + inside > 1").select("pivot", "ring", F.ceil(F.col("own") / leaf).alias("hb"), F.ceil(F.col("inside") / leaf).alias("wb"))
+    sizes = own.unionByName(inner.join(rings, ["pivot", "ring"], "left_semi")).groupBy("pivot", "ring").agg(F.count_if("home").alias("own"), F.count_if(~F.col("home")).alias("inside"), F.min("label").alias("one"), F.max("label").alias("two"))
+    sizes = sizes.where("one <> two").select("pivot", "ring", F.ceil(F.col("own") / leaf).alias("hb"), F.ceil(F.col("inside") / leaf).alias("wb"))
     placed = own.unionByName(inner).join(sizes, ["pivot", "ring"])
     mine = F.pmod(F.xxhash64("id"), F.when(F.col("home"), F.col("hb")).otherwise(F.greatest("wb", F.lit(1)))).alias("mine")
-    placed = placed.select("pivot", "ring", "id", "home", "hb", "wb", mine)
+    placed = placed.select("pivot", "ring", "id", "label", "home", "hb", "wb", mine)
     # cells: home block i by itself; home blocks i < j; home block i and inner block j
     every = F.sequence(F.lit(0), F.col("hb") - 1)
     with_home = F.transform(every, lambda j: F.struct(F.least(F.col("mine"), j).cast("long").alias("i"), F.greatest(F.col("mine"), j).cast("long").alias("j"), F.lit(False).alias("window")))
     with_inner = F.when(F.col("wb") > 0, F.transform(F.sequence(F.lit(0), F.col("wb") - 1), lambda j: F.struct(F.col("mine").cast("long").alias("i"), j.cast("long").alias("j"), F.lit(True).alias("window")))).otherwise(F.array().cast("array<struct<i:bigint,j:bigint,window:boolean>>"))
     from_inner = F.transform(every, lambda i: F.struct(i.cast("long").alias("i"), F.col("mine").cast("long").alias("j"), F.lit(True).alias("window")))
-    cells = placed.select("pivot", "ring", "id", "home", "mine", F.explode(F.when(F.col("home"), F.concat(with_home, with_inner)).otherwise(from_inner)).alias("cell"))
+    cells = placed.select("pivot", "ring", "id", "label", "home", "mine", F.explode(F.when(F.col("home"), F.concat(with_home, with_inner)).otherwise(from_inner)).alias("cell"))
     block = F.when(F.col("cell.window"), F.when(F.col("home"), 0).otherwise(1)).otherwise(F.when(F.col("mine") == F.col("cell.i"), 0).otherwise(1)).alias("block")
-    cells = cells.select("pivot", "ring", F.col("cell.i").alias("i"), F.col("cell.j").alias("j"), F.col("cell.window").alias("window"), "id", "home", block)
-    inside = cells.join(sets, "id").groupBy("pivot", "ring", "i", "j", "window").applyInArrow(_cells(num, den), f"a {kind}, b {kind}")
-    links = near.where("linked").select(F.col("id").alias("a"), F.col("pivot").alias("b")).unionByName(inside)
-    return members, stage.put(links.distinct(), "links"), stage
+    cells = cells.select("pivot", "ring", F.col("cell.i").alias("i"), F.col("cell.j").alias("j"), F.col("cell.window").alias("window"), "id", "label", "home", block)
+    inside = cells.join(carried, ["pivot", "id"]).groupBy("pivot", "ring", "i", "j", "window").applyInArrow(_cells(num, den), f"a {kind}, b {kind}")
+    return near.where("linked").select(F.col("id").alias("a"), F.col("pivot").alias("b")).unionByName(inside)
 
 
 def ngram_jaccard_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 5, num: int = 80, den: int = 100) -> DataFrame:

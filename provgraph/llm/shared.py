@@ -31,6 +31,10 @@ def remove(spark: SparkSession, path: str) -> None:
     target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(target, True)
 
 
+#: Whether Spark deletes shuffle files as soon as the query that wrote them is over.
+CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
 class Stage:
     """Names and writes the staged tables of one operator call.
 
@@ -47,7 +51,12 @@ class Stage:
         return f"{self.root}/{name}"
 
     def put(self, df: DataFrame, name: str) -> DataFrame:
-        df.write.option("compression", "zstd").parquet(self.path(name))
+        before = self.spark.conf.get(CLEANUP, None)
+        self.spark.conf.set(CLEANUP, "true")  # a written table needs none of the shuffles that led to it
+        try:
+            df.write.option("compression", "zstd").parquet(self.path(name))
+        finally:
+            self.spark.conf.unset(CLEANUP) if before is None else self.spark.conf.set(CLEANUP, before)
         return self.spark.read.schema(df.schema).parquet(self.path(name))
 
     def drop(self, name: str) -> None:
