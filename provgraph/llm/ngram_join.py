@@ -11,6 +11,9 @@ inequalities, region by region:
    so linked sets have one such part wholly in common. Sets that share a part have distance 0 to each
    other there; the smallest document among them is the pivot of all, and the Voronoi region of a
    pivot holds every set that it is the pivot of in some part.
+   Before the sets of a region are fetched, members are dropped whose distances to 64 fixed pivots (the
+   parts of the universe by another hash; a set's count in a part moves by at most the differing n-grams
+   there) rule out a link to every other member.
 3. *Recursion.* Within a region of more than ``leaf`` members the same is done again with other parts,
    up to ``LEVELS`` times: sets that only share a common passage fall apart, near copies do not.
 4. *Windows.* In a region that stays crowded the exact distance of every member to its pivot is computed.
@@ -18,7 +21,7 @@ inequalities, region by region:
    lie at most the radius apart in distance to the pivot: members fall into rings one radius wide, and
    each ring's inner neighbour is replicated into it. Members of the innermost ring need no pairs: all
    are linked to the pivot already. A ring of more than ``leaf`` members is cut by hash into blocks and
-   joined block by block.
+   joined block by block, and what links to pivots connect already is not tried again.
 
 Regions and cells are joined with an inverted index; each returns a spanning forest of its links, not all
 pairs.
@@ -44,6 +47,10 @@ from provgraph.llm.words import SPACED, U, hashes, mix, slices, spans
 SIZE_RATIO = 1.7
 #: Members up to which a region is joined at once; of larger ones, members that a cell holds of a block.
 LEAF = 512
+#: Fixed pivots: parts of all n-grams, the distances to which prune a region before its sets are fetched.
+PIVOTS = 64
+#: Documents in regions up to which the list of them is broadcast; a longer one is joined by a shuffle.
+BROADCAST = 500_000
 #: Times that the members of a crowded region are cut into smaller ones before distances are used.
 LEVELS = 2
 
@@ -113,17 +120,18 @@ def _profile(width: int, num: int, den: int):
         known: dict[int, list] = {}
         for batch, data, offsets in slices(batches, "text"):
             sets = shingle_sets(data, offsets, width)
-            keys = []
+            keys, sketches = [], []
             for x in sets:
                 if (n := len(x)) not in known:
                     known[n] = size_classes(n, num, den) if n else []
                 keys.append(region_keys(x, known[n]))
+                sketches.append(np.minimum(np.bincount((x >> U(40)).astype(np.int64) % PIVOTS, minlength=PIVOTS), 255).astype(np.uint8).tobytes())
             ends = np.cumsum([0, *map(len, keys)]).astype(np.int32)
             flat = np.concatenate(keys).view(np.int64) if keys else np.zeros(0, dtype=np.int64)
             sig = [x.view(np.int64) for x in sets]
             one = [int(mix(s.view(U) * U(3)).sum(dtype=U).astype(np.int64)) if len(s) else 0 for s in sig]
             two = [int(mix(s.view(U) ^ U(0x2545F4914F6CDD1D)).sum(dtype=U).astype(np.int64)) if len(s) else 0 for s in sig]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([len(x) for x in sets], pa.int64()), pa.array(one, pa.int64()), pa.array(two, pa.int64()), pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(flat, pa.int64()))], ["id", "n_shingles", "sig1", "sig2", "keys"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([len(x) for x in sets], pa.int64()), pa.array(one, pa.int64()), pa.array(two, pa.int64()), pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(flat, pa.int64())), pa.array(sketches, pa.binary())], ["id", "n_shingles", "sig1", "sig2", "keys", "sketch"])
 
     return run
 
@@ -232,6 +240,23 @@ def _cells(num: int, den: int):
     return run
 
 
+def _plausible(num: int, den: int):
+    """Members of a region that by their distances to the fixed pivots may be linked to another member."""
+
+    def run(table: pa.Table) -> pa.Table:
+        n = np.array(table.column("n_shingles").to_pylist(), dtype=np.int64)
+        held = np.frombuffer(b"".join(table.column("sketch").to_pylist()), dtype=np.uint8).reshape(-1, PIVOTS).astype(np.int16)
+        kept = np.zeros(len(n), dtype=bool)
+        for i in range(len(n) - 1):
+            near = (den + num) * np.abs(held[i + 1 :] - held[i]).sum(axis=1) <= (den - num) * (n[i + 1 :] + n[i])
+            if near.any():
+                kept[i] = True
+                kept[i + 1 :] |= near
+        return table.select(["pivot", "id"]).filter(pa.array(kept))
+
+    return run
+
+
 def _small(num: int, den: int):
     def run(table: pa.Table) -> pa.Table:
         ids = table.column("id").to_pylist()
@@ -258,12 +283,13 @@ def ngram_jaccard_join(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     stage = Stage(spark, "ngram-join")
     rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"))
     kind = rows.schema["id"].dataType.simpleString()
-    profile = stage.put(rows.mapInArrow(_profile(width, num, den), f"id {kind}, n_shingles long, sig1 long, sig2 long, keys array<long>"), "profile")
+    profile = stage.put(rows.mapInArrow(_profile(width, num, den), f"id {kind}, n_shingles long, sig1 long, sig2 long, keys array<long>, sketch binary"), "profile")
     filled = profile.where("n_shingles > 0 and id is not null")
     represents = filled.groupBy("sig1", "sig2", "n_shingles").agg(F.min("id").alias("representative"))
     members = filled.select("id", "n_shingles", "sig1", "sig2").join(represents, ["sig1", "sig2", "n_shingles"]).select("id", "n_shingles", "representative")
     members = stage.put(members.unionByName(profile.where("n_shingles = 0 or id is null").select("id", "n_shingles", F.col("id").alias("representative"))), "members")
 
+    sketches = profile.select("id", "n_shingles", "sketch")
     tried, small, large = filled.select("id", F.explode("keys").alias("key")), None, None
     first = represents.select(F.col("representative").alias("id"))
     for level in range(LEVELS):
@@ -274,27 +300,31 @@ def ngram_jaccard_join(docs: DataFrame, id_col: str = "doc_id", text_col: str =
             stage.drop(f"tried{level}")
         crowded = found.groupBy("pivot").count().where(F.col("count") > leaf).select("pivot")
         part = found.join(crowded, "pivot", "left_anti")
+        part = part.unionByName(part.select(F.col("pivot").alias("id"), "pivot").distinct()).join(sketches, "id")
+        part = part.select("pivot", "id", "n_shingles", "sketch").groupBy("pivot").applyInArrow(_plausible(num, den), f"pivot {kind}, id {kind}")
+        part = stage.put(part.distinct(), f"plausible{level}")
         small = part if small is None else small.unionByName(part)
         large = found.join(crowded, "pivot", "left_semi")
         if crowded.isEmpty() or level + 1 == LEVELS:
             break
-        crowd = rows.join(_by_document(large), "id").select("id", "regions", "text")
+        crowd = rows.join(_by_document(stage, large, f"crowd{level}"), "id").select("id", "regions", "text")
         tried = stage.put(crowd.mapInArrow(_deeper(width, num, den, level + 1), f"id {kind}, key long"), f"tried{level + 1}")
     stage.drop("profile")
 
     form = f"pivot {kind}, id {kind}, grams binary"
-    carried = lambda regions: rows.join(_by_document(regions), "id").select("id", "regions", "text").mapInArrow(_carried(width), form)
-    whole = carried(small.distinct()).groupBy("pivot").applyInArrow(_small(num, den), f"a {kind}, b {kind}")
+    carried = lambda regions, name: rows.join(_by_document(stage, regions, name), "id").select("id", "regions", "text").mapInArrow(_carried(width), form)
+    whole = carried(small.distinct(), "in_small").groupBy("pivot").applyInArrow(_small(num, den), f"a {kind}, b {kind}")
     links = stage.put(whole.distinct(), "links_small")
     if not crowded.isEmpty():
-        links = links.unionByName(_ringed(stage, stage.put(carried(large), "carried"), links, kind, num, den, leaf))
+        links = links.unionByName(_ringed(stage, stage.put(carried(large, "in_large"), "carried"), links, kind, num, den, leaf))
     return members, stage.put(links.distinct(), "links"), stage
 
 
-def _by_document(regions: DataFrame) -> DataFrame:
+def _by_document(stage: Stage, regions: DataFrame, name: str) -> DataFrame:
     """(id, regions): the pivots of the regions of each document, pivots themselves included."""
     own = regions.select(F.col("pivot").alias("id"), "pivot")
-    return regions.select("id", "pivot").unionByName(own).groupBy("id").agg(F.collect_set("pivot").alias("regions"))
+    each = stage.put(regions.select("id", "pivot").unionByName(own).groupBy("id").agg(F.collect_set("pivot").alias("regions")), name)
+    return F.broadcast(each) if each.count() <= BROADCAST else each
 
 
 def _ringed(stage: Stage, carried: DataFrame, links: DataFrame, kind: str, num: int, den: int, leaf: int) -> DataFrame:
