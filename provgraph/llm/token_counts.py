@@ -133,16 +133,6 @@ class TokenCounter:
             self.learn(set(chunks).difference(self.chunks))
             return sum(map(self.chunks.__getitem__, chunks))
 
-    def prepare(self, several: list[str]) -> None:
-        """Learn the chunks of many texts together."""
-        if len(self.chunks) > self.kept:
-            self.chunks.clear()
-        new: set[str] = set()
-        for text in several:
-            if len(text) < 2 * STEP and not self.has_special(text):
-                new.update(_CHUNK.findall(text))
-        self.learn(new.difference(self.chunks))
-
     def has_special(self, text: str) -> bool:
         return self.cut is not None and self.cut.search(text) is not None
 
@@ -153,9 +143,19 @@ class TokenCounter:
         return len(parts) - 1 + sum(map(self.plain, parts))
 
 
+_counters: dict[tuple[str, int], TokenCounter] = {}
+
+
+def counter_of(path: str, kept: int) -> TokenCounter:
+    """This process's counter: workers that run several tasks keep what they have learnt."""
+    if (path, kept) not in _counters:
+        _counters[path, kept] = TokenCounter(path, kept)
+    return _counters[path, kept]
+
+
 def _count(path: str, kept: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counter = TokenCounter(path, kept)
+        counter = counter_of(path, kept)
         for batch, _, offsets in slices(batches, "text", 1 << 20):
             held = texts(batch, "text")
             got, new = [-1] * len(held), []

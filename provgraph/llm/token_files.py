@@ -11,6 +11,7 @@ from __future__ import annotations
 
 import zlib
 from collections.abc import Iterator
+from itertools import islice
 
 import numpy as np
 import public_tokenizers
@@ -27,10 +28,12 @@ from provgraph.llm.words import slices, texts
 BLOCK = 1 << 18
 #: Bytes of text that one partition of the sorted corpus should hold.
 PARTITION_BYTES = 24 << 20
-#: Words kept with their ids; beyond it the table is emptied.
-KEPT = 300_000
+#: Pre-tokens kept with their ids, and half as many words; beyond it the later half of a table goes.
+KEPT = 800_000
 _LENGTHS = (np.arange(256)[:, None] >> np.array([0, 2, 4, 6]) & 3) + 1
 _ODD_SPACE = regex.compile(r"[\x1c-\x1f]")
+# The pre-tokenizer pattern of this kind of vocabulary.
+_PIECE = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\t-\r \x85\xa0  -     　\p{L}\p{N}]+")
 _SPACES = regex.compile(r"[\t-\r \x85\xa0  -     　]+")
 
 
@@ -62,33 +65,97 @@ def unpack(control: bytes, data: bytes, n: int) -> np.ndarray:
 class WordEncoder:
     """Ids of whole texts from a vocabulary whose tokens never reach across white space.
 
-    Words between white space are encoded by the tokenizers library once and kept; a text's ids are
-    its words' ids in order.
+    Words between white space are kept with their ids. New ones are normalized together by the
+    tokenizers library and cut into pre-tokens; new pre-tokens are encoded by the library in one call,
+    as a text, and told apart by the tokens that end one. Words with special strings, and any call whose
+    pieces do not add up, are encoded by the library one by one.
     """
 
     def __init__(self, path: str, kept: int = KEPT):
         self.library, self.kept = Tokenizer.from_file(path), kept
         self.words: dict[str, bytes] = {}
+        self.pieces: dict[str, bytes] = {}
+        self.special = [t.content for t in self.library.get_added_tokens_decoder().values()]
+        size = self.library.get_vocab_size()
+        self.ends = np.array([(self.library.id_to_token(k) or "").endswith("</w>") for k in range(size)])
+
+    def alone(self, word: str) -> bytes:
+        return np.array(self.library.encode(word, add_special_tokens=False).ids, dtype="<u2").tobytes()
+
+    @staticmethod
+    def _room(table: dict, most: int) -> dict:
+        """The table, or if it is full the half that came first, which has the frequent entries."""
+        return dict(islice(table.items(), most // 2)) if len(table) > most else table
+
+    def cut(self, words: list[str]) -> list[list[str]] | None:
+        """The pre-tokens of words without special strings; None if normalizing moves their bounds."""
+        out: list = [None] * len(words)
+        other = []
+        for k, w in enumerate(words):
+            if w.isascii():  # normalizing only lowers it
+                w = w.lower()
+                if w.isalpha():
+                    out[k] = [w]
+                elif w[:-1].isalpha() and not w[-1].isalnum():
+                    out[k] = [w[:-1], w[-1]]
+                else:
+                    out[k] = _PIECE.findall(w)
+            else:
+                other.append(k)
+        if other:
+            formed = self.library.normalizer.normalize_str(" ".join([words[k] for k in other])).split(" ")
+            if len(formed) != len(other):
+                return None
+            for k, w in zip(other, formed, strict=True):
+                out[k] = _PIECE.findall(w)
+        return out
 
     def learn(self, missing: set[str]) -> None:
-        if len(self.words) > self.kept:
-            self.words.clear()
+        self.words, self.pieces = self._room(self.words, self.kept // 2), self._room(self.pieces, self.kept)
         new = list(missing.difference(self.words))
-        for at in range(0, len(new), 4096):
-            part = new[at : at + 4096]
-            found = self.library.encode_batch_fast(part, add_special_tokens=False)
-            self.words.update((w, np.array(e.ids, dtype="<u2").tobytes()) for w, e in zip(part, found, strict=True))
+        together = " ".join(new)
+        odd = [w for w in new if any(x in w for x in self.special)] if any(x in together for x in self.special) else []
+        if odd:
+            self.words.update((w, self.alone(w)) for w in odd)
+            new = list(set(new).difference(odd))
+        cut = self.cut(new)
+        if cut is None:
+            self.words.update((w, self.alone(w)) for w in new)
+            return
+        fresh = list({p for ps in cut for p in ps}.difference(self.pieces))
+        if fresh:
+            # text between white space that is one pre-token stays one; normalizing again changes nothing
+            ids = np.array(self.library.encode_batch_fast([" ".join(fresh)], add_special_tokens=False)[0].ids, dtype=np.int64)
+            stop = np.flatnonzero(self.ends[ids]) + 1
+            if len(stop) == len(fresh):
+                raw, at = ids.astype("<u2").tobytes(), 0
+                for p, e in zip(fresh, (2 * stop).tolist(), strict=True):
+                    self.pieces[p] = raw[at:e]
+                    at = e
+            else:
+                self.pieces.update((p, self.alone(p)) for p in fresh)
+        self.words.update((w, b"".join(map(self.pieces.__getitem__, ps))) for w, ps in zip(new, cut, strict=True))
 
     @staticmethod
     def split(text: str) -> list[str]:
         return text.split() if _ODD_SPACE.search(text) is None else [w for w in _SPACES.split(text) if w]
 
 
+_encoders: dict[tuple[str, int], WordEncoder] = {}
+
+
+def encoder_of(path: str, kept: int) -> WordEncoder:
+    """This process's encoder: workers that run several tasks keep what they have learnt."""
+    if (path, kept) not in _encoders:
+        _encoders[path, kept] = WordEncoder(path, kept)
+    return _encoders[path, kept]
+
+
 def _encode(path: str, kept: int, end: int):
     """Blocks of 16-bit ids, each document's end id with it, and where the block begins in its partition."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder, mark = WordEncoder(path, kept), np.array([end], dtype="<u2").tobytes()
+        encoder, mark = encoder_of(path, kept), np.array([end], dtype="<u2").tobytes()
         ids, held, sizes, count, before, part = [], [], [], 0, 0, None
 
         def block() -> pa.RecordBatch:
@@ -102,7 +169,6 @@ def _encode(path: str, kept: int, end: int):
                 made = [b"".join(map(encoder.words.__getitem__, ws)) for ws in split]
             except KeyError:
                 encoder.learn({w for ws in split for w in ws})
-                encoder.learn({w for ws in split for w in ws})  # all of them, had the table been emptied
                 made = [b"".join(map(encoder.words.__getitem__, ws)) for ws in split]
             for i, tokens in zip(batch.column(0).to_pylist(), made, strict=True):
                 n = len(tokens) // 2 + 1
