@@ -29,7 +29,7 @@ BLOCK = 1 << 18
 #: Bytes of text that one partition of the sorted corpus should hold.
 PARTITION_BYTES = 24 << 20
 #: Pre-tokens kept with their ids, and half as many words; beyond it the later half of a table goes.
-KEPT = 800_000
+KEPT = 1_200_000
 _LENGTHS = (np.arange(256)[:, None] >> np.array([0, 2, 4, 6]) & 3) + 1
 _ODD_SPACE = regex.compile(r"[\x1c-\x1f]")
 # The pre-tokenizer pattern of this kind of vocabulary.
@@ -45,8 +45,13 @@ def pack(ranks: np.ndarray) -> tuple[bytes, bytes]:
     padded[: len(ranks)] = size - 1
     four = padded.reshape(-1, 4)
     control = four[:, 0] | four[:, 1] << 2 | four[:, 2] << 4 | four[:, 3] << 6
-    held = ranks.astype("<u4").view(np.uint8).reshape(-1, 4)
-    return control.tobytes(), held[np.arange(4) < size[:, None]].tobytes()
+    end = np.cumsum(size, dtype=np.int64)
+    begin, out = end - size, np.empty(int(end[-1]) if len(end) else 0, dtype=np.uint8)
+    out[begin] = ranks & np.uint32(255)
+    for k in range(1, int(size.max(initial=0))):
+        more = np.flatnonzero(size > k)
+        out[begin[more] + k] = ranks[more] >> np.uint32(8 * k) & np.uint32(255)
+    return control.tobytes(), out.tobytes()
 
 
 def unpack(control: bytes, data: bytes, n: int) -> np.ndarray:
@@ -113,6 +118,8 @@ class WordEncoder:
     def learn(self, missing: set[str]) -> None:
         self.words, self.pieces = self._room(self.words, self.kept // 2), self._room(self.pieces, self.kept)
         new = list(missing.difference(self.words))
+        if not new:
+            return
         together = " ".join(new)
         odd = [w for w in new if any(x in w for x in self.special)] if any(x in together for x in self.special) else []
         if odd:
@@ -162,14 +169,11 @@ def _encode(path: str, kept: int, end: int):
             made = [pa.array([part], pa.int32()), pa.array([before], pa.int64()), pa.array([count], pa.int64()), pa.array([ids], pa.list_(kind)), pa.array([sizes], pa.list_(pa.int64())), pa.array([b"".join(held)], pa.large_binary()).cast(pa.binary())]
             return pa.RecordBatch.from_arrays(made, ["part", "before", "n", "ids", "sizes", "tokens"])
 
-        for batch, _, _ in slices(batches, "text", 1 << 20):
+        for batch, _, _ in slices(batches, "text", 1 << 21):
             kind, part = batch.column(0).type, batch.column(2)[0].as_py()
             split = [encoder.split(x) for x in texts(batch, "text")]
-            try:
-                made = [b"".join(map(encoder.words.__getitem__, ws)) for ws in split]
-            except KeyError:
-                encoder.learn({w for ws in split for w in ws})
-                made = [b"".join(map(encoder.words.__getitem__, ws)) for ws in split]
+            encoder.learn(set().union(*split))
+            made = [b"".join(map(encoder.words.__getitem__, ws)) for ws in split]
             for i, tokens in zip(batch.column(0).to_pylist(), made, strict=True):
                 n = len(tokens) // 2 + 1
                 if count and count + n > BLOCK:
