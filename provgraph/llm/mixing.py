@@ -37,7 +37,7 @@ def buckets_of(words: Column) -> Column:
 
 def _numbers(values) -> Column:
     """An array of doubles as one literal."""
-    return F.from_json(F.lit(json.dumps([float(v) for v in values])), "array<double>")
+    return F.from_json(F.lit(json.dumps([round(float(v), 4) for v in values])), "array<double>")
 
 
 @dataclass
@@ -86,13 +86,6 @@ def fit_domains(docs: DataFrame, labelled: DataFrame, id_col: str = "doc_id", te
     return DomainModel(domains, prior, np.log(share) - np.log(share).mean(axis=0))
 
 
-def _dot(posterior: Column, v: np.ndarray) -> Column:
-    out = F.lit(0.0)
-    for k, x in enumerate(v):
-        out = out + F.get(posterior, F.lit(k)) * F.lit(float(x))
-    return out
-
-
 @dataclass
 class Rates:
     """Rates as a function of the posterior: the steps of the projected gradient, and what they reach."""
@@ -104,19 +97,26 @@ class Rates:
     totals: np.ndarray
     targets: np.ndarray
 
-    def rate(self, posterior: Column, since: int = 0, begin: Column | None = None) -> Column:
-        out = F.lit(min(max(1.0, self.low), self.high)) if begin is None else begin
-        for v in self.steps[since:]:
-            out = F.greatest(F.lit(self.low), F.least(F.lit(self.high), out - _dot(posterior, v)))
-        return out
+    def rate(self, posterior: Column) -> Column:
+        """The steps as one fold over a literal, so plans and generated code stay small."""
+        begin = F.lit(min(max(1.0, self.low), self.high))
+        if not self.steps:
+            return begin
+        steps = F.from_json(F.lit(json.dumps([[float(x) for x in v] for v in self.steps])), "array<array<double>>")
+
+        def moved(rate, v):
+            along = F.aggregate(F.zip_with(posterior, v, lambda p, x: p * x), F.lit(0.0), lambda s, y: s + y)
+            return F.greatest(F.lit(self.low), F.least(F.lit(self.high), rate - along))
+
+        return F.aggregate(steps, begin, moved)
 
 
-def fit_rates(members: DataFrame, domains: list[str], weights: dict[str, float], budget: float = 1.0, low: float = 0.0, high: float = math.inf, most: int = 25, close: float = 1e-4) -> Rates:
+def fit_rates(members: DataFrame, domains: list[str], weights: dict[str, float], budget: float = 1.0, low: float = 0.0, high: float = math.inf, most: int = 20, close: float = 1e-4) -> Rates:
     """Rates within [low, high] for ``members`` (n_tokens, posterior).
 
     Targets are the weights, brought to sum 1, times ``budget`` times all tokens; a domain without a
     weight has target 0. Every step is one sum over all documents; at most ``most`` steps, fewer once
-    every total is within ``close`` of all tokens or stands still.
+    every total is within ``close`` of all tokens or a step gains less than a fiftieth of what is missing.
     """
     d = len(domains)
     at = lambda k: F.get("posterior", F.lit(k))
@@ -132,7 +132,7 @@ def fit_rates(members: DataFrame, domains: list[str], weights: dict[str, float],
         rate = out.rate(F.col("posterior"))
         out.totals = np.array(members.agg(*(F.coalesce(F.sum(tokens * at(k) * rate), F.lit(0.0)) for k in range(d))).first())
         before, gap = gap, float(np.abs(out.totals - targets).max())
-        if gap <= close * max(total, 1.0) or abs(before - gap) <= 1e-3 * close * max(total, 1.0) or len(out.steps) >= most:
+        if gap <= close * max(total, 1.0) or before - gap <= 0.02 * gap or len(out.steps) >= most:
             return out
         out.steps.append(inverse @ (out.totals - targets))
 
