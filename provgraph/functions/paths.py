@@ -10,6 +10,7 @@ import unicodedata
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 from provgraph.functions.enums import KINDS
 
@@ -57,7 +58,7 @@ def prefixes(path: Column) -> Column:
     return F.concat(F.array(F.lit("")), F.transform(F.sequence(F.lit(1), F.greatest(F.size(parts), F.lit(1))), lambda i: F.array_join(F.slice(parts, 1, i), "/")))
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(StringType())
 def normalized(path: pd.Series) -> pd.Series:
     """NFC, forward slashes, no drive or leading slash, ``.`` dropped and ``..`` resolved."""
 
