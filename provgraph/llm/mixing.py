@@ -167,12 +167,12 @@ def repeat_by_rate(docs: DataFrame, labelled: DataFrame, weights: dict[str, floa
     """Every row of ``docs`` floor(rate) times, and once more with the rest as its chance, by a hash of its id."""
     model = fit_domains(docs, labelled, id_col, text_col)
     stage = Stage(docs.sparkSession, "mixing")
-    narrow = docs.select(F.col(text_col).alias("text"))
-    members = stage.put(memberships(narrow, model).select("n_tokens", "posterior"), "members")
+    # the rows with their posteriors are written once: every step, and the rates, read the columns they need
+    held = docs.select(F.struct(*docs.columns).alias("_row"), F.col(text_col).alias("text"), F.col(id_col).alias("_id"))
+    members = stage.put(memberships(held, model).select("_row", "_id", "n_tokens", "posterior"), "members")
     fit = fit_rates(members, model.domains, weights, budget, low, high)
-    whole = memberships(docs.select(F.struct(*docs.columns).alias("_row"), F.col(text_col).alias("text"), F.col(id_col).alias("_id")), model)
     copies = F.floor(fit.rate(F.col("posterior")) + F.pmod(F.xxhash64("_id", F.lit("mixing")), F.lit(1 << 20)) / (1 << 20)).cast("int")
-    return whole.select("_row", copies.alias("_copies")).where("_copies > 0").select("_row", F.explode(F.sequence(F.lit(1), F.col("_copies")))).select("_row.*")
+    return members.select("_row", copies.alias("_copies")).where("_copies > 0").select("_row", F.explode(F.sequence(F.lit(1), F.col("_copies")))).select("_row.*")
 
 
 def label_domains(labels: DataFrame) -> DataFrame:
