@@ -3,8 +3,9 @@
 A naive Bayes classifier of hashed words, fitted to a labelled table, gives every document a posterior
 over domains. Documents then get nonnegative rates so that the expected domain token totals, sums of
 rate * tokens * posterior, meet targets in the least-squares sense: projected gradient steps, each one
-distributed sum of one number a domain. With G the matrix of sums of tokens * posterior * posterior,
-steps along posterior . G^-1 (totals - targets) reach the targets at once where no bound holds a rate.
+distributed sum of one number a domain. With G the matrix of sums of tokens * posterior * posterior and
+m a fiftieth of its largest eigenvalue, steps go along posterior . (G + m)^-1 (totals - targets); of all
+steps the one with the nearest totals counts.
 """
 
 from __future__ import annotations
@@ -111,12 +112,12 @@ class Rates:
         return F.aggregate(steps, begin, moved)
 
 
-def fit_rates(members: DataFrame, domains: list[str], weights: dict[str, float], budget: float = 1.0, low: float = 0.0, high: float = math.inf, most: int = 20, close: float = 1e-4) -> Rates:
+def fit_rates(members: DataFrame, domains: list[str], weights: dict[str, float], budget: float = 1.0, low: float = 0.0, high: float = math.inf, most: int = 40, close: float = 1e-4) -> Rates:
     """Rates within [low, high] for ``members`` (n_tokens, posterior).
 
     Targets are the weights, brought to sum 1, times ``budget`` times all tokens; a domain without a
     weight has target 0. Every step is one sum over all documents; at most ``most`` steps, fewer once
-    every total is within ``close`` of all tokens or a step gains less than a fiftieth of what is missing.
+    every total is within ``close`` of all tokens or a step lessens the loss by less than a hundredth.
     """
     d = len(domains)
     at = lambda k: F.get("posterior", F.lit(k))
@@ -126,15 +127,19 @@ def fit_rates(members: DataFrame, domains: list[str], weights: dict[str, float],
     want = np.array([max(0.0, weights.get(x, 0.0)) for x in domains])
     targets = want / max(want.sum(), 1e-300) * budget * total
     out = Rates(domains, [], low, high, np.zeros(d), targets)
-    inverse = np.linalg.inv(gram + np.eye(d) * (1e-9 * max(1.0, np.trace(gram) / d)))
-    gap = math.inf
+    inverse = np.linalg.inv(gram + np.eye(d) * max(1e-9, 0.02 * float(np.linalg.eigvalsh(gram)[-1])))
+    best = (math.inf, 0, out.totals)
+    loss = math.inf
     while True:
         rate = out.rate(F.col("posterior"))
         out.totals = np.array(members.agg(*(F.coalesce(F.sum(tokens * at(k) * rate), F.lit(0.0)) for k in range(d))).first())
-        before, gap = gap, float(np.abs(out.totals - targets).max())
-        if gap <= close * max(total, 1.0) or before - gap <= 0.02 * gap or len(out.steps) >= most:
+        error = out.totals - targets
+        best = min(best, (float(np.abs(error).max()), len(out.steps), out.totals), key=lambda b: b[0])
+        before, loss = loss, float(error @ inverse @ error)  # what the steps lessen, also where bounds hold rates
+        if np.abs(error).max() <= close * max(total, 1.0) or before - loss <= 0.01 * loss or len(out.steps) >= most:
+            out.steps, out.totals = out.steps[: best[1]], best[2]  # the nearest totals that a step reached
             return out
-        out.steps.append(inverse @ (out.totals - targets))
+        out.steps.append(inverse @ error)
 
 
 def memberships(docs: DataFrame, model: DomainModel, text_col: str = "text") -> DataFrame:
