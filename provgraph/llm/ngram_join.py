@@ -36,6 +36,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute  # noqa: F401
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -51,6 +52,10 @@ LEAF = 512
 PIVOTS = 64
 #: Documents in regions up to which the list of them is broadcast; a longer one is joined by a shuffle.
 BROADCAST = 500_000
+#: Keys of a bucket, of all documents that share it.
+BUCKET = 2_000_000
+#: Times that a batch of documents may have a key whose documents are gathered in the key's bucket.
+HOT = 256
 #: Times that the members of a crowded region are cut into smaller ones before distances are used.
 LEVELS = 2
 
@@ -126,33 +131,125 @@ def _profile(width: int, num: int, den: int):
                     known[n] = size_classes(n, num, den) if n else []
                 keys.append(region_keys(x, known[n]))
                 sketches.append(np.minimum(np.bincount((x >> U(40)).astype(np.int64) % PIVOTS, minlength=PIVOTS), 255).astype(np.uint8).tobytes())
-            ends = np.cumsum([0, *map(len, keys)]).astype(np.int32)
-            flat = np.concatenate(keys).view(np.int64) if keys else np.zeros(0, dtype=np.int64)
             sig = [x.view(np.int64) for x in sets]
             one = [int(mix(s.view(U) * U(3)).sum(dtype=U).astype(np.int64)) if len(s) else 0 for s in sig]
             two = [int(mix(s.view(U) ^ U(0x2545F4914F6CDD1D)).sum(dtype=U).astype(np.int64)) if len(s) else 0 for s in sig]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([len(x) for x in sets], pa.int64()), pa.array(one, pa.int64()), pa.array(two, pa.int64()), pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(flat, pa.int64())), pa.array(sketches, pa.binary())], ["id", "n_shingles", "sig1", "sig2", "keys", "sketch"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([len(x) for x in sets], pa.int64()), pa.array(one, pa.int64()), pa.array(two, pa.int64()), _lists(keys), pa.array(sketches, pa.binary())], ["id", "n_shingles", "sig1", "sig2", "keys", "sketch"])
 
     return run
 
 
 def _deeper(width: int, num: int, den: int, level: int):
-    """Keys within regions: of each document (id, regions, text) for each of its regions."""
+    """Keys within regions: of each document (id, regions, text) those of all its regions."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch, data, offsets in slices(batches, "text"):
-            owner, out = [], []
-            for k, (x, regions) in enumerate(zip(shingle_sets(data, offsets, width), batch.column(1).to_pylist(), strict=True)):
+            made = []
+            for x, regions in zip(shingle_sets(data, offsets, width), batch.column(1).to_pylist(), strict=True):
                 keys = region_keys(x, size_classes(len(x), num, den), level)
-                for r in regions:
-                    out.append(mix(keys + np.array([hash_of(r)], dtype=U)))
-                    owner.append(np.full(len(keys), k))
-            ids = batch.column(0).take(pa.array(np.concatenate(owner) if owner else np.zeros(0, dtype=np.int64)))
-            yield pa.RecordBatch.from_arrays([ids, pa.array((np.concatenate(out) if out else np.zeros(0, dtype=U)).view(np.int64))], ["id", "key"])
+                made.append(np.concatenate([mix(keys + np.array([hash_of(r)], dtype=U)) for r in regions]))
+            yield pa.RecordBatch.from_arrays([batch.column(0), _lists(made)], ["id", "keys"])
 
     return run
 
 
+def _lists(arrays: list[np.ndarray]) -> pa.Array:
+    flat = np.concatenate(arrays).view(np.int64) if arrays else np.zeros(0, dtype=np.int64)
+    return pa.ListArray.from_arrays(pa.array(np.cumsum([0, *map(len, arrays)]), pa.int32()), pa.array(flat, pa.int64()))
+
+
+def _entries(batch: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray]:
+    """The keys of a batch of (id, keys), and for each the number of its row."""
+    keys = batch.column(1)
+    return np.asarray(keys.flatten()).view(U), np.repeat(np.arange(batch.num_rows), np.asarray(keys.value_lengths().fill_null(0)))
+
+
+def _frequent(keys: np.ndarray) -> np.ndarray:
+    """Sorted keys that stand in a batch more than HOT times."""
+    low = (keys & U((1 << 18) - 1)).astype(np.int64)
+    known, n = np.unique(keys[np.bincount(low, minlength=1)[low] > HOT], return_counts=True)
+    return known[n > HOT]
+
+
+def _deal(buckets: int):
+    """The entries (key, id) of a batch as one row for each bucket of keys, keys packed as bytes.
+
+    Of a key that the batch has more than HOT times only the smallest id stays, and the key is named in
+    ``hot``: the others are joined to its pivot later, so no bucket grows with a frequent key.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            keys, row = _entries(batch)
+            if not len(keys):
+                continue
+            hot = _frequent(keys)
+            if len(hot):
+                rank = np.empty(batch.num_rows, dtype=np.int64)
+                rank[pa.compute.array_sort_indices(batch.column(0)).to_numpy()] = np.arange(batch.num_rows)
+                at = np.minimum(np.searchsorted(hot, keys), len(hot) - 1)
+                is_hot = np.flatnonzero(hot[at] == keys)
+                least = np.full(len(hot), batch.num_rows, dtype=np.int64)
+                np.minimum.at(least, at[is_hot], rank[row[is_hot]])
+                keep = np.ones(len(keys), dtype=bool)
+                keep[is_hot] = rank[row[is_hot]] == least[at[is_hot]]
+                keys, row = keys[keep], row[keep]
+            bucket = (keys % U(buckets)).astype(np.int64)
+            by = np.argsort(bucket, kind="stable")
+            used, first = np.unique(bucket[by], return_index=True)
+            ends = pa.array([*first.tolist(), len(by)], pa.int32())
+            packed = keys[by].tobytes()
+            bounds = [*(8 * first).tolist(), len(packed)]
+            hot_bucket = (hot % U(buckets)).astype(np.int64)
+            named = [hot[hot_bucket == x].tobytes() for x in used.tolist()] if len(hot) else [b""] * len(used)
+            ids = pa.ListArray.from_arrays(ends, batch.column(0).take(pa.array(row[by])))
+            yield pa.RecordBatch.from_arrays([pa.array(used, pa.int64()), pa.array([packed[a:b] for a, b in zip(bounds, bounds[1:])], pa.binary()), ids, pa.array(named, pa.binary())], ["bucket", "packed", "ids", "hot"])
+
+    return run
+
+
+def _meet(table: pa.Table) -> pa.Table:
+    """(id, pivot) of a bucket's entries that share a key, and (key, pivot) of each frequent key."""
+    keys = np.frombuffer(b"".join(table.column("packed").to_pylist()), dtype=U)
+    ids = pa.concat_arrays([x.flatten() for x in table.column("ids").chunks])
+    hot = np.unique(np.frombuffer(b"".join(table.column("hot").to_pylist()), dtype=U))
+    rank = pa.compute.rank(ids, tiebreaker="dense").to_numpy().astype(np.int64)
+    by = np.lexsort((rank, keys))
+    k, r = keys[by], rank[by]
+    begin = np.flatnonzero(np.append(True, k[1:] != k[:-1]))
+    run = np.repeat(np.arange(len(begin)), np.diff(np.append(begin, len(k))))
+    shared = r != r[begin[run]]
+    pairs = np.unique(np.stack([r[shared], r[begin[run]][shared]]), axis=1) if shared.any() else np.zeros((2, 0), dtype=np.int64)
+    place = np.empty(int(rank.max()) + 1, dtype=np.int64)
+    place[rank] = np.arange(len(rank))
+    named = begin[np.isin(k[begin], hot, assume_unique=True)] if len(hot) else np.zeros(0, dtype=np.int64)
+    own, pivot = ids.take(pa.array(place[pairs[0]])), ids.take(pa.array(place[np.concatenate([pairs[1], r[named]])]))
+    key = pa.concat_arrays([pa.nulls(len(own), pa.int64()), pa.array(k[named].view(np.int64), pa.int64())])
+    return pa.table({"id": pa.concat_arrays([own, pa.nulls(len(named), ids.type)]), "pivot": pivot, "key": key})
+
+
+def _held_back(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(key, id) of the frequent keys of each batch; both passes read the same splits of a staged table."""
+    for batch in batches:
+        keys, row = _entries(batch)
+        hot = np.isin(keys, _frequent(keys))
+        if hot.any():
+            yield pa.RecordBatch.from_arrays([pa.array(keys[hot].view(np.int64), pa.int64()), batch.column(0).take(pa.array(row[hot]))], ["key", "id"])
+
+
+def _regions(stage: Stage, tried: DataFrame, name: str, kind: str) -> DataFrame:
+    """(id, pivot): for each key of a document (id, keys) the smallest document that has it, if another.
+
+    One shuffle of packed entries, by buckets of keys whose number grows with them.
+    """
+    total = tried.agg(F.coalesce(F.sum(F.size("keys")), F.lit(0))).first()[0]
+    buckets = max(12, -(-total // BUCKET))
+    dealt = tried.mapInArrow(_deal(buckets), f"bucket long, packed binary, ids array<{kind}>, hot binary")
+    met = stage.put(dealt.groupBy("bucket").applyInArrow(_meet, f"id {kind}, pivot {kind}, key long"), f"{name}-met")
+    back = tried.mapInArrow(_held_back, f"key long, id {kind}").join(met.where("key is not null").select("key", "pivot").distinct(), "key")
+    return met.where("key is null").select("id", "pivot").unionByName(back.where("id <> pivot").select("id", "pivot")).distinct()
+
+
 def hash_of(value) -> int:
     return int.from_bytes(hashlib.blake2b(str(value).encode(), digest_size=8).digest(), "little")
 
@@ -290,11 +387,10 @@ def ngram_jaccard_join(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     members = stage.put(members.unionByName(profile.where("n_shingles = 0 or id is null").select("id", "n_shingles", F.col("id").alias("representative"))), "members")
 
     sketches = profile.select("id", "n_shingles", "sketch")
-    tried, small, large = filled.select("id", F.explode("keys").alias("key")), None, None
+    tried, small, large = filled.select("id", "keys"), None, None
     first = represents.select(F.col("representative").alias("id"))
     for level in range(LEVELS):
-        pivots = tried.groupBy("key").agg(F.min("id").alias("pivot"), F.max("id").alias("other")).where("pivot <> other").select("key", "pivot")
-        found = tried.join(pivots, "key").where("id <> pivot").select("id", "pivot").distinct()
+        found = _regions(stage, tried, f"regions{level}", kind)
         found = stage.put(found.join(first, "id"), f"regions{level}")  # a copy's regions are its representative's
         if level:
             stage.drop(f"tried{level}")
@@ -308,7 +404,7 @@ def ngram_jaccard_join(docs: DataFrame, id_col: str = "doc_id", text_col: str =
         if crowded.isEmpty() or level + 1 == LEVELS:
             break
         crowd = rows.join(_by_document(stage, large, f"crowd{level}"), "id").select("id", "regions", "text")
-        tried = stage.put(crowd.mapInArrow(_deeper(width, num, den, level + 1), f"id {kind}, key long"), f"tried{level + 1}")
+        tried = stage.put(crowd.mapInArrow(_deeper(width, num, den, level + 1), f"id {kind}, keys array<long>"), f"tried{level + 1}")
     stage.drop("profile")
 
     form = f"pivot {kind}, id {kind}, grams binary"

@@ -4,6 +4,8 @@ import random
 import re
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute
 import pytest
 import public_tokenizers as P
 from tokenizers import Tokenizer
@@ -164,3 +166,19 @@ def test_empty_tables(spark, empty):
     assert token_files.token_file_digest(empty, P.path("word_bpe_49k.json")).count() == 0
     assert suffix_tree.score_texts(empty).count() == 0
     assert decontaminate.contaminated_spans(empty, spark.createDataFrame([], "item_id long, text string")).count() == 0
+
+
+@pytest.mark.parametrize("kind", [pa.int64(), pa.string()])
+def test_regions_of_a_frequent_key(kind):
+    """Entries of a key above the limit of a batch come back by the join, and none is lost."""
+    n = ngram_join.HOT + 50
+    ids = pa.array(range(n), pa.int64()).cast(kind)
+    keys = pa.array([[7, 1000 + k // 2] for k in range(n)], pa.list_(pa.int64()))
+    batches = [pa.RecordBatch.from_arrays([ids.slice(a, m), keys.slice(a, m)], ["id", "keys"]) for a, m in ((20, n - 20), (0, 20))]
+    dealt = pa.Table.from_batches(list(ngram_join._deal(3)(iter(batches))))
+    met = pa.concat_tables(ngram_join._meet(dealt.filter(pa.compute.equal(dealt.column("bucket"), b))) for b in range(3)).to_pylist()
+    pivots = {r["key"]: r["pivot"] for r in met if r["key"] is not None}
+    held = pa.Table.from_batches(list(ngram_join._held_back(iter(batches)))).to_pylist()
+    got = {(r["id"], r["pivot"]) for r in met if r["key"] is None} | {(r["id"], pivots[r["key"]]) for r in held if r["id"] != pivots[r["key"]]}
+    names = ids.to_pylist()
+    assert got == {(x, min(names)) for x in names if x != min(names)} | {tuple(sorted(names[k : k + 2], reverse=True)) for k in range(0, n, 2)}
