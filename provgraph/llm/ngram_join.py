@@ -11,7 +11,7 @@ inequalities, region by region:
    so linked sets have one such part wholly in common. Sets that share a part have distance 0 to each
    other there; the smallest document among them is the pivot of all, and the Voronoi region of a
    pivot holds every set that it is the pivot of in some part.
-   Before the sets of a region are fetched, members are dropped whose distances to 64 fixed pivots (the
+   Before the sets of a region are fetched, members are dropped whose distances to 256 fixed pivots (the
    parts of the universe by another hash; a set's count in a part moves by at most the differing n-grams
    there) rule out a link to every other member.
 3. *Recursion.* Within a region of more than ``leaf`` members the same is done again with other parts,
@@ -49,7 +49,7 @@ SIZE_RATIO = 1.7
 #: Members up to which a region is joined at once; of larger ones, members that a cell holds of a block.
 LEAF = 512
 #: Fixed pivots: parts of all n-grams, the distances to which prune a region before its sets are fetched.
-PIVOTS = 64
+PIVOTS = 256
 #: Documents in regions up to which the list of them is broadcast; a longer one is joined by a shuffle.
 BROADCAST = 500_000
 #: Keys of a bucket, of all documents that share it.
