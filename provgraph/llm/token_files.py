@@ -10,8 +10,9 @@ Reading takes each control byte's four lengths from a table of 256 rows and gath
 from __future__ import annotations
 
 import zlib
+from array import array
 from collections.abc import Iterator
-from itertools import islice
+from itertools import accumulate, islice
 
 import numpy as np
 import public_tokenizers
@@ -31,11 +32,17 @@ PARTITION_BYTES = 24 << 20
 #: Pre-tokens kept with their ids, and half as many words; beyond it the later half of a table goes.
 KEPT = 1_200_000
 _LENGTHS = (np.arange(256)[:, None] >> np.array([0, 2, 4, 6]) & 3) + 1
+#: Letters that normalizing only lowers, one for one.
+_LATIN = regex.compile(r"[\x00-\x7f\xc0-\u012f\u0131-\u017f]+")
 _ODD_SPACE = regex.compile(r"[\x1c-\x1f]")
 # The pre-tokenizer pattern of this kind of vocabulary.
 _PIECE = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\t-\r \x85\xa0  -     　\p{L}\p{N}]+")
 _SPACES = regex.compile(r"[\t-\r \x85\xa0  -     　]+")
 
+#: The letter by which such vocabularies spell each byte: itself if it is seen in print, else one from 256 on.
+_SEEN = {*range(33, 127), *range(161, 173), *range(174, 256)}
+_SPELT = {b: b if b in _SEEN else 256 + k for b, k in zip(range(256), accumulate((b not in _SEEN for b in range(256)), initial=0))}
+
 
 def pack(ranks: np.ndarray) -> tuple[bytes, bytes]:
     """(control bytes, data bytes) of ranks below 2**32."""
@@ -70,19 +77,19 @@ def unpack(control: bytes, data: bytes, n: int) -> np.ndarray:
 class WordEncoder:
     """Ids of whole texts from a vocabulary whose tokens never reach across white space.
 
-    Words between white space are kept with their ids. New ones are normalized together by the
-    tokenizers library and cut into pre-tokens; new pre-tokens are encoded by the library in one call,
-    as a text, and told apart by the tokens that end one. Words with special strings, and any call whose
-    pieces do not add up, are encoded by the library one by one.
+    Words between white space are kept with their ids. New ones are normalized (by the tokenizers
+    library where that does more than lower case) and cut into pre-tokens, and each new pre-token goes,
+    byte by byte as the vocabulary spells it, through the library's model. Words with special strings
+    or letters that the library's Unicode tables class otherwise are encoded by the library one by one.
     """
 
     def __init__(self, path: str, kept: int = KEPT):
         self.library, self.kept = Tokenizer.from_file(path), kept
         self.words: dict[str, bytes] = {}
         self.pieces: dict[str, bytes] = {}
+        self.asked: set[str] = set()
+        self.strange: set[str] = set()
         self.special = [t.content for t in self.library.get_added_tokens_decoder().values()]
-        size = self.library.get_vocab_size()
-        self.ends = np.array([(self.library.id_to_token(k) or "").endswith("</w>") for k in range(size)])
 
     def alone(self, word: str) -> bytes:
         return np.array(self.library.encode(word, add_special_tokens=False).ids, dtype="<u2").tobytes()
@@ -92,12 +99,15 @@ class WordEncoder:
         """The table, or if it is full the half that came first, which has the frequent entries."""
         return dict(islice(table.items(), most // 2)) if len(table) > most else table
 
-    def cut(self, words: list[str]) -> list[list[str]] | None:
-        """The pre-tokens of words without special strings; None if normalizing moves their bounds."""
+    def cut(self, words: list[str]) -> list[list[str] | None] | None:
+        """The pre-tokens of words without special strings; None if normalizing moves their bounds.
+
+        None also for a word with letters of which the library has another notion.
+        """
         out: list = [None] * len(words)
         other = []
         for k, w in enumerate(words):
-            if w.isascii():  # normalizing only lowers it
+            if w.isascii() or _LATIN.fullmatch(w):  # normalizing only lowers it
                 w = w.lower()
                 if w.isalpha():
                     out[k] = [w]
@@ -111,10 +121,20 @@ class WordEncoder:
             formed = self.library.normalizer.normalize_str(" ".join([words[k] for k in other])).split(" ")
             if len(formed) != len(other):
                 return None
+            strange = self.strange_of(set("".join(formed)))
             for k, w in zip(other, formed, strict=True):
-                out[k] = _PIECE.findall(w)
+                out[k] = _PIECE.findall(w) if strange.isdisjoint(w) else None
         return out
 
+    def strange_of(self, letters: set[str]) -> set[str]:
+        """Those that the library's Unicode tables put into another class than ours, by asking it once."""
+        for c in letters.difference(self.asked):
+            ours = [m.end() for m in _PIECE.finditer(f"a{c}{c}")]
+            if [e for _, (_, e) in self.library.pre_tokenizer.pre_tokenize_str(f"a{c}{c}")] != ours:
+                self.strange.add(c)
+            self.asked.add(c)
+        return self.strange
+
     def learn(self, missing: set[str]) -> None:
         self.words, self.pieces = self._room(self.words, self.kept // 2), self._room(self.pieces, self.kept)
         new = list(missing.difference(self.words))
@@ -129,20 +149,27 @@ class WordEncoder:
         if cut is None:
             self.words.update((w, self.alone(w)) for w in new)
             return
-        fresh = list({p for ps in cut for p in ps}.difference(self.pieces))
-        if fresh:
-            # text between white space that is one pre-token stays one; normalizing again changes nothing
-            ids = np.array(self.library.encode_batch_fast([" ".join(fresh)], add_special_tokens=False)[0].ids, dtype=np.int64)
-            stop = np.flatnonzero(self.ends[ids]) + 1
-            if len(stop) == len(fresh):
-                raw, at = ids.astype("<u2").tobytes(), 0
-                for p, e in zip(fresh, (2 * stop).tolist(), strict=True):
-                    self.pieces[p] = raw[at:e]
-                    at = e
-            else:
-                self.pieces.update((p, self.alone(p)) for p in fresh)
+        if None in cut:
+            self.words.update((w, self.alone(w)) for w, ps in zip(new, cut, strict=True) if ps is None)
+            new, cut = zip(*[(w, ps) for w, ps in zip(new, cut, strict=True) if ps is not None], strict=True) if any(cut) else ((), ())
+        fresh = {p for ps in cut for p in ps}.difference(self.pieces)
+        model = self.library.model.tokenize
+        for p in fresh:
+            spelt = p if p.isascii() and p.isprintable() else p.encode().decode("latin-1").translate(_SPELT)
+            self.pieces[p] = array("H", [t.id for t in model(spelt)]).tobytes()
         self.words.update((w, b"".join(map(self.pieces.__getitem__, ps))) for w, ps in zip(new, cut, strict=True))
 
+    def encode(self, texts: list[str]) -> list[bytes]:
+        """Ids of each text, two bytes each, low first."""
+        split = [self.split(x) for x in texts]
+        found = [list(map(self.words.get, ws)) for ws in split]
+        partly = [k for k, ids in enumerate(found) if None in ids]
+        if partly:
+            self.learn({w for k in partly for w, ids in zip(split[k], found[k], strict=True) if ids is None})
+            for k in partly:
+                found[k] = [self.words[w] if ids is None else ids for w, ids in zip(split[k], found[k], strict=True)]
+        return list(map(b"".join, found))
+
     @staticmethod
     def split(text: str) -> list[str]:
         return text.split() if _ODD_SPACE.search(text) is None else [w for w in _SPACES.split(text) if w]
@@ -171,10 +198,7 @@ def _encode(path: str, kept: int, end: int):
 
         for batch, _, _ in slices(batches, "text", 1 << 21):
             kind, part = batch.column(0).type, batch.column(2)[0].as_py()
-            split = [encoder.split(x) for x in texts(batch, "text")]
-            encoder.learn(set().union(*split))
-            made = [b"".join(map(encoder.words.__getitem__, ws)) for ws in split]
-            for i, tokens in zip(batch.column(0).to_pylist(), made, strict=True):
+            for i, tokens in zip(batch.column(0).to_pylist(), encoder.encode(texts(batch, "text")), strict=True):
                 n = len(tokens) // 2 + 1
                 if count and count + n > BLOCK:
                     yield block()

@@ -182,3 +182,15 @@ def test_regions_of_a_frequent_key(kind):
     got = {(r["id"], r["pivot"]) for r in met if r["key"] is None} | {(r["id"], pivots[r["key"]]) for r in held if r["id"] != pivots[r["key"]]}
     names = ids.to_pylist()
     assert got == {(x, min(names)) for x in names if x != min(names)} | {tuple(sorted(names[k : k + 2], reverse=True)) for k in range(0, n, 2)}
+
+
+def test_word_encoder_on_odd_letters():
+    """Every class of letter, unassigned ones and control bytes too, against the library on whole texts."""
+    draw = np.random.default_rng(3)
+    odd = np.concatenate([np.arange(1, 384), np.arange(1, 0x3000, 7), np.arange(0x1F300, 0x1F700, 5), np.full(800, 32), np.full(800, 39), np.full(800, 115)])
+    texts = ["".join(map(chr, draw.choice(odd, 60))) for _ in range(1500)]
+    texts += ["we'll \x1cx", "İ ŉ ſ Σίσυφος ΟΔΟΣ", "x́y", "x <|endoftext|>yes", "sL₏ ֌s", ""]
+    encoder = token_files.WordEncoder(P.path("word_bpe_49k.json"), 400)
+    made = encoder.encode(texts)
+    want = encoder.library.encode_batch(texts, add_special_tokens=False)
+    assert [np.frombuffer(x, dtype="<u2").tolist() for x in made] == [e.ids for e in want]
