@@ -428,12 +428,13 @@ def _ringed(stage: Stage, carried: DataFrame, links: DataFrame, kind: str, num:
 
     What ``links`` and the links to pivots connect is not tried again.
     """
-    radius = (den - num) / den
     center = carried.where("id = pivot").select("pivot", F.col("grams").alias("pivot_grams"))
     near = carried.where("id <> pivot").join(center, "pivot").mapInArrow(_distances, f"id {kind}, pivot {kind}, common long, n long, pivot_n long")
     union = F.col("n") + F.col("pivot_n") - F.col("common")
-    near = near.distinct().withColumn("linked", den * F.col("common") >= num * union)
-    near = stage.put(near.withColumn("ring", F.when(F.col("linked"), 0).otherwise(F.greatest(F.lit(1), F.floor((1 - F.col("common") / union) / radius + 1e-9))).cast("int")), "distances")
+    # ring k: distances above k radii, up to k + 1 and that included, in whole numbers; ring 0 is linked to the pivot
+    near = near.distinct().withColumn("apart", den * (union - F.col("common"))).withColumn("radius", (den - num) * union)
+    near = near.withColumn("ring", F.when(F.col("apart") <= F.col("radius"), 0).otherwise(F.expr("(apart - 1) div radius")).cast("int"))
+    near = stage.put(near.drop("apart", "radius").withColumn("linked", F.col("ring") == 0), "distances")
     known = links.unionByName(near.where("linked").select(F.col("id").alias("a"), F.col("pivot").alias("b")))
     labels = stage.put(connected_components(known, "a", "b", stage, "known").withColumnRenamed("node", "id"), "labels")
     near = stage.put(near.join(labels, "id", "left").withColumn("label", F.coalesce("label", "id")), "labelled")

@@ -70,6 +70,37 @@ def test_ngram_join(docs, texts, width, num, leaf, monkeypatch):
         assert 100 * len(sets[r.a] & sets[r.b]) >= num * len(sets[r.a] | sets[r.b])
 
 
+def test_ngram_join_rings_with_exact_ties(spark):
+    """Crowded regions keep links of exactly the threshold, also from a pivot's members to those at two radii."""
+    from provgraph.llm.shared import Stage
+
+    rng = random.Random(8)
+    x = set(range(1, 21))
+    sets = {("tie", 0): x - {1, 2, 3}, ("tie", 1): x, ("tie", 2): x - {4, 5, 6}}
+    for region in range(6):
+        base = list(range(100, 120 + region))
+        for k in range(14):
+            sets[f"r{region}", k] = set(rng.sample(base, rng.randint(14, len(base))))
+    first = {p: f"{p}-00" for p, _ in sets}
+    grams = {f"{p}-{k:02}": (p, np.array(sorted(s), dtype=np.uint64)) for (p, k), s in sets.items()}
+    carried = spark.createDataFrame([(first[p], i, bytearray(g.tobytes())) for i, (p, g) in grams.items()], "pivot string, id string, grams binary")
+    for num in (80, 85):
+        links = ngram_join._ringed(Stage(spark, "ties"), carried, spark.createDataFrame([], "a string, b string"), "string", num, 100, 4).collect()
+        linked = lambda a, b: 100 * len(a & b) >= num * len(a | b)
+        held = {i: set(g.tolist()) for i, (_, g) in grams.items()}
+        assert all(linked(held[r.a], held[r.b]) for r in links)
+        of = lambda pairs: {i: component(i, pairs) for i in held}
+        assert of([(r.a, r.b) for r in links]) == of([(i, j) for i in held for j in held if i < j and grams[i][0] == grams[j][0] and linked(held[i], held[j])])
+
+
+def component(node, pairs):
+    seen, before = {node}, 0
+    while len(seen) > before:
+        before = len(seen)
+        seen |= {x for p in pairs if seen & set(p) for x in p}
+    return min(seen)
+
+
 def test_gif_round_trip_and_rules():
     rng = np.random.default_rng(1)
     for n in (192, 192 * 300, 192 * 7):
