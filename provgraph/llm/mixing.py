@@ -1,16 +1,18 @@
 """Mixing sources to target weights, with soft membership, in DataFrame functions alone.
 
 A naive Bayes classifier of hashed words, fitted to a labelled table, gives every document a posterior
-over domains. Documents then get nonnegative rates so that the expected domain token totals, sums of
-rate * tokens * posterior, meet targets in the least-squares sense: projected gradient steps, each one
-distributed sum of one number a domain. With G the matrix of sums of tokens * posterior * posterior and
-m a fiftieth of its largest eigenvalue, steps go along posterior . (G + m)^-1 (totals - targets); of all
-steps the one with the nearest totals counts.
+over domains. Documents then get rates within bounds so that the expected domain token totals, sums of
+rate * tokens * posterior, meet targets in the least-squares sense, and of such rates nearly those
+closest to 1. Such rates are 1 - posterior . shift, cut to the bounds, with one shift for all documents:
+the minimum of a convex function of as many variables as there are domains, found by Newton's method
+with a line search. A step is one distributed sum of the totals and their slopes and one of the function
+at several lengths of the step.
 """
 
 from __future__ import annotations
 
 import json
+import logging
 import math
 from dataclasses import dataclass
 
@@ -25,6 +27,10 @@ BUCKETS = 4096
 SAMPLE = 20_000
 #: Most domains.
 DOMAINS = 64
+#: First weight of the distance of rates from 1 against that of totals, as shares of all tokens, from targets.
+KEPT = 1e-4
+
+log = logging.getLogger(__name__)
 
 
 def words_of(text: Column) -> Column:
@@ -89,57 +95,84 @@ def fit_domains(docs: DataFrame, labelled: DataFrame, id_col: str = "doc_id", te
 
 @dataclass
 class Rates:
-    """Rates as a function of the posterior: the steps of the projected gradient, and what they reach."""
+    """Rates as a function of the posterior, and the totals that they reach beside their targets."""
 
     domains: list[str]
-    steps: list[np.ndarray]
+    shift: np.ndarray
     low: float
     high: float
     totals: np.ndarray
     targets: np.ndarray
 
     def rate(self, posterior: Column) -> Column:
-        """The steps as one fold over a literal, so plans and generated code stay small."""
-        begin = F.lit(min(max(1.0, self.low), self.high))
-        if not self.steps:
-            return begin
-        steps = F.from_json(F.lit(json.dumps([[float(x) for x in v] for v in self.steps])), "array<array<double>>")
+        return _rate(_along(posterior, self.shift), self.low, self.high)
+
+    def report(self) -> str:
+        """Reached and target totals of each domain."""
+        return ", ".join(f"{x} {t:.1f} of {w:.1f}" for x, t, w in zip(self.domains, self.totals, self.targets, strict=True))
+
+
+def _along(posterior: Column, shift: np.ndarray) -> Column:
+    """posterior . shift, with the shift as a literal, so that plans and generated code stay small."""
+    held = F.from_json(F.lit(json.dumps([float(x) for x in shift])), "array<double>")
+    return F.aggregate(F.zip_with(posterior, held, lambda p, x: p * x), F.lit(0.0), lambda s, y: s + y)
+
+
+def _middle(low: float, high: float) -> float:
+    return min(max(1.0, low), high)
 
-        def moved(rate, v):
-            along = F.aggregate(F.zip_with(posterior, v, lambda p, x: p * x), F.lit(0.0), lambda s, y: s + y)
-            return F.greatest(F.lit(self.low), F.least(F.lit(self.high), rate - along))
 
-        return F.aggregate(steps, begin, moved)
+def _rate(along: Column, low: float, high: float) -> Column:
+    return F.greatest(F.lit(low), F.least(F.lit(high), F.lit(_middle(low, high)) - along))
 
 
-def fit_rates(members: DataFrame, domains: list[str], weights: dict[str, float], budget: float = 1.0, low: float = 0.0, high: float = math.inf, most: int = 40, close: float = 1e-4) -> Rates:
+def fit_rates(members: DataFrame, domains: list[str], weights: dict[str, float], budget: float = 1.0, low: float = 0.0, high: float = math.inf, close: float = 1e-4) -> Rates:
     """Rates within [low, high] for ``members`` (n_tokens, posterior).
 
     Targets are the weights, brought to sum 1, times ``budget`` times all tokens; a domain without a
-    weight has target 0. Every step is one sum over all documents; at most ``most`` steps, fewer once
-    every total is within ``close`` of all tokens or a step lessens the loss by less than a hundredth.
+    weight has target 0. A step is two sums over all documents. There are as many as it takes until
+    every total is within ``close`` of all tokens. Where a minimum is found before, the weight of the
+    distance from 1 goes down to a tenth; if that moves no total by half of ``close``, targets are out of
+    reach and the totals are the nearest ones.
     """
     d = len(domains)
     at = lambda k: F.get("posterior", F.lit(k))
     tokens = F.col("n_tokens").cast("double")
-    first = members.agg(F.coalesce(F.sum(tokens), F.lit(0.0)), *(F.coalesce(F.sum(tokens * at(j) * at(k)), F.lit(0.0)) for j in range(d) for k in range(d))).first()
-    total, gram = first[0], np.array(first[1:]).reshape(d, d)
+    whole = members.agg(F.coalesce(F.sum(tokens), F.lit(0.0))).first()[0]
+    total = max(whole, 1.0)
     want = np.array([max(0.0, weights.get(x, 0.0)) for x in domains])
-    targets = want / max(want.sum(), 1e-300) * budget * total
-    out = Rates(domains, [], low, high, np.zeros(d), targets)
-    inverse = np.linalg.inv(gram + np.eye(d) * max(1e-9, 0.02 * float(np.linalg.eigvalsh(gram)[-1])))
-    best = (math.inf, 0, out.totals)
-    loss = math.inf
+    targets = want / max(want.sum(), 1e-300) * budget * whole
+    out = Rates(domains, np.zeros(d), low, high, np.zeros(d), targets)
+    summed = lambda x: F.coalesce(F.sum(tokens * x), F.lit(0.0))
+    upper = np.triu_indices(d)
+    kept, last = KEPT, None
     while True:
-        rate = out.rate(F.col("posterior"))
-        out.totals = np.array(members.agg(*(F.coalesce(F.sum(tokens * at(k) * rate), F.lit(0.0)) for k in range(d))).first())
-        error = out.totals - targets
-        best = min(best, (float(np.abs(error).max()), len(out.steps), out.totals), key=lambda b: b[0])
-        before, loss = loss, float(error @ inverse @ error)  # what the steps lessen, also where bounds hold rates
-        if np.abs(error).max() <= close * max(total, 1.0) or before - loss <= 0.01 * loss or len(out.steps) >= most:
-            out.steps, out.totals = out.steps[: best[1]], best[2]  # the nearest totals that a step reached
-            return out
-        out.steps.append(inverse @ error)
+        rated = members.select("n_tokens", "posterior", out.rate(F.col("posterior")).alias("rate"))
+        free = ((F.col("rate") > low) & (F.col("rate") < high)).cast("double")
+        found = rated.agg(*(summed(at(k) * F.col("rate")) for k in range(d)), *(summed(at(j) * at(k) * free) for j, k in zip(*(x.tolist() for x in upper), strict=True))).first()
+        out.totals = np.array(found[:d])
+        bend = np.zeros((d, d))
+        bend[upper] = np.array(found[d:]) / total
+        error = (out.totals - targets) / total
+        if np.abs(error).max() <= close:
+            break
+        if np.abs(kept * out.shift - error).max() <= close / 100:
+            if last is not None and np.abs(out.totals - last).max() <= close / 2 * total:
+                break
+            kept, last = kept / 10, out.totals
+        slope = kept * out.shift - error
+        bend = np.maximum(bend, bend.T) + np.eye(d) * kept
+        tried = out.shift - np.array([0.0, *(0.25**k for k in range(15))])[:, None] * np.linalg.solve(bend, slope)
+        held = members.select("n_tokens", *(_along(F.col("posterior"), v).alias(f"u{k}") for k, v in enumerate(tried)))
+        middle = _middle(low, high)
+        least = lambda u: F.pow(_rate(u, low, high) - middle, F.lit(2.0)) / 2 + u * _rate(u, low, high)
+        gained = np.array(held.agg(*(summed(least(F.col(f"u{k}"))) for k in range(len(tried)))).first())
+        loss = kept / 2 * (tried**2).sum(axis=1) - gained / total + tried @ targets / total
+        if loss.argmin() == 0:  # as near as doubles come
+            break
+        out.shift = tried[loss.argmin()]
+    log.info("totals reached: %s", out.report())
+    return out
 
 
 def memberships(docs: DataFrame, model: DomainModel, text_col: str = "text") -> DataFrame:
@@ -156,7 +189,7 @@ def mix_to_targets(docs: DataFrame, labelled: DataFrame, weights: dict[str, floa
 
     Null and empty texts have no tokens, the prior as posterior, and a rate like any other; null ids
     and repeated rows stay. Other columns of ``docs`` are left out. Targets that bounds or too few
-    documents make unreachable are met as nearly as the steps come.
+    documents make unreachable are met as nearly as the bounds allow.
     """
     model = fit_domains(docs, labelled, id_col, text_col)
     stage = Stage(docs.sparkSession, "mixing")

@@ -192,6 +192,26 @@ def test_toxicity_and_mixing(spark):
     assert min(r.rate for r in mixed.collect()) >= 0
 
 
+def test_rates_reach_their_targets(spark):
+    """Posteriors that hardly differ, and a small domain: targets in reach are met, others as nearly as by brute force."""
+    rng = np.random.default_rng(4)
+    first, second = 0.15 + 0.1 * rng.random(3000), 0.05 + 0.02 * rng.random(3000)
+    posterior = np.stack([first, second, 1 - first - second], axis=1)
+    tokens = rng.integers(1, 400, 3000)
+    members = spark.createDataFrame([(int(n), p.tolist()) for n, p in zip(tokens, posterior, strict=True)], "n_tokens long, posterior array<double>").coalesce(1).cache()
+    names = ["a", "b", "c"]
+    fit = mixing.fit_rates(members, names, {"a": 0.235, "b": 0.052, "c": 0.713})
+    got = np.array([r[0] for r in members.select(fit.rate(members.posterior)).collect()])
+    assert got.min() >= 0 and np.allclose((tokens * got) @ posterior, fit.totals)
+    assert np.abs(fit.totals - fit.targets).max() <= 1e-4 * tokens.sum()
+    fit = mixing.fit_rates(members, names, {"a": 0.5, "b": 0.2, "c": 0.3}, 1.0, 0.5, 2.0)
+    rate, w = np.ones(3000), tokens / tokens.sum()
+    for _ in range(60000):
+        rate = np.clip(rate - posterior @ ((w * rate) @ posterior - fit.targets / tokens.sum()), 0.5, 2)
+    error = lambda totals: np.linalg.norm(totals - fit.targets) / tokens.sum()
+    assert 0.01 < error(fit.totals) <= error((tokens * rate) @ posterior) + 1e-4
+
+
 def test_empty_tables(spark, empty):
     assert ngram_join.ngram_jaccard_classes(empty).count() == 0
     assert token_files.token_file_digest(empty, P.path("word_bpe_49k.json")).count() == 0
