@@ -253,8 +253,8 @@ def walk_chain(spark, d):
 
 @query("pipeline_chains")
 def pipeline_chains(spark, d):
-    starts = table(spark, d, "supplier").select(F.explode(F.array(F.concat(F.lit("n:"), F.col("s_nationkey").cast("string")), F.concat(F.lit("s:"), F.col("s_suppkey").cast("string")))).alias("start_id")).distinct()
-    return graph.pipeline_chains(edges(spark, d), starts)
+    found = edges(spark, d)
+    return graph.pipeline_chains(found, found.select(F.col("source_id").alias("start_id")).distinct())
 
 
 def texts(spark, d) -> DataFrame:

@@ -61,3 +61,8 @@ def test_same_rows_as_sql(spark, name):
     assert order == sorted(rel.columns)
     rows = lambda rs, cs: sorted(repr([r[cs.index(c)] for c in order]) for r in rs)
     assert rows([tuple(r) for r in df.collect()], df.columns) == rows(rel.fetchall(), rel.columns)
+
+
+def test_chains_start_at_every_source(spark):
+    starts = {r.start_id[:2] for r in registry.QUERIES["pipeline_chains"](spark, DATA).select("start_id").distinct().collect()}
+    assert "p:" in starts
