@@ -1,32 +1,33 @@
 """Exact Jaccard join of documents on sets of word n-grams, as a metric-space join.
 
 Jaccard distance and symmetric difference are metrics, and the join is built from their triangle
-inequalities, region by region:
-
-1. *Size.* The distance to the empty set is a set's size, so linked sets have close sizes. Sizes fall
-   into geometric classes; a set near the upper end of its class is replicated into the next one.
-2. *Pivots.* Within a class, linked sets differ in at most D n-grams, D following from the threshold
-   and the largest size. The n-gram universe is cut by hash into about 1.25 * (D + 1) parts. Each set
-   tries the first D + 1 parts in which it has anything: D differing n-grams cannot spoil all of them,
-   so linked sets have one such part wholly in common. Sets that share a part have distance 0 to each
-   other there; the smallest document among them is the pivot of all, and the Voronoi region of a
-   pivot holds every set that it is the pivot of in some part.
-   Before the sets of a region are fetched, members are dropped whose distances to 256 fixed pivots (the
-   parts of the universe by another hash; a set's count in a part moves by at most the differing n-grams
-   there) rule out a link to every other member.
-3. *Recursion.* Within a region of more than ``leaf`` members the same is done again with other parts,
-   up to ``LEVELS`` times: sets that only share a common passage fall apart, near copies do not.
-4. *Windows.* In a region that stays crowded the exact distance of every member to its pivot is computed.
-   Members within the threshold radius are linked to it. By the triangle inequality two linked members
-   lie at most the radius apart in distance to the pivot: members fall into rings one radius wide, and
-   each ring's inner neighbour is replicated into it. Members of the innermost ring need no pairs: all
-   are linked to the pivot already. A ring of more than ``leaf`` members is cut by hash into blocks and
-   joined block by block, and what links to pivots connect already is not tried again.
-
-Regions and cells are joined with an inverted index; each returns a spanning forest of its links, not all
-pairs.
-
-Sets that are equal are one class representative from step 2 on, so copies are never expanded.
+inequalities. ``radius`` is 1 - threshold; linked sets lie at most a radius apart.
+
+1. *Candidate regions.* The distance to the empty set is a set's size, so linked sets have close sizes:
+   sizes fall into geometric classes, and a set near the upper end of its class is replicated into the
+   next one. Within a class linked sets differ in at most D n-grams. The n-gram universe is cut by hash
+   into about 1.25 * (D + 1) parts; each set tries the first D + 1 parts in which it has anything, and
+   D differing n-grams cannot spoil all of them, so linked sets have one such part wholly in common.
+   The smallest document with the same part is the pivot of all that have it; a candidate region is
+   what has one pivot. A region of more than ``leaf`` members is cut again by other parts, for as long
+   as that makes it smaller: sets that only share a common passage fall apart, near copies do not.
+2. *Groups.* Members whose distances to 256 fixed pivots (counts in the parts of the universe by another
+   hash, which a differing n-gram moves by one at most) do not rule out a link are tied together; what
+   is tied makes a group, and no link leaves a group. So each set is fetched once, with its group.
+3. *Voronoi regions.* Pivots are drawn from the members of a group; each member belongs to the region of
+   its nearest pivot by exact Jaccard distance, and is replicated into the region of every pivot that
+   is farther by no more than two radii: linked members x, y have d(y, p) <= d(x, p) + radius for x's
+   pivot p, and so d(y, p) <= d(y, own pivot) + 2 radii. Members within the radius are linked to their
+   pivot at once. Regions join *recursively*, by pivots of their own, until few members are left, which
+   are joined with an inverted index; members that are connected already are not tried again.
+4. *Large groups* of more than ``leaf`` members take the first such step distributed, chunk by chunk
+   against the group's pivots. Members whose nearest pivot is too far for the windows to tell anything
+   meet in a region of their own, with all that may reach them. A region that stays large falls into
+   rings one radius wide around its pivot, each with its inner neighbour replicated into it, cut by
+   hash into blocks that join block by block.
+
+Each region returns a spanning forest of its links, not all pairs. Sets that are equal are one class
+representative from step 1 on, so copies are never expanded.
 """
 
 from __future__ import annotations
@@ -46,18 +47,22 @@ from provgraph.llm.words import SPACED, U, hashes, mix, slices, spans
 
 #: Ratio of the sizes that a size class holds.
 SIZE_RATIO = 1.7
-#: Members up to which a region is joined at once; of larger ones, members that a cell holds of a block.
+#: Members up to which a group is joined in one task; of larger regions, members that a cell holds of a block.
 LEAF = 512
-#: Fixed pivots: parts of all n-grams, the distances to which prune a region before its sets are fetched.
+#: Members up to which a Voronoi region is joined without pivots of its own.
+FEW = 8
+#: Pivots that a large group is cut by.
+CUT = 48
+#: Fixed pivots: parts of all n-grams, the distances to which rule out links before sets are fetched.
 PIVOTS = 256
-#: Documents in regions up to which the list of them is broadcast; a longer one is joined by a shuffle.
-BROADCAST = 500_000
-#: Keys of a bucket, of all documents that share it.
-BUCKET = 2_000_000
-#: Times that a batch of documents may have a key whose documents are gathered in the key's bucket.
-HOT = 256
-#: Times that the members of a crowded region are cut into smaller ones before distances are used.
-LEVELS = 2
+#: Entries (document, region) up to which a list of documents is broadcast; a longer one is joined by a shuffle.
+BROADCAST = 1_000_000
+#: Keys of a bucket, of all documents that share it; entries that a task deals out at once.
+BUCKET = 500_000
+#: Times that entries dealt out at once may have a key whose documents are gathered in the key's bucket.
+HOT = 64
+#: Part of a region that must go for it to be cut once more by other parts.
+SHRINKS = 0.2
 
 
 def shingle_sets(data: np.ndarray, offsets: np.ndarray, width: int) -> list[np.ndarray]:
@@ -158,52 +163,58 @@ def _lists(arrays: list[np.ndarray]) -> pa.Array:
     return pa.ListArray.from_arrays(pa.array(np.cumsum([0, *map(len, arrays)]), pa.int32()), pa.array(flat, pa.int64()))
 
 
-def _entries(batch: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray]:
-    """The keys of a batch of (id, keys), and for each the number of its row."""
-    keys = batch.column(1)
-    return np.asarray(keys.flatten()).view(U), np.repeat(np.arange(batch.num_rows), np.asarray(keys.value_lengths().fill_null(0)))
+def _gathered(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[np.ndarray, pa.Array]]:
+    """Keys and their ids, from rows (id, keys), about BUCKET at once."""
+    keys, ids, held = [], [], 0
+    for batch in batches:
+        at = batch.column(1)
+        own = np.repeat(np.arange(batch.num_rows), np.asarray(at.value_lengths().fill_null(0)))
+        keys.append(np.asarray(at.flatten()).view(U))
+        ids.append(batch.column(0).take(pa.array(own)))
+        held += len(own)
+        if held >= BUCKET:
+            yield np.concatenate(keys), pa.concat_arrays(ids)
+            keys, ids, held = [], [], 0
+    if held:
+        yield np.concatenate(keys), pa.concat_arrays(ids)
 
 
 def _frequent(keys: np.ndarray) -> np.ndarray:
-    """Sorted keys that stand in a batch more than HOT times."""
+    """Sorted keys that occur more than HOT times."""
     low = (keys & U((1 << 18) - 1)).astype(np.int64)
     known, n = np.unique(keys[np.bincount(low, minlength=1)[low] > HOT], return_counts=True)
     return known[n > HOT]
 
 
 def _deal(buckets: int):
-    """The entries (key, id) of a batch as one row for each bucket of keys, keys packed as bytes.
+    """The entries (key, id) as one row for each bucket of keys, keys packed as bytes.
 
-    Of a key that the batch has more than HOT times only the smallest id stays, and the key is named in
-    ``hot``: the others are joined to its pivot later, so no bucket grows with a frequent key.
+    Of a key with more than HOT entries at hand only the smallest id stays, and the key is named in
+    ``hot``: its documents are joined to its pivot later, so a bucket gets at most HOT entries of a key
+    from each BUCKET entries.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            keys, row = _entries(batch)
-            if not len(keys):
-                continue
+        for keys, ids in _gathered(batches):
             hot = _frequent(keys)
             if len(hot):
-                rank = np.empty(batch.num_rows, dtype=np.int64)
-                rank[pa.compute.array_sort_indices(batch.column(0)).to_numpy()] = np.arange(batch.num_rows)
+                rank = pa.compute.rank(ids, tiebreaker="first").to_numpy().astype(np.int64)
                 at = np.minimum(np.searchsorted(hot, keys), len(hot) - 1)
                 is_hot = np.flatnonzero(hot[at] == keys)
-                least = np.full(len(hot), batch.num_rows, dtype=np.int64)
-                np.minimum.at(least, at[is_hot], rank[row[is_hot]])
+                least = np.full(len(hot), len(keys) + 1, dtype=np.int64)
+                np.minimum.at(least, at[is_hot], rank[is_hot])
                 keep = np.ones(len(keys), dtype=bool)
-                keep[is_hot] = rank[row[is_hot]] == least[at[is_hot]]
-                keys, row = keys[keep], row[keep]
+                keep[is_hot] = rank[is_hot] == least[at[is_hot]]
+                keys, ids = keys[keep], ids.filter(pa.array(keep))
             bucket = (keys % U(buckets)).astype(np.int64)
             by = np.argsort(bucket, kind="stable")
             used, first = np.unique(bucket[by], return_index=True)
-            ends = pa.array([*first.tolist(), len(by)], pa.int32())
             packed = keys[by].tobytes()
             bounds = [*(8 * first).tolist(), len(packed)]
             hot_bucket = (hot % U(buckets)).astype(np.int64)
             named = [hot[hot_bucket == x].tobytes() for x in used.tolist()] if len(hot) else [b""] * len(used)
-            ids = pa.ListArray.from_arrays(ends, batch.column(0).take(pa.array(row[by])))
-            yield pa.RecordBatch.from_arrays([pa.array(used, pa.int64()), pa.array([packed[a:b] for a, b in zip(bounds, bounds[1:])], pa.binary()), ids, pa.array(named, pa.binary())], ["bucket", "packed", "ids", "hot"])
+            lists = pa.ListArray.from_arrays(pa.array([*first.tolist(), len(by)], pa.int32()), ids.take(pa.array(by)))
+            yield pa.RecordBatch.from_arrays([pa.array(used, pa.int64()), pa.array([packed[a:b] for a, b in zip(bounds, bounds[1:])], pa.binary()), lists, pa.array(named, pa.binary())], ["bucket", "packed", "ids", "hot"])
 
     return run
 
@@ -218,36 +229,35 @@ def _meet(table: pa.Table) -> pa.Table:
     k, r = keys[by], rank[by]
     begin = np.flatnonzero(np.append(True, k[1:] != k[:-1]))
     run = np.repeat(np.arange(len(begin)), np.diff(np.append(begin, len(k))))
-    shared = r != r[begin[run]]
+    is_hot = np.isin(k[begin], hot, assume_unique=True) if len(hot) else np.zeros(len(begin), dtype=bool)
+    shared = (r != r[begin[run]]) & ~is_hot[run]
     pairs = np.unique(np.stack([r[shared], r[begin[run]][shared]]), axis=1) if shared.any() else np.zeros((2, 0), dtype=np.int64)
     place = np.empty(int(rank.max()) + 1, dtype=np.int64)
     place[rank] = np.arange(len(rank))
-    named = begin[np.isin(k[begin], hot, assume_unique=True)] if len(hot) else np.zeros(0, dtype=np.int64)
+    named = begin[is_hot]
     own, pivot = ids.take(pa.array(place[pairs[0]])), ids.take(pa.array(place[np.concatenate([pairs[1], r[named]])]))
     key = pa.concat_arrays([pa.nulls(len(own), pa.int64()), pa.array(k[named].view(np.int64), pa.int64())])
     return pa.table({"id": pa.concat_arrays([own, pa.nulls(len(named), ids.type)]), "pivot": pivot, "key": key})
 
 
-def _held_back(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(key, id) of the frequent keys of each batch; both passes read the same splits of a staged table."""
-    for batch in batches:
-        keys, row = _entries(batch)
-        hot = np.isin(keys, _frequent(keys))
-        if hot.any():
-            yield pa.RecordBatch.from_arrays([pa.array(keys[hot].view(np.int64), pa.int64()), batch.column(0).take(pa.array(row[hot]))], ["key", "id"])
-
-
 def _regions(stage: Stage, tried: DataFrame, name: str, kind: str) -> DataFrame:
     """(id, pivot): for each key of a document (id, keys) the smallest document that has it, if another.
 
-    One shuffle of packed entries, by buckets of keys whose number grows with them.
+    One shuffle of packed entries, by buckets of keys whose number grows with them. The documents of a key
+    that any task found frequent are all found again by that key, whatever the splits of ``tried``.
     """
     total = tried.agg(F.coalesce(F.sum(F.size("keys")), F.lit(0))).first()[0]
     buckets = max(12, -(-total // BUCKET))
     dealt = tried.mapInArrow(_deal(buckets), f"bucket long, packed binary, ids array<{kind}>, hot binary")
     met = stage.put(dealt.groupBy("bucket").applyInArrow(_meet, f"id {kind}, pivot {kind}, key long"), f"{name}-met")
-    back = tried.mapInArrow(_held_back, f"key long, id {kind}").join(met.where("key is not null").select("key", "pivot").distinct(), "key")
-    return met.where("key is null").select("id", "pivot").unionByName(back.where("id <> pivot").select("id", "pivot")).distinct()
+    found = met.where("key is null").select("id", "pivot")
+    hot = met.where("key is not null").select("key", "pivot")
+    if n := hot.count():
+        back = tried.select("id", F.explode("keys").alias("key")).join(F.broadcast(hot) if n <= BROADCAST else hot, "key")
+        found = found.unionByName(back.where("id <> pivot").select("id", "pivot"))
+    found = stage.put(found.distinct(), name)
+    stage.drop(f"{name}-met")
+    return found
 
 
 def hash_of(value) -> int:
@@ -255,29 +265,100 @@ def hash_of(value) -> int:
 
 
 def _carried(width: int):
-    """The set of each document (id, regions, text), once for each of its regions."""
+    """The set of each document (id, group, text)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch, data, offsets in slices(batches, "text"):
-            regions = batch.column(1).to_pylist()
-            owner = pa.array(np.repeat(np.arange(len(regions)), [len(r) for r in regions]))
             grams = pa.array([x.tobytes() for x in shingle_sets(data, offsets, width)], pa.binary())
-            flat = pa.array([p for r in regions for p in r], batch.column(1).type.value_type)
-            yield pa.RecordBatch.from_arrays([flat, batch.column(0).take(owner), grams.take(owner)], ["pivot", "id", "grams"])
+            yield pa.RecordBatch.from_arrays([batch.column(1), batch.column(0), grams], ["group", "id", "grams"])
 
     return run
 
 
-def _distances(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """The size of each pair's intersection."""
-    for batch in batches:
-        at = {n: batch.column(i) for i, n in enumerate(batch.schema.names)}
-        common = []
-        for x, y in zip(at["grams"].to_pylist(), at["pivot_grams"].to_pylist(), strict=True):
-            a, b = np.frombuffer(x, dtype=U), np.frombuffer(y, dtype=U)
-            both = np.sort(np.concatenate([a, b]))
-            common.append(int((both[1:] == both[:-1]).sum()))
-        yield pa.RecordBatch.from_arrays([at["id"], at["pivot"], pa.array(common, pa.int64()), pa.array([len(x) // 8 for x in at["grams"].to_pylist()], pa.int64()), pa.array([len(x) // 8 for x in at["pivot_grams"].to_pylist()], pa.int64())], ["id", "pivot", "common", "n", "pivot_n"])
+class Forest:
+    """Which of n things are connected."""
+
+    def __init__(self, n: int):
+        self.up = list(range(n))
+
+    def top(self, i: int) -> int:
+        while self.up[i] != i:
+            self.up[i] = self.up[self.up[i]]
+            i = self.up[i]
+        return i
+
+    def tie(self, i: int, j: int) -> bool:
+        """Connect two; whether they were apart."""
+        a, b = self.top(i), self.top(j)
+        if a != b:
+            self.up[max(a, b)] = min(a, b)
+        return a != b
+
+
+def _common(sets: list[np.ndarray], others: list[np.ndarray]) -> np.ndarray:
+    """Sizes of the intersections of every set with every other one."""
+    sizes = np.array([len(x) for x in others])
+    values, at = np.unique(np.concatenate(others), return_inverse=True)
+    by = np.argsort(at, kind="stable")
+    posting, begin = np.repeat(np.arange(len(others)), sizes)[by], np.searchsorted(at[by], np.arange(len(values) + 1))
+    out = np.zeros((len(sets), len(others)), dtype=np.int64)
+    for i, x in enumerate(sets):
+        where = np.minimum(np.searchsorted(values, x), len(values) - 1)
+        where = where[values[where] == x]
+        lo, count = begin[where], begin[where + 1] - begin[where]
+        which = np.repeat(lo - np.concatenate([[0], np.cumsum(count)[:-1]]), count) + np.arange(int(count.sum())) if len(where) else lo
+        out[i] = np.bincount(posting[which], minlength=len(others))
+    return out
+
+
+def voronoi(grams: list[np.ndarray], pivots: list[np.ndarray], num: int, den: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(nearest, distance, window, linked) of sets and pivots.
+
+    ``window``: for each set and pivot, whether the set takes part in the pivot's region, as its home or
+    as a replica; ``linked``: whether they are linked, exactly.
+    """
+    common = _common(grams, pivots)
+    union = np.array([len(x) for x in grams])[:, None] + np.array([len(x) for x in pivots])[None, :] - common
+    apart = 1 - common / np.maximum(union, 1)
+    nearest = apart.argmin(axis=1)
+    least = apart[np.arange(len(grams)), nearest]
+    window = apart <= least[:, None] + 2 * (1 - num / den) + 1e-9
+    return nearest, least, window, den * common >= num * union
+
+
+def join_members(grams: list[np.ndarray], forest: Forest, members: np.ndarray, num: int, den: int, few: int) -> list[tuple[int, int]]:
+    """Links that connect all that is linked among members, by Voronoi regions, recursively."""
+    found: list[tuple[int, int]] = []
+    todo = [members]
+    while todo:
+        now = todo.pop()
+        if len({forest.top(i) for i in now.tolist()}) < 2:
+            continue
+        if len(now) <= few:
+            found += _inverted(grams, forest, now, num, den)
+            continue
+        n = int(np.ceil(np.sqrt(len(now))))
+        pivots = now[np.unique(np.linspace(0, len(now) - 1, n).astype(np.int64))]
+        nearest, _, window, linked = voronoi([grams[i] for i in now], [grams[i] for i in pivots], num, den)
+        for i, j in zip(*np.nonzero(linked), strict=True):
+            if now[i] != pivots[j] and forest.tie(int(now[i]), int(pivots[j])):
+                found.append((int(now[i]), int(pivots[j])))
+        for j in range(len(pivots)):
+            home = nearest == j
+            inside = now[window[:, j]]
+            if home.any() and len(inside) > 1:
+                if 4 * len(inside) > 3 * len(now):  # hardly smaller: pivots tell little about these sets
+                    found += _inverted(grams, forest, now, num, den)
+                    break
+                todo.append(inside)
+    return found
+
+
+def _inverted(grams: list[np.ndarray], forest: Forest, members: np.ndarray, num: int, den: int) -> list[tuple[int, int]]:
+    ids = members.tolist()
+    label = [forest.top(i) for i in ids]
+    found = join_cell(ids, [grams[i] for i in ids], np.ones(len(ids), dtype=bool), np.zeros(len(ids)), label, num, den)
+    return [(a, b) for a, b in found if forest.tie(a, b)]
 
 
 def join_cell(ids: list, grams: list[np.ndarray], home: np.ndarray, block: np.ndarray, label: list, num: int, den: int) -> list[tuple]:
@@ -287,94 +368,128 @@ def join_cell(ids: list, grams: list[np.ndarray], home: np.ndarray, block: np.nd
     both occur, pairs join across them only. ``label``: members of equal label are connected already,
     so members of the most frequent one need not be tried against each other.
     """
-    m, sizes = len(ids), np.array([len(g) for g in grams], dtype=np.int64)
+    sizes = np.array([len(g) for g in grams], dtype=np.int64)
     names, root = np.unique(np.array(label, dtype=object).astype(str), return_inverse=True)
     rows = np.flatnonzero(root != np.bincount(root).argmax())
     if not len(rows):
         return []
     across = len(set(block.tolist())) > 1
-    values, at = np.unique(np.concatenate(grams), return_inverse=True)
-    owner = np.repeat(np.arange(m), sizes)
-    by = np.argsort(at, kind="stable")
-    posting, begin = owner[by], np.searchsorted(at[by], np.arange(len(values) + 1))
-    place = np.concatenate([[0], np.cumsum(sizes)])
-    up = np.arange(len(names))
-    found = []
-
-    def top(i: int) -> int:
-        while up[i] != i:
-            up[i] = up[up[i]]
-            i = up[i]
-        return i
-
-    for i in rows.tolist():
-        mine = at[place[i] : place[i + 1]]
-        lo, count = begin[mine], begin[mine + 1] - begin[mine]
-        which = np.repeat(lo - np.concatenate([[0], np.cumsum(count)[:-1]]), count) + np.arange(int(count.sum()))
-        common = np.bincount(posting[which], minlength=m)
-        linked = den * common >= num * (sizes + sizes[i] - common)
-        linked[i] = False
-        if not home[i]:
-            linked &= home
-        if across:
-            linked &= block != block[i]
-        for j in np.flatnonzero(linked).tolist():
-            a, b = top(root[i]), top(root[j])
-            if a != b:
-                up[max(a, b)] = min(a, b)
-                found.append((ids[i], ids[j]))
+    forest, found = Forest(len(names)), []
+    for at in range(0, len(rows), 256):
+        part = rows[at : at + 256]
+        common = _common([grams[i] for i in part], grams)
+        linked = den * common >= num * (sizes[None, :] + sizes[part][:, None] - common)
+        for i, near in zip(part.tolist(), linked, strict=True):
+            near[i] = False
+            if not home[i]:
+                near &= home
+            if across:
+                near &= block != block[i]
+            for j in np.flatnonzero(near).tolist():
+                if forest.tie(int(root[i]), int(root[j])):
+                    found.append((ids[i], ids[j]))
     return found
 
 
-def _cells(num: int, den: int):
+def _sets(column: pa.ChunkedArray) -> list[np.ndarray]:
+    return [np.frombuffer(x, dtype=U) for x in column.to_pylist()]
+
+
+def _links(found: list[tuple], kind: pa.DataType) -> pa.Table:
+    return pa.table({"a": pa.array([x for x, _ in found], kind), "b": pa.array([x for _, x in found], kind)})
+
+
+def _small(num: int, den: int, few: int):
+    """Links of whole groups (group, id, grams), many groups at once."""
+
     def run(table: pa.Table) -> pa.Table:
-        ids, block = table.column("id").to_pylist(), np.array(table.column("block").to_pylist())
-        grams = [np.frombuffer(x, dtype=U) for x in table.column("grams").to_pylist()]
-        found = join_cell(ids, grams, np.array(table.column("home").to_pylist(), dtype=bool), block, table.column("label").to_pylist(), num, den)
-        kind = table.schema.field("id").type
-        return pa.table({"a": pa.array([x for x, _ in found], kind), "b": pa.array([x for _, x in found], kind)})
+        ids, grams = table.column("id").to_pylist(), _sets(table.column("grams"))
+        forest, found, of = Forest(len(ids)), [], {}
+        for i, g in enumerate(table.column("group").to_pylist()):
+            of.setdefault(g, []).append(i)
+        for own in of.values():
+            own.sort(key=ids.__getitem__)
+            found += join_members(grams, forest, np.array(own), num, den, few)
+        return _links([(ids[i], ids[j]) for i, j in found], table.schema.field("id").type)
 
     return run
 
 
-def _plausible(num: int, den: int):
-    """Members of a region that by their distances to the fixed pivots may be linked to another member."""
+def _assigned(num: int, den: int):
+    """Regions (group, pivot, id, common, n, pivot_n) of a chunk of a group's members (…, is_pivot).
+
+    Members for which windows tell nothing, because their nearest pivot is farther than one less two
+    radii, are in the region without a pivot; so is all that may be linked to such a member.
+    """
+    radius = 1 - num / den
 
     def run(table: pa.Table) -> pa.Table:
-        n = np.array(table.column("n_shingles").to_pylist(), dtype=np.int64)
-        held = np.frombuffer(b"".join(table.column("sketch").to_pylist()), dtype=np.uint8).reshape(-1, PIVOTS).astype(np.int16)
-        kept = np.zeros(len(n), dtype=bool)
-        for i in range(len(n) - 1):
-            near = (den + num) * np.abs(held[i + 1 :] - held[i]).sum(axis=1) <= (den - num) * (n[i + 1 :] + n[i])
-            if near.any():
-                kept[i] = True
-                kept[i + 1 :] |= near
-        return table.select(["pivot", "id"]).filter(pa.array(kept))
+        flag = np.array(table.column("is_pivot").to_pylist(), dtype=bool)
+        grams, ids = _sets(table.column("grams")), table.column("id").combine_chunks()
+        at, own = np.flatnonzero(~flag), np.flatnonzero(flag)
+        pivots = [grams[j] for j in own]
+        rows, cols, common = [], [], []
+        for lo in range(0, len(at), 256):
+            part = at[lo : lo + 256]
+            _, least, window, linked = voronoi([grams[i] for i in part], pivots, num, den)
+            near = least < 1 - 2 * radius - 1e-9
+            i, j = np.nonzero((window & near[:, None]) | linked)
+            far = np.flatnonzero(least >= 1 - 3 * radius - 1e-9)
+            rows += [part[i], part[far]]
+            cols += [own[j], np.full(len(far), -1)]
+            common += [_pairs(grams, part[i], own[j]), np.zeros(len(far), dtype=np.int64)]
+        rows, cols = np.concatenate(rows or [at]).astype(np.int64), np.concatenate(cols or [at]).astype(np.int64)
+        sizes = np.array([len(x) for x in grams] + [0], dtype=np.int64)
+        pivot = ids.take(pa.array(np.where(cols < 0, None, cols).tolist(), pa.int64()))
+        return pa.table({"group": table.column("group").combine_chunks().take(pa.array(rows)), "pivot": pivot, "id": ids.take(pa.array(rows)), "common": pa.array(np.concatenate(common or [at]).astype(np.int64)), "n": pa.array(sizes[rows]), "pivot_n": pa.array(sizes[cols])})
+
+    return run
+
+
+def _pairs(grams: list[np.ndarray], i: np.ndarray, j: np.ndarray) -> np.ndarray:
+    """Size of the intersection of each pair."""
+    return np.array([np.isin(grams[a], grams[b], assume_unique=True).sum() for a, b in zip(i.tolist(), j.tolist(), strict=True)], dtype=np.int64)
+
+
+def _cells(num: int, den: int):
+    def run(table: pa.Table) -> pa.Table:
+        found = join_cell(table.column("id").to_pylist(), _sets(table.column("grams")), np.array(table.column("home").to_pylist(), dtype=bool), np.array(table.column("block").to_pylist()), table.column("label").to_pylist(), num, den)
+        return _links(found, table.schema.field("id").type)
 
     return run
 
 
-def _small(num: int, den: int):
+def _tied(num: int, den: int):
+    """Members of a region that by their distances to the fixed pivots may be linked, as a spanning forest."""
+
     def run(table: pa.Table) -> pa.Table:
-        ids = table.column("id").to_pylist()
-        grams = [np.frombuffer(x, dtype=U) for x in table.column("grams").to_pylist()]
-        found = join_cell(ids, grams, np.ones(len(ids), dtype=bool), np.zeros(len(ids)), ids, num, den)
-        kind = table.schema.field("id").type
-        return pa.table({"a": pa.array([x for x, _ in found], kind), "b": pa.array([x for _, x in found], kind)})
+        n = np.array(table.column("n_shingles").to_pylist(), dtype=np.int64)
+        held = np.frombuffer(b"".join(table.column("sketch").to_pylist()), dtype=np.uint8).reshape(-1, PIVOTS).astype(np.int16)
+        forest, a, b = Forest(len(n)), [], []
+        for i in range(len(n) - 1):
+            near = (den + num) * np.abs(held[i + 1 :] - held[i]).sum(axis=1) <= (den - num) * (n[i + 1 :] + n[i])
+            for j in (np.flatnonzero(near) + i + 1).tolist():
+                if forest.tie(i, j):
+                    a.append(i)
+                    b.append(j)
+        ids = table.column("id")
+        return pa.table({"a": ids.take(pa.array(a, pa.int64())), "b": ids.take(pa.array(b, pa.int64()))})
 
     return run
 
 
-def ngram_jaccard_join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 5, num: int = 80, den: int = 100, leaf: int = LEAF) -> tuple[DataFrame, DataFrame, Stage]:
+def ngram_jaccard_join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 5, num: int = 80, den: int = 100, leaf: int = LEAF, few: int = FEW) -> tuple[DataFrame, DataFrame, Stage]:
     """Join documents whose sets of word n-grams have den * intersection >= num * union, exactly.
 
     Returns ``members`` (id, n_shingles, representative: the smallest id with the same set) and
     ``links`` (a, b: verified links between representatives that connect everything that is linked,
     a spanning set of each region rather than all of its pairs), and the stage that holds both.
 
-    Words are ``[^\\x20\\x09-\\x0D]+``, A-Z as lower case, texts whole. Null and empty texts have an
-    empty set, are linked with nothing and represent themselves; so do rows whose id is null, which
-    keep their size. Repeated rows are equal sets. Other columns of ``docs`` are ignored.
+    Words are ``[^\\x20\\x09-\\x0D]+``, A-Z as lower case, texts whole, of any length. Null and empty texts
+    have an empty set, are linked with nothing and represent themselves; so do rows whose id is null, which
+    keep their size. Repeated rows are equal sets; rows of one id and different texts count as one
+    document that has the links of all. An empty table has no members. Other columns of ``docs`` are
+    ignored, whatever their names. Results do not depend on ``leaf`` and ``few``.
     """
     spark = docs.sparkSession
     stage = Stage(spark, "ngram-join")
@@ -385,78 +500,119 @@ def ngram_jaccard_join(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     represents = filled.groupBy("sig1", "sig2", "n_shingles").agg(F.min("id").alias("representative"))
     members = filled.select("id", "n_shingles", "sig1", "sig2").join(represents, ["sig1", "sig2", "n_shingles"]).select("id", "n_shingles", "representative")
     members = stage.put(members.unionByName(profile.where("n_shingles = 0 or id is null").select("id", "n_shingles", F.col("id").alias("representative"))), "members")
+    copies = members.where("id <> representative").select("id").distinct()
+    tried = filled.select("id", "keys").join(_listed(stage, copies, "copies"), "id", "left_anti")
 
     sketches = profile.select("id", "n_shingles", "sketch")
-    tried, small, large = filled.select("id", "keys"), None, None
-    first = represents.select(F.col("representative").alias("id"))
-    for level in range(LEVELS):
+    ties, level, before = None, 0, None
+    while True:
         found = _regions(stage, tried, f"regions{level}", kind)
-        found = stage.put(found.join(first, "id"), f"regions{level}")  # a copy's regions are its representative's
         if level:
             stage.drop(f"tried{level}")
-        crowded = found.groupBy("pivot").count().where(F.col("count") > leaf).select("pivot")
+        sizes = found.groupBy("pivot").count()
+        crowded = stage.put(sizes.where(F.col("count") > leaf).select("pivot"), f"crowded{level}")
         part = found.join(crowded, "pivot", "left_anti")
         part = part.unionByName(part.select(F.col("pivot").alias("id"), "pivot").distinct()).join(sketches, "id")
-        part = part.select("pivot", "id", "n_shingles", "sketch").groupBy("pivot").applyInArrow(_plausible(num, den), f"pivot {kind}, id {kind}")
-        part = stage.put(part.distinct(), f"plausible{level}")
-        small = part if small is None else small.unionByName(part)
+        tied = part.select("pivot", "id", "n_shingles", "sketch").groupBy("pivot").applyInArrow(_tied(num, den), f"a {kind}, b {kind}")
+        tied = stage.put(tied.distinct(), f"tied{level}")
+        ties = tied if ties is None else ties.unionByName(tied)
         large = found.join(crowded, "pivot", "left_semi")
-        if crowded.isEmpty() or level + 1 == LEVELS:
+        left = 0 if crowded.isEmpty() else large.count()
+        if not left or before is not None and left > (1 - SHRINKS) * before:
             break
+        before, level = left, level + 1
         crowd = rows.join(_by_document(stage, large, f"crowd{level}"), "id").select("id", "regions", "text")
-        tried = stage.put(crowd.mapInArrow(_deeper(width, num, den, level + 1), f"id {kind}, keys array<long>"), f"tried{level + 1}")
+        tried = stage.put(crowd.mapInArrow(_deeper(width, num, den, level), f"id {kind}, keys array<long>"), f"tried{level}")
+        stage.drop(f"regions{level - 1}")
     stage.drop("profile")
+    if left:  # such regions are part of a group whole
+        ties = ties.unionByName(large.select(F.col("id").alias("a"), F.col("pivot").alias("b")))
 
-    form = f"pivot {kind}, id {kind}, grams binary"
-    carried = lambda regions, name: rows.join(_by_document(stage, regions, name), "id").select("id", "regions", "text").mapInArrow(_carried(width), form)
-    whole = carried(small.distinct(), "in_small").groupBy("pivot").applyInArrow(_small(num, den), f"a {kind}, b {kind}")
-    links = stage.put(whole.distinct(), "links_small")
-    if not crowded.isEmpty():
-        links = links.unionByName(_ringed(stage, stage.put(carried(large, "in_large"), "carried"), links, kind, num, den, leaf))
-    return members, stage.put(links.distinct(), "links"), stage
+    groups = stage.put(connected_components(ties, "a", "b", stage, "groups").select(F.col("node").alias("id"), F.col("label").alias("group")), "grouped")
+    sizes = stage.put(groups.groupBy("group").count(), "sizes")
+    carried = stage.put(rows.join(_listed(stage, groups, "listed"), "id").select("id", "group", "text").mapInArrow(_carried(width), f"group {kind}, id {kind}, grams binary"), "carried")
+    n = sizes.agg(F.coalesce(F.sum("count"), F.lit(0)), F.count_if(F.col("count") > leaf)).first()
+    small = carried.join(sizes.where(F.col("count") <= leaf).select("group"), "group") if n[1] else carried
+    small = small.groupBy(F.pmod(F.xxhash64("group"), F.lit(max(12, n[0] // 1024))).alias("bucket")).applyInArrow(_small(num, den, few), f"a {kind}, b {kind}")
+    links = stage.put(small, "links_small")
+    if n[1]:
+        links = stage.put(links.unionByName(_large(stage, carried, sizes.where(F.col("count") > leaf), kind, num, den, leaf, few)).distinct(), "links")
+    stage.drop("carried", "grouped", "listed", "copies", "sizes", *(f"{x}{k}" for k in range(level + 1) for x in ("tied", "regions", "crowded", "crowd")))
+    return members, links, stage
+
+
+def _listed(stage: Stage, ids: DataFrame, name: str) -> DataFrame:
+    """A list of documents, broadcast if short."""
+    ids = stage.put(ids, name)
+    return F.broadcast(ids) if ids.count() <= BROADCAST else ids
 
 
 def _by_document(stage: Stage, regions: DataFrame, name: str) -> DataFrame:
     """(id, regions): the pivots of the regions of each document, pivots themselves included."""
     own = regions.select(F.col("pivot").alias("id"), "pivot")
-    each = stage.put(regions.select("id", "pivot").unionByName(own).groupBy("id").agg(F.collect_set("pivot").alias("regions")), name)
-    return F.broadcast(each) if each.count() <= BROADCAST else each
+    every = regions.select("id", "pivot").unionByName(own)
+    each = stage.put(every.groupBy("id").agg(F.collect_set("pivot").alias("regions")), name)
+    return F.broadcast(each) if regions.count() <= BROADCAST else each
 
 
-def _ringed(stage: Stage, carried: DataFrame, links: DataFrame, kind: str, num: int, den: int, leaf: int) -> DataFrame:
-    """Links within regions of any size: (pivot, id, grams), the pivot among its members.
+def _large(stage: Stage, carried: DataFrame, sizes: DataFrame, kind: str, num: int, den: int, leaf: int, few: int) -> DataFrame:
+    """Links within groups of more than ``leaf`` members, cut into Voronoi regions by pivots of each group.
 
-    What ``links`` and the links to pivots connect is not tried again.
+    About CUT members of a group are its pivots, drawn by hash, and its smallest one. Every chunk of
+    ``leaf`` members meets all of them.
     """
-    center = carried.where("id = pivot").select("pivot", F.col("grams").alias("pivot_grams"))
-    near = carried.where("id <> pivot").join(center, "pivot").mapInArrow(_distances, f"id {kind}, pivot {kind}, common long, n long, pivot_n long")
+    sized = carried.join(sizes, "group")
+    chunks = F.ceil(F.col("count") / leaf)
+    drawn = (F.pmod(F.xxhash64("id", F.lit(1)), F.col("count")) < CUT) | (F.col("id") == F.col("group"))
+    member = sized.select("group", F.pmod(F.xxhash64("id", F.lit(2)), chunks).alias("chunk"), "id", "grams", F.lit(False).alias("is_pivot"))
+    pivots = sized.where(drawn).select("group", F.explode(F.sequence(F.lit(0).cast("long"), chunks - 1)).alias("chunk"), "id", "grams", F.lit(True).alias("is_pivot"))
+    near = member.unionByName(pivots).groupBy("group", "chunk").applyInArrow(_assigned(num, den), f"group {kind}, pivot {kind}, id {kind}, common long, n long, pivot_n long")
     union = F.col("n") + F.col("pivot_n") - F.col("common")
     # ring k: distances above k radii, up to k + 1 and that included, in whole numbers; ring 0 is linked to the pivot
-    near = near.distinct().withColumn("apart", den * (union - F.col("common"))).withColumn("radius", (den - num) * union)
-    near = near.withColumn("ring", F.when(F.col("apart") <= F.col("radius"), 0).otherwise(F.expr("(apart - 1) div radius")).cast("int"))
-    near = stage.put(near.drop("apart", "radius").withColumn("linked", F.col("ring") == 0), "distances")
-    known = links.unionByName(near.where("linked").select(F.col("id").alias("a"), F.col("pivot").alias("b")))
+    near = near.withColumn("apart", den * (union - F.col("common"))).withColumn("radius", (den - num) * union)
+    near = near.withColumn("ring", F.when(F.col("pivot").isNull(), 1).when(F.col("apart") <= F.col("radius"), 0).otherwise(F.expr("(apart - 1) div radius")).cast("int"))
+    near = stage.put(near.select("group", "pivot", "id", "ring"), "distances")
+    known = near.where("ring = 0 and id <> pivot").select(F.col("id").alias("a"), F.col("pivot").alias("b"))
     labels = stage.put(connected_components(known, "a", "b", stage, "known").withColumnRenamed("node", "id"), "labels")
-    near = stage.put(near.join(labels, "id", "left").withColumn("label", F.coalesce("label", "id")), "labelled")
-    # a ring and the one inside it: |d(x, pivot) - d(y, pivot)| <= radius for linked x and y
-    own = near.where("ring > 0").select("pivot", "ring", "id", "label", F.lit(True).alias("home"))
-    inner = near.select("pivot", (F.col("ring") + 1).alias("ring"), "id", "label", F.lit(False).alias("home"))
-    rings = near.where("ring > 0").select("pivot", "ring").distinct()
-    sizes = own.unionByName(inner.join(rings, ["pivot", "ring"], "left_semi")).groupBy("pivot", "ring").agg(F.count_if("home").alias("own"), F.count_if(~F.col("home")).alias("inside"), F.min("label").alias("one"), F.max("label").alias("two"))
-    sizes = sizes.where("one <> two").select("pivot", "ring", F.ceil(F.col("own") / leaf).alias("hb"), F.ceil(F.col("inside") / leaf).alias("wb"))
-    placed = own.unionByName(inner).join(sizes, ["pivot", "ring"])
+    key = ["group", "pivot"]
+    near = near.join(labels, "id", "left").select(*key, "id", "ring", F.coalesce("label", "id").alias("label"))
+    # regions whose members are all connected already are done
+    open_ = near.groupBy(*key).agg(F.count("*").alias("size"), F.min("label").alias("one"), F.max("label").alias("two")).where("one <> two")
+    near = stage.put(near.withColumn("region", F.xxhash64(F.coalesce(F.col("pivot").cast("string"), F.lit("")), F.col("group").cast("string"), F.col("pivot").isNull())).join(open_.select(*key, "size").withColumnsRenamed({"group": "g", "pivot": "p"}), F.col("group").eqNullSafe(F.col("g")) & F.col("pivot").eqNullSafe(F.col("p"))).drop("g", "p"), "near")
+    sets = carried.select("id", "grams")
+    few_ = near.where(F.col("size") <= leaf).select(F.col("region").alias("group"), "id").join(sets, "id")
+    done = few_.groupBy("group").applyInArrow(_small(num, den, few), f"a {kind}, b {kind}")
+    out = known.unionByName(stage.put(done, "links_regions"))
+    crowded = near.where(F.col("size") > leaf)
+    if crowded.isEmpty():
+        return out
+    return out.unionByName(_ringed(crowded.select("region", "id", "ring", "label"), sets, kind, num, den, leaf))
+
+
+def _ringed(near: DataFrame, sets: DataFrame, kind: str, num: int, den: int, leaf: int) -> DataFrame:
+    """Links within regions of any size: (region, id, ring, label) and the sets (id, grams).
+
+    Linked members stand in one ring or in neighbouring ones; members of ring 0 are connected. What has
+    one label is connected already and not tried again.
+    """
+    key = ["region", "ring"]
+    own = near.where("ring > 0").select(*key, "id", "label", F.lit(True).alias("home"))
+    inner = near.select("region", (F.col("ring") + 1).alias("ring"), "id", "label", F.lit(False).alias("home"))
+    rings = near.where("ring > 0").select(*key).distinct()
+    sizes = own.unionByName(inner.join(rings, key, "left_semi")).groupBy(*key).agg(F.count_if("home").alias("own"), F.count_if(~F.col("home")).alias("inside"), F.min("label").alias("one"), F.max("label").alias("two"))
+    sizes = sizes.where("one <> two").select(*key, F.ceil(F.col("own") / leaf).alias("hb"), F.ceil(F.col("inside") / leaf).alias("wb"))
+    placed = own.unionByName(inner).join(sizes, key)
     mine = F.pmod(F.xxhash64("id"), F.when(F.col("home"), F.col("hb")).otherwise(F.greatest("wb", F.lit(1)))).alias("mine")
-    placed = placed.select("pivot", "ring", "id", "label", "home", "hb", "wb", mine)
+    placed = placed.select(*key, "id", "label", "home", "hb", "wb", mine)
     # cells: home block i by itself; home blocks i < j; home block i and inner block j
     every = F.sequence(F.lit(0), F.col("hb") - 1)
     with_home = F.transform(every, lambda j: F.struct(F.least(F.col("mine"), j).cast("long").alias("i"), F.greatest(F.col("mine"), j).cast("long").alias("j"), F.lit(False).alias("window")))
     with_inner = F.when(F.col("wb") > 0, F.transform(F.sequence(F.lit(0), F.col("wb") - 1), lambda j: F.struct(F.col("mine").cast("long").alias("i"), j.cast("long").alias("j"), F.lit(True).alias("window")))).otherwise(F.array().cast("array<struct<i:bigint,j:bigint,window:boolean>>"))
     from_inner = F.transform(every, lambda i: F.struct(i.cast("long").alias("i"), F.col("mine").cast("long").alias("j"), F.lit(True).alias("window")))
-    cells = placed.select("pivot", "ring", "id", "label", "home", "mine", F.explode(F.when(F.col("home"), F.concat(with_home, with_inner)).otherwise(from_inner)).alias("cell"))
+    cells = placed.select(*key, "id", "label", "home", "mine", F.explode(F.when(F.col("home"), F.concat(with_home, with_inner)).otherwise(from_inner)).alias("cell"))
     block = F.when(F.col("cell.window"), F.when(F.col("home"), 0).otherwise(1)).otherwise(F.when(F.col("mine") == F.col("cell.i"), 0).otherwise(1)).alias("block")
-    cells = cells.select("pivot", "ring", F.col("cell.i").alias("i"), F.col("cell.j").alias("j"), F.col("cell.window").alias("window"), "id", "label", "home", block)
-    inside = cells.join(carried, ["pivot", "id"]).groupBy("pivot", "ring", "i", "j", "window").applyInArrow(_cells(num, den), f"a {kind}, b {kind}")
-    return near.where("linked").select(F.col("id").alias("a"), F.col("pivot").alias("b")).unionByName(inside)
+    cells = cells.select(*key, F.col("cell.i").alias("i"), F.col("cell.j").alias("j"), F.col("cell.window").alias("window"), "id", "label", "home", block)
+    return cells.join(sets, "id").groupBy(*key, "i", "j", "window").applyInArrow(_cells(num, den), f"a {kind}, b {kind}")
 
 
 def ngram_jaccard_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 5, num: int = 80, den: int = 100) -> DataFrame:

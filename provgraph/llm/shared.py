@@ -59,8 +59,9 @@ class Stage:
             self.spark.conf.unset(CLEANUP) if before is None else self.spark.conf.set(CLEANUP, before)
         return self.spark.read.schema(df.schema).parquet(self.path(name))
 
-    def drop(self, name: str) -> None:
-        remove(self.spark, self.path(name))
+    def drop(self, *names: str) -> None:
+        for name in names:
+            remove(self.spark, self.path(name))
         self.release()
 
     def release(self) -> None:

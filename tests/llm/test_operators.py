@@ -4,8 +4,6 @@ import random
 import re
 
 import numpy as np
-import pyarrow as pa
-import pyarrow.compute
 import pytest
 import public_tokenizers as P
 from tokenizers import Tokenizer
@@ -45,12 +43,8 @@ def sets_of(t, k):
     return {tuple(w[i : i + k]) for i in range(max(1, len(w) - k + 1))} if w else set()
 
 
-@pytest.mark.parametrize(("width", "num"), [(4, 85), (5, 80), (2, 60)])
-@pytest.mark.parametrize("leaf", [4, 512])
-def test_ngram_join(docs, texts, width, num, leaf, monkeypatch):
-    monkeypatch.setattr(ngram_join, "LEAF", leaf)
-    members, links, stage = ngram_join.ngram_jaccard_join(docs, width=width, num=num, den=100, leaf=leaf)
-    sets = [sets_of(t, width) for t in texts]
+def classes_of(sets, num, den=100):
+    """The smallest linked number of each set, by brute force."""
     up = list(range(len(sets)))
 
     def top(i):
@@ -60,20 +54,51 @@ def test_ngram_join(docs, texts, width, num, leaf, monkeypatch):
 
     for i, a in enumerate(sets):
         for j in range(i):
-            if a and sets[j] and 100 * len(a & sets[j]) >= num * len(a | sets[j]):
+            if a and sets[j] and den * len(a & sets[j]) >= num * len(a | sets[j]):
                 x, y = top(i), top(j)
                 up[max(x, y)] = min(x, y)
+    return [top(i) for i in range(len(sets))]
+
+
+@pytest.mark.parametrize(("width", "num", "leaf", "few"), [(4, 85, 512, 8), (5, 80, 512, 3), (2, 60, 4, 3)])
+def test_ngram_join(docs, texts, width, num, leaf, few):
+    members, links, _ = ngram_join.ngram_jaccard_join(docs, width=width, num=num, den=100, leaf=leaf, few=few)
+    sets = [sets_of(t, width) for t in texts]
+    want = classes_of(sets, num)
     if leaf == 512:
         got = {r.doc_id: (r.n_shingles, r.component_id) for r in ngram_join.ngram_jaccard_classes(docs, width=width, num=num, den=100).collect()}
-        assert got == {i: (len(s), top(i)) for i, s in enumerate(sets)}
-    for r in links.collect():
-        assert 100 * len(sets[r.a] & sets[r.b]) >= num * len(sets[r.a] | sets[r.b])
+        assert got == {i: (len(s), want[i]) for i, s in enumerate(sets)}
+    pairs = [(r.a, r.b) for r in links.collect()]
+    assert all(100 * len(sets[a] & sets[b]) >= num * len(sets[a] | sets[b]) for a, b in pairs)
+    first = {r.id: r.representative for r in members.collect()}
+    assert [component(first[i], pairs) for i in range(len(sets))] == want
+
+
+@pytest.mark.parametrize(("leaf", "num"), [(8, 85), (40, 60), (512, 80)])
+def test_ngram_join_of_crowded_copies(spark, leaf, num):
+    """Chains of near copies and documents around one passage, in groups far above ``leaf``: no link is lost."""
+    rng = random.Random(leaf + num)
+    passage = [f"p{k}" for k in range(12)]
+    texts = []
+    for chain in range(3):
+        words = [f"c{chain}w{k}" for k in range(40)]
+        for _ in range(50):
+            words = list(words)
+            words[rng.randrange(40)] = f"new{rng.randrange(10**6)}"
+            texts.append(" ".join(words))
+    texts += [" ".join(passage[: rng.randint(6, 12)] + [f"u{rng.randrange(40)}" for _ in range(rng.randint(0, 6))]) for _ in range(120)]
+    rng.shuffle(texts)
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(5)
+    members, links, _ = ngram_join.ngram_jaccard_join(docs, width=2, num=num, den=100, leaf=leaf, few=3)
+    sets = [sets_of(t, 2) for t in texts]
+    pairs = [(r.a, r.b) for r in links.collect()]
+    assert all(100 * len(sets[a] & sets[b]) >= num * len(sets[a] | sets[b]) for a, b in pairs)
+    first = {r.id: r.representative for r in members.collect()}
+    assert [component(first[i], pairs) for i in range(len(sets))] == classes_of(sets, num)
 
 
 def test_ngram_join_rings_with_exact_ties(spark):
     """Crowded regions keep links of exactly the threshold, also from a pivot's members to those at two radii."""
-    from provgraph.llm.shared import Stage
-
     rng = random.Random(8)
     x = set(range(1, 21))
     sets = {("tie", 0): x - {1, 2, 3}, ("tie", 1): x, ("tie", 2): x - {4, 5, 6}}
@@ -81,16 +106,34 @@ def test_ngram_join_rings_with_exact_ties(spark):
         base = list(range(100, 120 + region))
         for k in range(14):
             sets[f"r{region}", k] = set(rng.sample(base, rng.randint(14, len(base))))
-    first = {p: f"{p}-00" for p, _ in sets}
     grams = {f"{p}-{k:02}": (p, np.array(sorted(s), dtype=np.uint64)) for (p, k), s in sets.items()}
-    carried = spark.createDataFrame([(first[p], i, bytearray(g.tobytes())) for i, (p, g) in grams.items()], "pivot string, id string, grams binary")
+    held = {i: set(g.tolist()) for i, (_, g) in grams.items()}
+    carried = spark.createDataFrame([(i, bytearray(g.tobytes())) for i, (_, g) in grams.items()], "id string, grams binary")
     for num in (80, 85):
-        links = ngram_join._ringed(Stage(spark, "ties"), carried, spark.createDataFrame([], "a string, b string"), "string", num, 100, 4).collect()
         linked = lambda a, b: 100 * len(a & b) >= num * len(a | b)
-        held = {i: set(g.tolist()) for i, (_, g) in grams.items()}
+        near, known = [], []
+        for i, (p, _) in grams.items():
+            union = len(held[i] | held[f"{p}-00"])
+            apart = 100 * (union - len(held[i] & held[f"{p}-00"]))
+            ring = 0 if apart <= (100 - num) * union else (apart - 1) // ((100 - num) * union)
+            near.append((p, i, ring, f"{p}-00" if ring == 0 else i))
+            known += [(i, f"{p}-00")] if ring == 0 else []
+        links = ngram_join._ringed(spark.createDataFrame(near, "region string, id string, ring int, label string"), carried, "string", num, 100, 4).collect()
         assert all(linked(held[r.a], held[r.b]) for r in links)
         of = lambda pairs: {i: component(i, pairs) for i in held}
-        assert of([(r.a, r.b) for r in links]) == of([(i, j) for i in held for j in held if i < j and grams[i][0] == grams[j][0] and linked(held[i], held[j])])
+        assert of([(r.a, r.b) for r in links] + known) == of([(i, j) for i in held for j in held if i < j and grams[i][0] == grams[j][0] and linked(held[i], held[j])])
+
+
+def test_voronoi_regions_keep_every_link():
+    """Every linked pair shares the region that is home to one of both, for any pivots."""
+    rng = np.random.default_rng(2)
+    for num in (60, 80, 85):
+        sets = [np.sort(rng.choice(30, rng.integers(15, 28), replace=False)).astype(np.uint64) for _ in range(150)]
+        nearest, least, window, linked = ngram_join.voronoi(sets, sets[:12], num, 100)
+        whole = ngram_join.voronoi(sets, sets, num, 100)[3]
+        assert (whole[:, :12] == linked).all() and (least[:12] == 0).all()
+        i, j = np.nonzero(whole)
+        assert window[j, nearest[i]].all() and len(i) > 150
 
 
 def component(node, pairs):
@@ -219,20 +262,19 @@ def test_empty_tables(spark, empty):
     assert decontaminate.contaminated_spans(empty, spark.createDataFrame([], "item_id long, text string")).count() == 0
 
 
-@pytest.mark.parametrize("kind", [pa.int64(), pa.string()])
-def test_regions_of_a_frequent_key(kind):
-    """Entries of a key above the limit of a batch come back by the join, and none is lost."""
-    n = ngram_join.HOT + 50
-    ids = pa.array(range(n), pa.int64()).cast(kind)
-    keys = pa.array([[7, 1000 + k // 2] for k in range(n)], pa.list_(pa.int64()))
-    batches = [pa.RecordBatch.from_arrays([ids.slice(a, m), keys.slice(a, m)], ["id", "keys"]) for a, m in ((20, n - 20), (0, 20))]
-    dealt = pa.Table.from_batches(list(ngram_join._deal(3)(iter(batches))))
-    met = pa.concat_tables(ngram_join._meet(dealt.filter(pa.compute.equal(dealt.column("bucket"), b))) for b in range(3)).to_pylist()
-    pivots = {r["key"]: r["pivot"] for r in met if r["key"] is not None}
-    held = pa.Table.from_batches(list(ngram_join._held_back(iter(batches)))).to_pylist()
-    got = {(r["id"], r["pivot"]) for r in met if r["key"] is None} | {(r["id"], pivots[r["key"]]) for r in held if r["id"] != pivots[r["key"]]}
-    names = ids.to_pylist()
-    assert got == {(x, min(names)) for x in names if x != min(names)} | {tuple(sorted(names[k : k + 2], reverse=True)) for k in range(0, n, 2)}
+@pytest.mark.parametrize("kind", ["long", "string"])
+@pytest.mark.parametrize("splits", [1, 3])
+def test_regions_of_a_frequent_key(spark, kind, splits, monkeypatch):
+    """No document of a frequent key is lost, whatever the splits that it was found frequent in."""
+    from provgraph.llm.shared import Stage
+
+    n = 3 * ngram_join.HOT
+    monkeypatch.setattr(ngram_join, "BUCKET", n // splits)
+    name = (lambda k: k) if kind == "long" else (lambda k: f"{k:05}")
+    rows = [(name(k), [7, 1000 + k // 2]) for k in range(n)]
+    tried = spark.createDataFrame(rows, f"id {kind}, keys array<long>").repartition(splits)
+    got = {(r.id, r.pivot) for r in ngram_join._regions(Stage(spark, "frequent"), tried, "found", kind).collect()}
+    assert got == {(name(k), name(0)) for k in range(1, n)} | {(name(k + 1), name(k)) for k in range(0, n, 2)}
 
 
 def test_word_encoder_on_odd_letters():
