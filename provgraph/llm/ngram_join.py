@@ -22,9 +22,9 @@ inequalities. ``radius`` is 1 - threshold; linked sets lie at most a radius apar
    are joined with an inverted index; members that are connected already are not tried again.
 4. *Large groups* of more than ``leaf`` members take the first such step distributed, chunk by chunk
    against the group's pivots. Members whose nearest pivot is too far for the windows to tell anything
-   meet in a region of their own, with all that may reach them. A region that stays large falls into
-   rings one radius wide around its pivot, each with its inner neighbour replicated into it, cut by
-   hash into blocks that join block by block.
+   meet in a region of their own, with all that may reach them; a group that its pivots hardly cut is
+   one region. A region that stays large falls into rings one radius wide around its pivot, each with
+   its inner neighbour replicated into it, cut by hash into blocks that join block by block.
 
 Each region returns a spanning forest of its links, not all pairs. Sets that are equal are one class
 representative from step 1 on, so copies are never expanded.
@@ -47,12 +47,16 @@ from provgraph.llm.words import SPACED, U, hashes, mix, slices, spans
 
 #: Ratio of the sizes that a size class holds.
 SIZE_RATIO = 1.7
-#: Members up to which a group is joined in one task; of larger regions, members that a cell holds of a block.
+#: Members up to which a group is joined in one task.
 LEAF = 512
 #: Members up to which a Voronoi region is joined without pivots of its own.
 FEW = 8
 #: Pivots that a large group is cut by.
-CUT = 48
+CUT = 32
+#: Part of a large group in one of its regions from which on its pivots tell too little.
+FLAT = 0.75
+#: N-grams of the members that a cell holds of a block, as a multiple of ``leaf``.
+BLOCK = 4096
 #: Fixed pivots: parts of all n-grams, the distances to which rule out links before sets are fetched.
 PIVOTS = 256
 #: Entries (document, region) up to which a list of documents is broadcast; a longer one is joined by a shuffle.
@@ -571,14 +575,19 @@ def _large(stage: Stage, carried: DataFrame, sizes: DataFrame, kind: str, num: i
     # ring k: distances above k radii, up to k + 1 and that included, in whole numbers; ring 0 is linked to the pivot
     near = near.withColumn("apart", den * (union - F.col("common"))).withColumn("radius", (den - num) * union)
     near = near.withColumn("ring", F.when(F.col("pivot").isNull(), 1).when(F.col("apart") <= F.col("radius"), 0).otherwise(F.expr("(apart - 1) div radius")).cast("int"))
-    near = stage.put(near.select("group", "pivot", "id", "ring"), "distances")
+    near = stage.put(near.select("group", "pivot", "id", "n", "ring"), "distances")
     known = near.where("ring = 0 and id <> pivot").select(F.col("id").alias("a"), F.col("pivot").alias("b"))
     labels = stage.put(connected_components(known, "a", "b", stage, "known").withColumnRenamed("node", "id"), "labels")
-    key = ["group", "pivot"]
-    near = near.join(labels, "id", "left").select(*key, "id", "ring", F.coalesce("label", "id").alias("label"))
-    # regions whose members are all connected already are done
-    open_ = near.groupBy(*key).agg(F.count("*").alias("size"), F.min("label").alias("one"), F.max("label").alias("two")).where("one <> two")
-    near = stage.put(near.withColumn("region", F.xxhash64(F.coalesce(F.col("pivot").cast("string"), F.lit("")), F.col("group").cast("string"), F.col("pivot").isNull())).join(open_.select(*key, "size").withColumnsRenamed({"group": "g", "pivot": "p"}), F.col("group").eqNullSafe(F.col("g")) & F.col("pivot").eqNullSafe(F.col("p"))).drop("g", "p"), "near")
+    near = near.join(labels, "id", "left").select("group", "pivot", "id", "n", "ring", F.coalesce("label", "id").alias("label"))
+    every = near.groupBy("group", "pivot").agg(F.count("*").alias("size"), F.min("label").alias("one"), F.max("label").alias("two")).join(sizes, "group")
+    every = stage.put(every.select("group", "pivot", "size", "count", (F.col("one") != F.col("two")).alias("open")), "every")
+    flat = every.where(F.col("size") > FLAT * F.col("count")).select("group").distinct()
+    # regions whose members are all connected already are done; a group that pivots hardly cut is one region
+    open_ = every.where("open").join(flat, "group", "left_anti").select(F.col("group").alias("g"), F.col("pivot").alias("p"), "size")
+    name = F.xxhash64(F.coalesce(F.col("pivot").cast("string"), F.lit("")), F.col("group").cast("string"), F.col("pivot").isNull())
+    cut = near.join(open_, F.col("group").eqNullSafe(F.col("g")) & F.col("pivot").eqNullSafe(F.col("p"))).select(name.alias("region"), "id", "n", "ring", "label", "size")
+    whole = near.join(flat, "group", "left_semi").select(F.xxhash64(F.col("group").cast("string")).alias("region"), "id", "n", F.lit(1).alias("ring"), "label", F.lit(leaf + 1).cast("long").alias("size")).distinct()
+    near = stage.put(cut.unionByName(whole), "near")
     sets = carried.select("id", "grams")
     few_ = near.where(F.col("size") <= leaf).select(F.col("region").alias("group"), "id").join(sets, "id")
     done = few_.groupBy("group").applyInArrow(_small(num, den, few), f"a {kind}, b {kind}")
@@ -586,21 +595,21 @@ def _large(stage: Stage, carried: DataFrame, sizes: DataFrame, kind: str, num: i
     crowded = near.where(F.col("size") > leaf)
     if crowded.isEmpty():
         return out
-    return out.unionByName(_ringed(crowded.select("region", "id", "ring", "label"), sets, kind, num, den, leaf))
+    return out.unionByName(_ringed(crowded.select("region", "id", "n", "ring", "label"), sets, kind, num, den, BLOCK * leaf))
 
 
-def _ringed(near: DataFrame, sets: DataFrame, kind: str, num: int, den: int, leaf: int) -> DataFrame:
-    """Links within regions of any size: (region, id, ring, label) and the sets (id, grams).
+def _ringed(near: DataFrame, sets: DataFrame, kind: str, num: int, den: int, most: int) -> DataFrame:
+    """Links within regions of any size: (region, id, n, ring, label) and the sets (id, grams) of n n-grams.
 
     Linked members stand in one ring or in neighbouring ones; members of ring 0 are connected. What has
-    one label is connected already and not tried again.
+    one label is connected already and not tried again. A cell holds about ``most`` n-grams of a block.
     """
     key = ["region", "ring"]
-    own = near.where("ring > 0").select(*key, "id", "label", F.lit(True).alias("home"))
-    inner = near.select("region", (F.col("ring") + 1).alias("ring"), "id", "label", F.lit(False).alias("home"))
+    own = near.where("ring > 0").select(*key, "id", "n", "label", F.lit(True).alias("home"))
+    inner = near.select("region", (F.col("ring") + 1).alias("ring"), "id", "n", "label", F.lit(False).alias("home"))
     rings = near.where("ring > 0").select(*key).distinct()
-    sizes = own.unionByName(inner.join(rings, key, "left_semi")).groupBy(*key).agg(F.count_if("home").alias("own"), F.count_if(~F.col("home")).alias("inside"), F.min("label").alias("one"), F.max("label").alias("two"))
-    sizes = sizes.where("one <> two").select(*key, F.ceil(F.col("own") / leaf).alias("hb"), F.ceil(F.col("inside") / leaf).alias("wb"))
+    sizes = own.unionByName(inner.join(rings, key, "left_semi")).groupBy(*key).agg(F.sum(F.when(F.col("home"), F.col("n"))).alias("own"), F.coalesce(F.sum(F.when(~F.col("home"), F.col("n"))), F.lit(0)).alias("inside"), F.min("label").alias("one"), F.max("label").alias("two"))
+    sizes = sizes.where("one <> two").select(*key, F.ceil(F.col("own") / most).alias("hb"), F.ceil(F.col("inside") / most).alias("wb"))
     placed = own.unionByName(inner).join(sizes, key)
     mine = F.pmod(F.xxhash64("id"), F.when(F.col("home"), F.col("hb")).otherwise(F.greatest("wb", F.lit(1)))).alias("mine")
     placed = placed.select(*key, "id", "label", "home", "hb", "wb", mine)

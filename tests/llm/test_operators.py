@@ -74,9 +74,10 @@ def test_ngram_join(docs, texts, width, num, leaf, few):
     assert [component(first[i], pairs) for i in range(len(sets))] == want
 
 
-@pytest.mark.parametrize(("leaf", "num"), [(8, 85), (40, 60), (512, 80)])
-def test_ngram_join_of_crowded_copies(spark, leaf, num):
+@pytest.mark.parametrize(("leaf", "num", "block"), [(8, 85, 40), (40, 60, 10), (512, 80, 4096)])
+def test_ngram_join_of_crowded_copies(spark, leaf, num, block, monkeypatch):
     """Chains of near copies and documents around one passage, in groups far above ``leaf``: no link is lost."""
+    monkeypatch.setattr(ngram_join, "BLOCK", block)
     rng = random.Random(leaf + num)
     passage = [f"p{k}" for k in range(12)]
     texts = []
@@ -116,9 +117,9 @@ def test_ngram_join_rings_with_exact_ties(spark):
             union = len(held[i] | held[f"{p}-00"])
             apart = 100 * (union - len(held[i] & held[f"{p}-00"]))
             ring = 0 if apart <= (100 - num) * union else (apart - 1) // ((100 - num) * union)
-            near.append((p, i, ring, f"{p}-00" if ring == 0 else i))
+            near.append((p, i, len(held[i]), ring, f"{p}-00" if ring == 0 else i))
             known += [(i, f"{p}-00")] if ring == 0 else []
-        links = ngram_join._ringed(spark.createDataFrame(near, "region string, id string, ring int, label string"), carried, "string", num, 100, 4).collect()
+        links = ngram_join._ringed(spark.createDataFrame(near, "region string, id string, n long, ring int, label string"), carried, "string", num, 100, 90).collect()
         assert all(linked(held[r.a], held[r.b]) for r in links)
         of = lambda pairs: {i: component(i, pairs) for i in held}
         assert of([(r.a, r.b) for r in links] + known) == of([(i, j) for i in held for j in held if i < j and grams[i][0] == grams[j][0] and linked(held[i], held[j])])
