@@ -23,6 +23,12 @@ def words(text: Column) -> Column:
     return F.regexp_extract_all(folded(text), F.lit(WORD), F.lit(0))
 
 
+def shingle_hashes(found: Column, width: int = 5) -> Column:
+    """Distinct hashes of runs of words; none of a text that has fewer. No run is built as a string."""
+    runs = F.transform(F.sequence(F.lit(0), F.size(found) - width), lambda i: F.xxhash64(*(F.get(found, i + k) for k in range(width))))
+    return F.when(F.size(found) >= width, F.array_distinct(runs)).otherwise(F.array().cast("array<bigint>"))
+
+
 def shingles(found: Column, width: int = 5) -> Column:
     """Distinct runs of words; none of a text that has fewer."""
     runs = F.transform(F.sequence(F.lit(1), F.size(found) - (width - 1)), lambda i: F.array_join(F.slice(found, i, width), " "))

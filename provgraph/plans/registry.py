@@ -277,8 +277,7 @@ k AS (SELECT a, b, round(c / (n + m - c), 6) AS j, round(c / least(n, m), 6) AS
 
 @query("content_matches", _PAIRS + " SELECT a AS source_id, b AS target_id, round(least(0.72, 0.35 + 0.5 * greatest(j, 0.65 * t)), 4) AS score, 'content_matches' AS relation FROM k")
 def content_matches(spark, d):
-    docs = texts(spark, d)
-    return similarity.content_matches(similarity.similar_pairs(docs, docs, symmetric=True))
+    return similarity.content_matches(similarity.matching_pairs(texts(spark, d)))
 
 
 @query("page_references", r"""WITH r AS (SELECT page_id, unnest(regexp_extract_all(html, '(?i)(?:href|src)\s*=\s*["'']([^"'']+)["'']', 1)) AS raw_ref FROM pages)
