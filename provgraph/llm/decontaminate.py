@@ -214,7 +214,7 @@ def _scan(phrases: Phrases, id_kind: str):
         for batch, data, offsets in slices(batches, "text", SHARD):
             n_words, hit, items = phrases.scan(data, offsets)
             span = pa.struct([("begin", pa.int64()), ("end", pa.int64())])
-            made = [pa.array(n_words, pa.int64()), pa.array([[{"begin": a, "end": b} for a, b in x] for x in hit], pa.list_(span)), pa.array([[str(phrases.ids[i]) for i in x] for x in items], pa.list_(pa.string()))]
+            made = [pa.array(n_words, pa.int64()), pa.array([[{"begin": a, "end": b} for a, b in x] for x in hit], pa.list_(span)), pa.array([sorted({str(phrases.ids[i]) for i in x}) for x in items], pa.list_(pa.string()))]
             yield pa.RecordBatch.from_arrays([batch.column(0), *made], ["id", "n_words", "spans", "items"])
 
     return run
@@ -229,8 +229,14 @@ def contaminated_spans(docs: DataFrame, benchmark: DataFrame, width: int = WIDTH
 
     The items are sent to the executors if they have at most ``most`` bytes; otherwise in several
     passes over the documents, each with a block of items within that bound (one item is a block of
-    its own at least), whose spans are then merged. Null and empty texts have no words; null items are
-    ignored; repeated rows are judged each; an empty benchmark hits nothing. Other columns are left out.
+    its own at least), each written before the next begins, whose spans are then merged. An item counts
+    once, however many rows have its id; the phrases of all of them are its phrases. Null and empty texts
+    have no words; null items are ignored; repeated documents are judged each; an empty benchmark hits
+    nothing, and an empty table of documents gives no rows. Texts of any length are searched whole. Other
+    columns are left out, whatever their names.
+
+    What is indexed: of a shard's words those in runs whose neighbours are neighbours in some phrase. No
+    phrase occurs elsewhere, so results are those of an index of all words, at a small part of its cost.
     """
     spark = docs.sparkSession
     rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"))
@@ -248,6 +254,7 @@ def contaminated_spans(docs: DataFrame, benchmark: DataFrame, width: int = WIDTH
     for k in range(passes):
         table = items.where(F.pmod(F.xxhash64("item", "text"), F.lit(passes)) == k).toArrow()
         part = numbered.select("id", "text").mapInArrow(_scan(Phrases(table.column("item").to_pylist(), table.column("text"), width), "bigint"), form.replace(f"id {kind}", "id bigint"))
+        part = stage.put(part, f"pass{k}")
         found = part if found is None else found.unionByName(part)
     order = F.array_sort(F.flatten(F.collect_list("spans")))
     start = F.expr("cast(array() as array<struct<begin:bigint,end:bigint>>)")

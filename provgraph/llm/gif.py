@@ -24,6 +24,8 @@ from provgraph.llm.words import slices
 
 #: Samples in a row, and rows in a frame, of a stored text; with so many rows one frame fits a screen.
 ROW, ROWS = 192, 256
+#: Most pixels of a screen that is decoded (a quarter of a gigabyte); a larger one is an error of that file.
+SCREEN = 1 << 26
 #: Hundredths of a second that a frame of a stored text shows.
 DELAY = 10
 #: Codes after a clear code until the table of 4096 is full.
@@ -194,6 +196,8 @@ def decode(media: bytes) -> Iterator[Frame]:
     if flags & 0x80:
         shared = np.frombuffer(media, dtype=np.uint8, count=3 << (flags & 7) + 1, offset=at).reshape(-1, 3)
         at += shared.size
+    if wide * tall > SCREEN:
+        raise ValueError("screen too large")
     screen = np.zeros((tall, wide, 4), dtype=np.uint8)
     control = (0, 0, -1)
 
@@ -280,7 +284,7 @@ def _read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                     payload, f = features(decode(x))
                     shares = np.round(f["histogram"] / max(1, len(payload)), 6).tolist()
                     row |= {"payload_bytes": len(payload), "payload_sha256": hashlib.sha256(payload).hexdigest(), "tail_crc32": zlib.crc32(payload[-16:]), "n_frames": f["n_frames"], "milliseconds": f["milliseconds"], "red": shares[0], "green": shares[1], "blue": shares[2]}
-                except (ValueError, IndexError, struct.error) as e:
+                except (ValueError, IndexError, struct.error, MemoryError) as e:
                     row["error"] = str(e)[:200]
             rows.append(row)
         kinds = {"long": pa.int64(), "string": pa.string(), "array<double>": pa.list_(pa.float64())}

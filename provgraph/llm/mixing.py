@@ -25,8 +25,6 @@ from provgraph.llm.shared import Stage
 BUCKETS = 4096
 #: Most labelled rows that the classifier is fitted to; of more, those with the smallest hash of their id.
 SAMPLE = 20_000
-#: Most domains.
-DOMAINS = 64
 #: First weight of the distance of rates from 1 against that of totals, as shares of all tokens, from targets.
 KEPT = 1e-4
 
@@ -66,27 +64,26 @@ class DomainModel:
             table = _numbers(self.likelihood[k])
             return F.aggregate(buckets, F.lit(0.0), lambda s, b: s + F.get(table, b))
 
-        return F.array(*(F.lit(float(self.prior[k])) + summed(k) / scale for k in range(len(self.domains))))
+        return F.array(*(F.lit(float(self.prior[k])) + summed(k) / scale for k in range(len(self.domains)))).cast("array<double>")
 
 
 def fit_domains(docs: DataFrame, labelled: DataFrame, id_col: str = "doc_id", text_col: str = "text", sample: int = SAMPLE) -> DomainModel:
     """Fit to ``labelled`` (id, domain) joined with the texts.
 
     At most ``sample`` labelled ids, those with the smallest hash, take part; null ids and domains do
-    not, and of several domains of one id the smallest counts. Only counts for each domain and bucket
-    reach the driver.
+    not, and of several domains of one id the smallest counts; rows that repeat an id all count. Only
+    counts for each domain and bucket reach the driver. Without labelled documents there are no domains.
     """
     chosen = labelled.where(f"{id_col} is not null and domain is not null").groupBy(id_col).agg(F.min("domain").alias("domain")).orderBy(F.xxhash64(id_col), id_col).limit(sample)
     rows = docs.select(id_col, F.col(text_col).cast("string").alias("text")).join(F.broadcast(chosen), id_col)  # bounded by ``sample``
     counted = rows.select("domain", buckets_of(words_of(F.col("text"))).alias("buckets"))
     many = counted.groupBy("domain").count().orderBy("domain").collect()
     if not many:
-        raise ValueError("no labelled document")
-    if len(many) > DOMAINS:
-        raise ValueError(f"{len(many)} domains; at most {DOMAINS}")
+        return DomainModel([], np.zeros(0), np.zeros((0, BUCKETS)))
     domains = [r.domain for r in many]
     seen = np.zeros((len(domains), BUCKETS))
-    for r in counted.select("domain", F.explode("buckets").alias("b")).groupBy("domain", "b").count().collect():
+    # explode_outer: for explode the optimizer would filter on the array below the join, for every document
+    for r in counted.select("domain", F.explode_outer("buckets").alias("b")).where("b is not null").groupBy("domain", "b").count().collect():
         seen[domains.index(r.domain), r.b] = r["count"]
     share = (seen + 1) / (seen.sum(axis=1, keepdims=True) + BUCKETS)
     prior = np.log(np.array([r["count"] for r in many]) / sum(r["count"] for r in many))
@@ -136,6 +133,8 @@ def fit_rates(members: DataFrame, domains: list[str], weights: dict[str, float],
     reach and the totals are the nearest ones.
     """
     d = len(domains)
+    if not d:
+        return Rates([], np.zeros(0), low, high, np.zeros(0), np.zeros(0))
     at = lambda k: F.get("posterior", F.lit(k))
     tokens = F.col("n_tokens").cast("double")
     whole = members.agg(F.coalesce(F.sum(tokens), F.lit(0.0))).first()[0]
@@ -189,7 +188,9 @@ def mix_to_targets(docs: DataFrame, labelled: DataFrame, weights: dict[str, floa
 
     Null and empty texts have no tokens, the prior as posterior, and a rate like any other; null ids
     and repeated rows stay. Other columns of ``docs`` are left out. Targets that bounds or too few
-    documents make unreachable are met as nearly as the bounds allow.
+    documents make unreachable are met as nearly as the bounds allow. Of equal posteriors the domain that
+    sorts first is told. Without labelled documents (an empty table of either kind) there are no domains:
+    posteriors are empty, the domain is null and every rate is the one within the bounds next to 1.
     """
     model = fit_domains(docs, labelled, id_col, text_col)
     stage = Stage(docs.sparkSession, "mixing")
@@ -197,12 +198,15 @@ def mix_to_targets(docs: DataFrame, labelled: DataFrame, weights: dict[str, floa
     members = stage.put(memberships(narrow, model).select("id", "n_tokens", "posterior"), "members")
     fit = fit_rates(members, model.domains, weights, budget, low, high)
     names = F.array(*(F.lit(x) for x in model.domains))
-    domain = F.get(names, (F.array_position("posterior", F.array_max("posterior")) - 1).cast("int"))
+    domain = F.lit(None).cast("string") if not model.domains else F.get(names, (F.array_position("posterior", F.array_max("posterior")) - 1).cast("int"))
     return members.select(F.col("id").alias(id_col), "n_tokens", "posterior", domain.alias("domain"), fit.rate(F.col("posterior")).alias("rate")), fit
 
 
 def repeat_by_rate(docs: DataFrame, labelled: DataFrame, weights: dict[str, float], budget: float, low: float, high: float, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Every row of ``docs`` floor(rate) times, and once more with the rest as its chance, by a hash of its id."""
+    """Every row of ``docs`` floor(rate) times, and once more with the rest as its chance, by a hash of its id.
+
+    Rows of one id, or without one, are decided alike. Without labelled documents rates are those next to 1.
+    """
     model = fit_domains(docs, labelled, id_col, text_col)
     stage = Stage(docs.sparkSession, "mixing")
     # the rows with their posteriors are written once: every step, and the rates, read the columns they need

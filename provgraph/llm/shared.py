@@ -16,9 +16,11 @@ from pyspark.sql import DataFrame, SparkSession
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The session's ``spark.checkpoint.dir``; set to a fresh local folder only where it is unset."""
+    """The session's ``spark.checkpoint.dir``; only where it is unset, and all runs in one process, a fresh local folder."""
     found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not found:
+        if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
+            raise RuntimeError("spark.checkpoint.dir is unset; executors need a folder that all share")
         found = "file://" + tempfile.mkdtemp(prefix="provgraph-")
         spark.sparkContext.setCheckpointDir(found)
     return found.rstrip("/")

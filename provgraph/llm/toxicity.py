@@ -100,13 +100,16 @@ def fit_severity(docs: DataFrame, grades: DataFrame, id_col: str = "doc_id", tex
 
     At most ``sample`` labelled ids are used, those with the smallest hash, so the sample does not
     depend on order or partitions; a label whose document is missing counts among them and is unused.
-    Null grades and ids are ignored; of several grades of one id the highest counts.
+    Null grades and ids are ignored; of several grades of one id the highest counts, of several texts the
+    smallest. Without toxic or without clean labelled documents (an empty table, say) nothing is learned:
+    every text has severity 0.
     """
     spark = docs.sparkSession
     labelled = grades.where(f"grade is not null and {id_col} is not null").groupBy(id_col).agg(F.max("grade").alias("grade"))
     chosen = labelled.orderBy(F.xxhash64(id_col), id_col).limit(sample)  # bounded, so it may be broadcast
     stage = Stage(spark, "toxicity")
     rows = docs.select(F.col(id_col), F.col(text_col).cast("string").alias("text")).join(F.broadcast(chosen), id_col)
+    rows = rows.groupBy(id_col).agg(F.first("grade").alias("grade"), F.min("text").alias("text"))  # so rows are bounded too
     held = stage.put(rows.select(F.col("grade").cast("int"), "text").mapInArrow(_features, "grade int, buckets array<int>"), "sample")
     number = {r.grade: r["count"] for r in held.groupBy("grade").count().collect()}
     bad, good = sum(n for g, n in number.items() if g > 0), number.get(0, 0)
@@ -148,7 +151,9 @@ def score_severity(docs: DataFrame, model: Severity, id_col: str = "doc_id", tex
     """(id, n_words, severity, p_toxic, grade, toxic) of every whole text.
 
     ``severity``: the expected grade; ``grade``: the median one. Null and empty texts have no words and
-    get the severity of a text without features. Repeated rows and null ids stay; other columns go.
+    get the severity of a text without features. Repeated rows and null ids stay, an empty table gives no
+    rows, texts of any length are read whole, and the order of buckets or rows plays no part; other
+    columns go. A text exactly at ``limit`` is toxic.
     """
     rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"))
     kind = rows.schema["id"].dataType.simpleString()

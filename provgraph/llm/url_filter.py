@@ -54,20 +54,27 @@ def rule_of(host: Column, path: Column, rules: list[tuple[str, str, str]] = RULE
 
 
 def _absolute(link: Column, url: Column) -> Column:
-    """A link of a page as a URL; links without scheme or leading slash are not followed."""
+    """A link of a page as a URL, relative ones resolved against the page's."""
     origin = F.regexp_extract(url, r"(?s)^([^:]*://[^/?#]*)", 1)
     scheme = F.regexp_extract(url, r"^([^:]*):", 1)
-    return F.when(F.instr(link, "://") > 0, link).when(F.startswith(link, F.lit("//")), F.concat(scheme, F.lit(":"), link)).when(F.startswith(link, F.lit("/")), F.concat(origin, link))
+    path, query = F.regexp_extract(url, r"(?s)^[^:]*://[^/?#]*([^?#]*)", 1), F.regexp_extract(link, r"(?s)^[^?#]*(.*)$", 1)
+    folder = F.regexp_replace(path, r"(?s)[^/]*$", "")
+    steps = F.split(F.concat(F.when(folder == "", F.lit("/")).otherwise(folder), F.regexp_extract(link, r"(?s)^[^?#]*", 0)), "/")
+    last = F.element_at(steps, -1)
+    up = lambda out, x: F.when(x == "..", F.slice(out, 1, F.greatest(F.size(out) - 1, F.lit(0)))).when(x.isin("", "."), out).otherwise(F.concat(out, F.array(x)))
+    kept = F.aggregate(steps, F.expr("cast(array() as array<string>)"), up)
+    tail = F.when(last.isin("", ".", "..") & (F.size(kept) > 0), F.lit("/")).otherwise("")
+    beside = F.concat(origin, F.lit("/"), F.array_join(kept, "/"), tail, query)
+    return F.when(F.instr(link, "://") > 0, link).when(link.rlike(r"^[A-Za-z][A-Za-z0-9+.-]*:"), None).when(F.startswith(link, F.lit("//")), F.concat(scheme, F.lit(":"), link)).when(F.startswith(link, F.lit("/")), F.concat(origin, link)).when(link.rlike(r"^[?#]"), F.concat(origin, path, link)).otherwise(beside)
 
 
 def page_links(pages: DataFrame, url_col: str = "url", html_col: str = "html") -> DataFrame:
-    """(source, target): canonical forms joined by a page's canonical link or refresh."""
+    """(source, target): canonical forms joined by a page's canonical links and refreshes, all of them."""
     html, url = F.col(html_col), F.col(url_col)
-    link_tag = F.regexp_extract(html, r"(?is)<link\b[^>]*\brel\s*=\s*[\"']?canonical\b[^>]*>", 0)
-    href = F.regexp_extract(link_tag, r"(?is)\bhref\s*=\s*[\"']?([^\"'\s>]+)", 1)
-    meta = F.regexp_extract(html, r"(?is)<meta\b[^>]*\bhttp-equiv\s*=\s*[\"']?refresh\b[^>]*>", 0)
-    to = F.regexp_extract(meta, r"(?is)\burl\s*=\s*[\"']?([^\"'\s>;]+)", 1)
-    each = pages.select(url.alias("url"), F.explode(F.array(href, to)).alias("link")).where("link <> ''")
+    tags = lambda pattern: F.regexp_extract_all(html, F.lit(pattern), F.lit(0))
+    links = F.transform(tags(r"(?is)<link\b[^>]*\brel\s*=\s*[\"']?canonical\b[^>]*>"), lambda t: F.regexp_extract(t, r"(?is)\bhref\s*=\s*[\"']?([^\"'\s>]+)", 1))
+    moves = F.transform(tags(r"(?is)<meta\b[^>]*\bhttp-equiv\s*=\s*[\"']?refresh\b[^>]*>"), lambda t: F.regexp_extract(t, r"(?is)\burl\s*=\s*[\"']?([^\"'\s>;]+)", 1))
+    each = pages.select(url.alias("url"), F.explode_outer(F.concat(links, moves)).alias("link")).where("link <> ''")
     return each.select(canonical(F.col("url")).alias("source"), canonical(_absolute(F.col("link"), F.col("url"))).alias("target")).where("source is not null and target is not null and source <> target")
 
 
@@ -80,8 +87,9 @@ def judge_urls(pages: DataFrame, redirects: DataFrame | None = None, rules: list
     URLs, besides those in the pages. ``component``: the smallest canonical form of the class.
 
     Null URLs and those without ``://`` have empty host and path, no rule and no aliases, and are
-    allowed. Null html has no links; repeated rows are judged each; other columns are left out. A class
-    is reduced to two flags before it is joined back, so its size does not matter.
+    allowed. Null html has no links; repeated rows are judged each, html of any length is read whole and an
+    empty table gives no rows; of rules that fit equally long the first by name counts; other columns are
+    left out. A class is reduced to two flags before it is joined back, so its size does not matter.
     """
     stage = Stage(pages.sparkSession, "url-filter")
     url = F.col(url_col)
