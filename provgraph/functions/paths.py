@@ -15,6 +15,10 @@ from pyspark.sql.types import StringType
 from provgraph.functions.enums import KINDS
 
 
+# Words for the stage of a file at the end of its name.
+STAGED = r"(?i)[_-]?(?:final|draft|debug|diagnostic|intermediate)$"
+
+
 def directory(path: Column) -> Column:
     """Everything before the last slash; '' at the top."""
     return F.regexp_extract(path, r"^(.*)/[^/]*$", 1)
@@ -49,7 +53,17 @@ def series(name: Column) -> Column:
 
 def template(name: Column) -> Column:
     """Every run of digits as ``{n}``, a trailing stage word as ``-{stage}``."""
-    return F.regexp_replace(F.regexp_replace(name, r"\d+", "{n}"), r"[-_](draft|final|preview|raw|clean|cleaned|processed)$", "-{stage}")
+    return F.regexp_replace(F.regexp_replace(name, r"\d+", "{n}"), STAGED, "-{stage}")
+
+
+def path_key(path: Column) -> Column:
+    """The form in which paths are compared where case does not count."""
+    return F.lower(F.regexp_replace(path, r"\\", "/"))
+
+
+def short_id(kind: Column, value: Column) -> Column:
+    """A stable id of something without a file: its kind and a part of a digest."""
+    return F.concat(kind, F.lit(":"), F.left(F.sha2(value, 256), F.lit(24)))
 
 
 def prefixes(path: Column) -> Column:

@@ -6,12 +6,17 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 WORD = r"[\p{L}\p{N}_]+"
-# Keys whose values are secret.
-SECRET = r"(?i)\b(api[_-]?key|access[_-]?token|token|password|passwd|secret)(\s*[=:]\s*)\S+"
+# Values that are secret by the word before them, keys of metadata that are, credentials in URLs.
+SECRET = r"(?i)(password|passwd|token|secret|api[-_]?key|authorization)(\s*[:=]\s*)([^\s,;]+)"
+SENSITIVE = r"(?i)(conversation|transcript|messages?|prompt|environment|env|password|passwd|token|secret|api[-_]?key|authorization|cookie)"
+CREDENTIAL = r"(?i)([a-z][a-z0-9+.-]*://[^:/\s]+:)([^@/\s]+)(@)"
+# Literal references in texts: links, attributes, style sheets, quoted strings.
 REFERENCES = {
-    "link": r"\]\(([^)\s]+)\)",
+    "link": r"!?\[[^\]]*\]\(([^)]+)\)",
     "attribute": r"(?i)(?:href|src)\s*=\s*[\"']([^\"']+)[\"']",
-    "css": r"(?i)url\(\s*[\"']?([^\"')]+)[\"']?\s*\)",
+    "css": r"(?i)url\(\s*[\"']?([^)\"']+)[\"']?\s*\)",
+    "double": r'"([^\x22\x27\r\n]{1,1024})"',
+    "single": r"'([^\x22\x27\r\n]{1,1024})'",
 }
 
 
@@ -45,6 +50,17 @@ def summary(text: Column) -> Column:
     return F.when(F.length(line) > 240, F.concat(F.left(line, F.lit(239)), F.lit("…"))).otherwise(line)
 
 
+def private_reference(value: Column, prefix: str) -> Column:
+    """An id that does not tell what it stands for."""
+    return F.concat(F.lit(prefix + "-"), F.left(F.sha2(F.coalesce(value, F.lit(prefix)), 256), F.lit(16)))
+
+
+def safe_metadata(metadata: Column) -> Column:
+    """map<string, string> without sensitive keys, secrets and credentials in values redacted."""
+    kept = F.map_filter(metadata, lambda k, v: ~k.rlike(SENSITIVE))
+    return F.transform_values(kept, lambda k, v: F.regexp_replace(redacted(v), CREDENTIAL, "$1[REDACTED]$3"))
+
+
 def cleaned_reference(raw: Column) -> Column:
     """A reference without fragment and query; null for anchors and other schemes."""
     cut = F.substring_index(F.substring_index(raw, "#", 1), "?", 1)

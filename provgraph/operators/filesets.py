@@ -42,13 +42,14 @@ def conventions(artifacts: DataFrame) -> DataFrame:
     return out.where("total >= 2").select("suffix", F.col("m.d").alias("usual_directory"), F.round(-F.col("m.n") / F.col("total"), 2).alias("share"), "total", "scattered_across")
 
 
-DRIFT = r"(?i)(^|[_ -])(final|copy|old|new|backup|draft|v\d+)($|[_ .-])"
+# Tokens of names that accrete instead of being replaced.
+DRIFT = r"(?i)(?:^|[-_.\s])(?:final|finalfinal|new|old|copy|backup|bak|tmp|temp|draft|v\d+|version\d+|\d{4}-\d{2}-\d{2}|\d{8})(?:$|[-_.\s])"
 
 
 def layout_findings(artifacts: DataFrame, crowded: int = 40, long: int = 60, deep: int = 6) -> DataFrame:
     """(finding, n): lone files, long and drifting names, deep paths, crowded directories."""
     p = F.col("path")
-    own = artifacts.agg(F.count_if(F.length(basename(p)) > long).alias("long_name"), F.count_if(F.size(F.split(p, "/")) > deep).alias("deep_path"), F.count_if(stem(p).rlike(DRIFT)).alias("drift_name"))
+    own = artifacts.agg(F.count_if(F.length(basename(p)) > long).alias("long_name"), F.count_if(F.size(F.split(p, "/")) > deep).alias("deep_path"), F.count_if(basename(p).rlike(DRIFT)).alias("drift_name"))
     dirs = artifacts.groupBy(directory(p).alias("d")).count().agg(F.count_if(F.col("count") == 1).alias("single_file"), F.count_if(F.col("count") >= crowded).alias("crowded"))
     flat = lambda df: df.select(F.explode(F.map_from_arrays(F.array(*map(F.lit, df.columns)), F.array(*df.columns))).alias("finding", "n"))
     return flat(own).unionByName(flat(dirs))
@@ -75,10 +76,12 @@ def suggest_placement(requests: DataFrame, artifacts: DataFrame, least_share: fl
 def run_clusters(changes: DataFrame, least: int = 10) -> DataFrame:
     """(run_id, label, n_members, representatives): families of paths that a run created.
 
-    Representatives: the first three, the middle and the last.
+    A family shares directory, suffix in lower case and the template of its names. Representatives: the
+    first three, the middle and the last.
     """
     p = F.col("path")
-    label = F.concat(directory(p), F.lit("/"), template(stem(p)), F.lit("."), suffix(p))
+    ext = F.when(suffix(p) != "", F.concat(F.lit("."), F.lower(suffix(p)))).otherwise("")
+    label = F.concat(F.when(directory(p) != "", directory(p)).otherwise("."), F.lit("/"), template(stem(p)), F.lit("*"), ext)
     out = changes.where("change = 'created'").groupBy("run_id", label.alias("label")).agg(F.array_sort(F.collect_set("path")).alias("m"))
     n = F.size("m")
     shown = F.array_distinct(F.concat(F.slice("m", 1, 3), F.array(F.element_at("m", F.floor(n / 2).cast("int") + 1), F.element_at("m", -1))))
@@ -86,6 +89,13 @@ def run_clusters(changes: DataFrame, least: int = 10) -> DataFrame:
 
 
 def timeline(events: DataFrame) -> DataFrame:
-    """(at, path, what, previous): events in order of time and path, each with the one before it of its kind."""
-    order = Window.partitionBy("what").orderBy("at", "path")
-    return events.select("at", "path", "what", F.lag("path").over(order).alias("previous"))
+    """(at, path, what, event, previous): events in order of time and path, each with the one before it of its kind.
+
+    The one before is looked up within a day, and for the first of a day it is the last of the day before
+    that has any, so no kind is sorted in one task.
+    """
+    e = events.select("at", "path", "what", "event", F.to_date("at").alias("day"))
+    last = e.groupBy("what", "day").agg(F.max(F.struct("at", "path")).alias("m"))
+    carried = last.select("what", "day", F.lag("m.path").over(Window.partitionBy("what").orderBy("day")).alias("carried"))  # a row a day
+    within = F.lag("path").over(Window.partitionBy("what", "day").orderBy("at", "path"))
+    return e.withColumn("within", within).join(carried, ["what", "day"]).select("at", "path", "what", "event", F.coalesce("within", "carried").alias("previous"))

@@ -17,6 +17,7 @@ def impact(edges: DataFrame, roots: DataFrame, minimum: float = 0.3, depth: int
     Each level is one join of the frontier with the edges; skewed nodes are split by adaptive execution.
     """
     live = edges.where(F.col("score") >= minimum).select("source_id", "target_id", "relation", "score", verified(F.col("relation"), F.col("assurance")).alias("sure"))
+    live = cut(live)
     seen = roots.select(F.col("root_id"), F.col("root_id").alias("node"))
     frontier, out = seen, None
     for level in range(1, depth + 1):
@@ -33,8 +34,9 @@ def impact(edges: DataFrame, roots: DataFrame, minimum: float = 0.3, depth: int
 
 def k_hop(edges: DataFrame, roots: DataFrame, hops: int = 2) -> DataFrame:
     """(root_id, node_id, hop): undirected neighbourhood of each root, itself at hop 0."""
-    both = edges.select(F.col("source_id").alias("a"), F.col("target_id").alias("b"))
-    both = both.unionByName(both.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct()
+    ends = cut(edges.select("source_id", "target_id"))
+    pair = lambda a, b: F.struct(F.col(a).alias("a"), F.col(b).alias("b"))
+    both = ends.select(F.inline(F.array(pair("source_id", "target_id"), pair("target_id", "source_id"))))
     seen = roots.select("root_id", F.col("root_id").alias("node_id"), F.lit(0).alias("hop"))
     frontier = seen
     for hop in range(1, hops + 1):
@@ -49,7 +51,7 @@ def shortest_path(edges: DataFrame, roots: DataFrame, goals: DataFrame, minimum:
 
     Among equal ones the parent reached by the better edge (score, then smaller id) is kept.
     """
-    live = edges.where(F.col("score") >= minimum).select("source_id", "target_id", "score")
+    live = cut(edges.where(F.col("score") >= minimum).select("source_id", "target_id", "score"))
     frontier = roots.select("root_id", F.col("root_id").alias("node"), F.array("root_id").alias("path"))
     seen = frontier
     for _ in range(depth):
@@ -65,18 +67,20 @@ def shortest_path(edges: DataFrame, roots: DataFrame, goals: DataFrame, minimum:
 
 
 def walk(edges: DataFrame, starts: DataFrame, minimum: float = 0.3, steps: int = 8, forward: bool = True) -> DataFrame:
-    """(start_id, step, source_id, target_id, relation): from each start along its strongest edges.
+    """(start_id, step, source_id, target_id, relation): from each start along its strongest edges to nodes not seen yet.
 
-    Ties go to the smaller next node; a walk ends where the strongest edge leads to a node it has been at.
+    Ties go to the smaller next node, then relation. Of each node only the ``steps`` + 1 strongest edges
+    to different nodes can ever be taken, as a walk has seen no more nodes than that; so a hub is one short row.
     """
     a, b = ("source_id", "target_id") if forward else ("target_id", "source_id")
-    best = edges.where(F.col("score") >= minimum).groupBy(a).agg(F.min(F.struct((-F.col("score")).alias("s"), F.col(b).alias("next"), "relation")).alias("e"))
-    best = cut(best.select(F.col(a).alias("node"), "e.next", "e.relation"))
+    one = edges.where((F.col("score") >= minimum) & (F.col(a) != F.col(b))).groupBy(F.col(a).alias("node"), F.col(b).alias("next")).agg(F.min(F.struct((-F.col("score")).alias("s"), "relation")).alias("e"))
+    ranked = one.select("node", F.struct("e.s", "next", "e.relation").alias("e")).withColumn("at", F.row_number().over(Window.partitionBy("node").orderBy("e"))).where(F.col("at") <= steps + 1)
+    best = cut(ranked.groupBy("node").agg(F.array_sort(F.collect_list("e")).alias("best")))
     frontier = starts.select("start_id", F.col("start_id").alias("node"), F.array("start_id").alias("path"))
     out = None
     for step in range(1, steps + 1):
-        moved = frontier.join(best, "node").where(~F.array_contains("path", F.col("next")))
-        moved = cut(moved.select("start_id", F.lit(step).alias("step"), "node", "next", "relation", F.concat("path", F.array("next")).alias("path")))
+        moved = frontier.join(best, "node").withColumn("e", F.get(F.filter("best", lambda e: ~F.array_contains(F.col("path"), e["next"])), F.lit(0))).where("e is not null")
+        moved = cut(moved.select("start_id", F.lit(step).alias("step"), "node", "e.next", "e.relation", F.concat("path", F.array("e.next")).alias("path")))
         told = moved.select("start_id", "step", F.col("node" if forward else "next").alias("source_id"), F.col("next" if forward else "node").alias("target_id"), "relation")
         out = told if out is None else out.unionByName(told)
         if moved.isEmpty():
@@ -97,33 +101,57 @@ def pipeline_chains(edges: DataFrame, starts: DataFrame, minimum: float = 0.3, s
     return chains.select("start_id", "n_steps", F.array_join("nodes", ">").alias("chain")).join(tails, "chain", "left_anti").select("start_id", "n_steps", "chain")
 
 
+def _stale_edges(edges: DataFrame, minimum: float) -> DataFrame:
+    live = edges.where((F.col("score") >= minimum) & F.col("relation").isin(STALE) & (F.col("source_id") != F.col("target_id")))
+    return live.select("source_id", "target_id", "relation", "score", F.coalesce(verified(F.col("relation"), F.col("assurance")), F.lit(False)).alias("sure"))
+
+
+def _graded(found: DataFrame, times: DataFrame) -> DataFrame:
+    """(upstream, downstream, via, relation, depth, state) of found (upstream, downstream, via, relation, depth, least, sure_all)."""
+    up, down = times.select(F.col("node").alias("upstream"), F.col("mtime").alias("up")), times.select(F.col("node").alias("downstream"), F.col("mtime").alias("down"))
+    dated = found.join(up, "upstream").join(down, "downstream", "left").where("up is not null")
+    return dated.select("upstream", "downstream", "via", "relation", "depth", grade(F.col("up") > F.col("down"), F.col("sure_all"), F.col("least")).alias("state"))
+
+
 def stale_direct(edges: DataFrame, times: DataFrame, minimum: float = 0.3) -> DataFrame:
     """Edges whose upstream is newer than their downstream, graded: (upstream, downstream, depth, state)."""
-    return stale_chains(edges, times, None, minimum, 1).where(F.col("state").endswith("_stale"))
+    each = _stale_edges(edges, minimum).select(F.col("source_id").alias("upstream"), F.col("target_id").alias("downstream"), F.col("source_id").alias("via"), "relation", F.lit(1).alias("depth"), F.col("score").alias("least"), F.col("sure").alias("sure_all"))
+    return _graded(each, times).where(F.col("state").endswith("_stale")).select("upstream", "downstream", "depth", "state")
 
 
-def stale_chains(edges: DataFrame, times: DataFrame, roots: DataFrame | None, minimum: float = 0.3, depth: int = 3) -> DataFrame:
-    """(upstream, downstream, depth, state): everything upstream of each root along stale relations.
+def stale_chains(edges: DataFrame, times: DataFrame, roots: DataFrame | None = None, minimum: float = 0.3, depth: int = 5) -> DataFrame:
+    """(upstream, downstream, via, relation, depth, state): every edge that is traversed downstream of each root.
 
-    A node counts at its least depth; of chains of that length the first by (score of the last edge
-    descending, source, parent) is graded. Without roots every target is one.
+    From a root with a time outgoing relations that pass staleness on are followed, each node once, at its
+    least depth, by the chain that comes first in breadth-first order: that of the parent reached first,
+    then of the better edge (score, then smaller id and relation). Every edge that leaves such a node, but
+    for those back to the root, is graded by the chain that it ends: all of it verified, its least score.
+    Without ``roots`` every node with a time is one.
     """
-    live = edges.where((F.col("score") >= minimum) & F.col("relation").isin(STALE)).select("source_id", "target_id", "score", verified(F.col("relation"), F.col("assurance")).alias("sure"))
-    live = cut(live)
-    frontier = (roots if roots is not None else live.select(F.col("target_id").alias("root_id")).distinct()).select("root_id", F.col("root_id").alias("node"), F.lit(1.0).alias("least"), F.lit(True).alias("sure_all"))
+    live = cut(_stale_edges(edges, minimum))
+    start = (roots if roots is not None else times.where("mtime is not null").select(F.col("node").alias("root_id"))).distinct()
+    rank = "array<struct<s:double,target_id:string,relation:string>>"
+    frontier = start.select("root_id", F.col("root_id").alias("node"), F.lit(1.0).alias("least"), F.lit(True).alias("sure_all"), F.expr(f"cast(array() as {rank})").alias("turn"))
     seen, out = frontier.select("root_id", "node"), None
     for level in range(1, depth + 1):
-        step = frontier.join(live, F.col("node") == F.col("target_id"))
-        fold = F.struct((-F.col("score")).alias("s"), F.col("node").alias("parent"), F.least("least", "score").alias("least"), (F.col("sure_all") & F.col("sure")).alias("sure_all"))
-        fresh = step.groupBy("root_id", F.col("source_id").alias("node")).agg(F.min(fold).alias("c")).join(seen, ["root_id", "node"], "left_anti")
-        fresh = fresh.select("root_id", "node", "c.least", "c.sure_all", F.lit(level).alias("depth"))
-        fresh = cut(fresh) if depth > 1 else fresh
-        out = fresh if out is None else out.unionByName(fresh)
-        if level < depth:
-            frontier, seen = fresh.drop("depth"), cut(seen.unionByName(fresh.select("root_id", "node")))
-    up, down = times.select(F.col("node"), F.col("mtime").alias("up")), times.select(F.col("node").alias("root_id"), F.col("mtime").alias("down"))
-    dated = out.join(up, "node", "left").join(down, "root_id", "left")
-    return dated.select(F.col("node").alias("upstream"), F.col("root_id").alias("downstream"), "depth", grade(F.col("up") > F.col("down"), F.col("sure_all"), F.col("least")).alias("state"))
+        step = frontier.join(live, F.col("node") == F.col("source_id")).where("target_id <> root_id")
+        mine = F.array(F.struct((-F.col("score")).alias("s"), "target_id", "relation"))
+        step = cut(step.select("root_id", F.col("node").alias("via"), "target_id", "relation", F.least("least", "score").alias("least"), (F.col("sure_all") & F.col("sure")).alias("sure_all"), F.concat("turn", mine).alias("turn")))
+        told = step.select(F.col("root_id").alias("upstream"), F.col("target_id").alias("downstream"), "via", "relation", F.lit(level).alias("depth"), "least", "sure_all")
+        out = told if out is None else out.unionByName(told)
+        if level == depth or step.isEmpty():
+            break
+        first = step.groupBy("root_id", F.col("target_id").alias("node")).agg(F.min(F.struct("turn", "least", "sure_all")).alias("c"))
+        frontier = cut(first.join(seen, ["root_id", "node"], "left_anti").select("root_id", "node", "c.least", "c.sure_all", "c.turn"))
+        seen = cut(seen.unionByName(frontier.select("root_id", "node")))
+    return _graded(out, times)
+
+
+def stale_counts(stale: DataFrame) -> DataFrame:
+    """(upstream, state counts, overall_state): how many edges downstream of each root are in each state, and the worst."""
+    order = ["definitely_stale", "probably_stale", "possibly_stale", "current", "unknown"]
+    worst = F.coalesce(*(F.when(F.col(x) > 0, x) for x in order))
+    return stale.groupBy("upstream").agg(*(F.count_if(F.col("state") == x).alias(x) for x in order)).withColumn("overall_state", worst)
 
 
 def orphans(artifacts: DataFrame, producers: DataFrame) -> DataFrame:

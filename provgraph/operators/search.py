@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from provgraph.functions.text import words
+from provgraph.plans.lineage import cut
 
 
 def search_like(texts: DataFrame, term: str, limit: int = 20) -> DataFrame:
@@ -20,12 +21,12 @@ def search_like(texts: DataFrame, term: str, limit: int = 20) -> DataFrame:
 def search_bm25(texts: DataFrame, terms: list[str], k1: float = 1.2, b: float = 0.75) -> DataFrame:
     """(id, score) of texts that have all terms, by BM25 over all texts.
 
-    Counts are made inside each row, so one aggregation gives all statistics and nothing is exploded.
+    Counts are made inside each row and kept, so texts are read once and nothing is exploded.
     """
     found = texts.select("id", words(F.col("text")).alias("w"))
     for k, t in enumerate(terms):
         found = found.withColumn(f"f{k}", _times("w", t))
-    found = found.withColumn("n", F.size("w")).drop("w")
+    found = cut(found.withColumn("n", F.size("w")).drop("w"))  # a few numbers a text, so texts are read once
     stats = found.agg(F.count("*").alias("docs"), F.avg("n").alias("mean"), *(F.count_if(F.col(f"f{k}") > 0).alias(f"d{k}") for k in range(len(terms)))).first()
     score = F.lit(0.0)
     for k in range(len(terms)):

@@ -10,9 +10,12 @@ from pyspark.sql import DataFrame
 def cut(df: DataFrame) -> DataFrame:
     """``df`` computed and written to the session's checkpoint folder, from which later steps read.
 
-    The folder is ``spark.checkpoint.dir``; only where that is unset (tests) a local one is made.
+    The folder is ``spark.checkpoint.dir``; only where that is unset, and all runs in one process (tests), a local one is made.
     """
     context = df.sparkSession.sparkContext
     if not context.getCheckpointDir():
-        context.setCheckpointDir(df.sparkSession.conf.get("spark.checkpoint.dir", None) or "file://" + tempfile.mkdtemp(prefix="provgraph-"))
+        found = df.sparkSession.conf.get("spark.checkpoint.dir", None)
+        if not found and not context.master.startswith("local[") and context.master != "local":
+            raise RuntimeError("spark.checkpoint.dir is unset; executors need a folder that all share")
+        context.setCheckpointDir(found or "file://" + tempfile.mkdtemp(prefix="provgraph-"))
     return df.checkpoint(eager=True)

@@ -6,10 +6,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from provgraph.functions import text as T
-from provgraph.functions.enums import PRODUCERS, STALE
+from provgraph.functions.enums import CLASSES, EDITABLE, EXPORTED, PRODUCERS, STALE
 from provgraph.operators import claims as C
-from provgraph.operators import exports, filesets, graph, search, similarity, snapshots
+from provgraph.operators import answers, capture, documents, exports, filesets, graph, search, similarity, snapshots, store
+from provgraph.sources import extract, scan
 from provgraph.sources.corpus import ctes, table, view
+from provgraph.streaming.runs import pending
 
 QUERIES: dict = {}
 ORACLE_SQL: dict = {}
@@ -28,9 +30,11 @@ def query(name: str, sql: str | None = None):
 _LABEL = "CASE WHEN score >= 1.0 THEN 'exact' WHEN score >= 0.8 THEN 'strong' WHEN score >= 0.55 THEN 'probable' WHEN score >= 0.3 THEN 'weak' ELSE 'unknown' END"
 _ASSURED = "CASE WHEN score >= 1.0 THEN 'verified' WHEN score >= 0.8 THEN 'strong-candidate' WHEN score >= 0.55 THEN 'candidate' WHEN score >= 0.3 THEN 'weak-signal' ELSE 'insufficient' END"
 _CLAIMS = ctes("evidence") + f""", grouped AS (
-  SELECT source_id, target_id, relation, signal_group, max(CASE WHEN active THEN least(greatest(weight, 0), 0.99) END) AS w, bool_or(active AND exact_allowed AND weight >= 1) AS exact, count(*) AS n
+  SELECT source_id, target_id, relation, signal_group, max(CASE WHEN active THEN least(greatest(weight, 0), 0.99) END) AS w, bool_or(active AND exact_allowed AND weight >= 1) AS exact, count(*) AS n,
+  bool_or(kind = 'w3c-prov-import') AS prov, bool_or(contains(kind, 'declaration')) AS decl, bool_or(mode = 'captured') AS capt, bool_or(mode = 'imported') AS imp, bool_or(trusted) AS tru, bool_or(mode IN ('static', 'explicit')) AS stat, bool_or(mode = 'content') AS cont
   FROM evidence GROUP BY ALL), scored AS (
-  SELECT source_id, target_id, relation, CASE WHEN bool_or(exact) THEN 1.0::DOUBLE ELSE round(least(0.99, 1 - product(1 - coalesce(w, 0))), 4)::DOUBLE END AS score, sum(n)::BIGINT AS n_evidence
+  SELECT source_id, target_id, relation, CASE WHEN bool_or(exact) THEN 1.0::DOUBLE ELSE round(least(0.99, 1 - product(1 - coalesce(w, 0))), 4)::DOUBLE END AS score, sum(n)::BIGINT AS n_evidence,
+  CASE WHEN bool_or(prov) THEN 3 WHEN bool_or(decl) AND bool_or(capt) THEN 1 WHEN bool_or(capt) THEN 2 WHEN bool_or(imp) AND bool_or(tru) THEN 3 WHEN bool_or(stat) THEN 4 WHEN bool_or(cont) THEN 5 ELSE 6 END AS priority
   FROM grouped GROUP BY ALL), claims AS (SELECT *, {_LABEL} AS confidence, {_ASSURED} AS assurance FROM scored)"""
 _EDGES = _CLAIMS + ", " + ctes("declared") + """, edges AS (SELECT source_id, target_id, relation, score, assurance FROM claims
   UNION ALL SELECT source_id, target_id, relation, score::DOUBLE, assurance FROM declared)"""
@@ -47,13 +51,14 @@ def edges(spark, d: str) -> DataFrame:
     return claims(spark, d).select("source_id", "target_id", "relation", "score", "assurance").unionByName(declared)
 
 
-def roots(spark, *names: str) -> DataFrame:
-    return spark.createDataFrame([(n,) for n in names], "root_id string")
+def roots(spark, d: str, letter: str, name: str, key: str) -> DataFrame:
+    """All nodes of one table."""
+    return table(spark, d, name).select(F.concat(F.lit(f"{letter}:"), F.col(key).cast("string")).alias("root_id")).distinct()
 
 
 @query("score_claims", f"WITH {_CLAIMS} SELECT source_id, target_id, score, confidence, assurance, n_evidence FROM claims")
 def score_claims(spark, d):
-    return claims(spark, d).drop("relation")
+    return claims(spark, d).drop("relation", "priority")
 
 
 @query("confidence_histogram", f"WITH {_CLAIMS} SELECT confidence, count(*) AS n_claims FROM claims GROUP BY confidence")
@@ -72,12 +77,12 @@ def evidence_basis(spark, d):
 
 @query("evidence_observed", f"""WITH {ctes("evidence")} SELECT source_id, target_id, max(observed_at) FILTER (active) AS observed_at, 'origin:' || target_id AS competing_group FROM evidence GROUP BY source_id, target_id""")
 def evidence_observed(spark, d):
-    return C.evidence_summary(view(spark, d, "evidence").withColumn("mode", F.lit("captured"))).select("source_id", "target_id", "observed_at", "competing_group")
+    return C.evidence_summary(view(spark, d, "evidence")).select("source_id", "target_id", "observed_at", "competing_group")
 
 
 @query("why_best_producer", f"""WITH {_CLAIMS}, found AS (SELECT *, assurance = 'verified' AS sure FROM claims WHERE score >= 0.3),
 counted AS (SELECT *, count(*) FILTER (sure) OVER (PARTITION BY target_id) AS n_sure, count(*) OVER (PARTITION BY target_id) AS n_candidates FROM found),
-ranked AS (SELECT *, row_number() OVER (PARTITION BY target_id ORDER BY (sure AND n_sure = 1) DESC, score DESC, source_id) AS at_ FROM counted)
+ranked AS (SELECT *, row_number() OVER (PARTITION BY target_id ORDER BY (sure AND n_sure = 1) DESC, score DESC, priority, source_id) AS at_ FROM counted)
 SELECT target_id, source_id AS best_source_id, score, assurance, n_candidates, n_sure = 1 AS unique_producer FROM ranked WHERE at_ = 1""")
 def why_best_producer(spark, d):
     return C.best_producer(claims(spark, d))
@@ -128,7 +133,7 @@ def conventions(spark, d):
 @query("layout_findings", f"""WITH {_PATHS}, dirs AS (SELECT dir, count(*) AS n FROM p GROUP BY dir)
 SELECT 'long_name' AS finding, count(*) AS n FROM p WHERE length(name) > 60
 UNION ALL SELECT 'deep_path', count(*) FROM p WHERE len(string_split(path, '/')) > 6
-UNION ALL SELECT 'drift_name', count(*) FROM p WHERE regexp_matches(stem, '(?i)(^|[_ -])(final|copy|old|new|backup|draft|v\\d+)($|[_ .-])')
+UNION ALL SELECT 'drift_name', count(*) FROM p WHERE regexp_matches(name, '(?i)(?:^|[-_.\\s])(?:final|finalfinal|new|old|copy|backup|bak|tmp|temp|draft|v\\d+|version\\d+|\\d{{4}}-\\d{{2}}-\\d{{2}}|\\d{{8}})(?:$|[-_.\\s])')
 UNION ALL SELECT 'single_file', count(*) FROM dirs WHERE n = 1 UNION ALL SELECT 'crowded', count(*) FROM dirs WHERE n >= 40""")
 def layout_findings(spark, d):
     return filesets.layout_findings(view(spark, d, "artifacts"))
@@ -173,9 +178,91 @@ def incremental_plan(spark, d):
     return snapshots.incremental_plan(view(spark, d, "before_snapshot"), view(spark, d, "after_snapshot"))
 
 
-@query("receipt", f"WITH {ctes('run_changes')} SELECT run_id, change, path FROM run_changes")
+_PARTS = "SELECT p_partkey AS artifact_id, concat('part/run_', cast(p_partkey AS varchar(20)), '.csv') AS path FROM part"
+
+
+@query("receipt", f"""WITH {ctes("run_changes", "versions")}, parts AS ({_PARTS}), current AS (SELECT artifact_id, arg_max(version_id, (observed_at, version_id)) AS version_id FROM versions GROUP BY artifact_id)
+SELECT run_id, change, path, NULL::VARCHAR AS previous_path, artifact_id, version_id FROM run_changes LEFT JOIN parts USING (path) LEFT JOIN current USING (artifact_id)""")
 def receipt(spark, d):
-    return view(spark, d, "run_changes")
+    parts = spark.sql(_PARTS.replace("FROM part", "FROM {part}"), part=table(spark, d, "part"))
+    changed = view(spark, d, "run_changes").withColumn("previous_path", F.lit(None).cast("string"))
+    return answers.receipt(changed, parts, view(spark, d, "versions"))
+
+
+_RUNS = "SELECT concat('run:', cast(l_orderkey % 50 AS varchar(20))) AS run_id, CASE (l_orderkey % 50) % 6 WHEN 0 THEN 'failed' WHEN 1 THEN 'recovered' WHEN 2 THEN 'incomplete' WHEN 3 THEN 'in_progress' ELSE 'completed' END AS status, (l_orderkey % 50) % 2 = 0 AS direct_runtime FROM lineitem"
+
+
+@query("run_evidence", f"""WITH {ctes("run_changes")}, parts AS ({_PARTS}), runs AS (SELECT DISTINCT * FROM ({_RUNS})), e AS (SELECT *, direct_runtime AND change IN ('created', 'modified') AND status IN ('completed', 'failed') AS cause FROM run_changes JOIN runs USING (run_id) LEFT JOIN parts USING (path) WHERE status <> 'in_progress')
+SELECT run_id AS source_id, artifact_id::VARCHAR AS target_id, CASE WHEN cause THEN 'was_generated_by' ELSE 'observed_' || change || '_during' END AS relation, CASE WHEN status IN ('recovered', 'incomplete') THEN status || '-' ELSE '' END || 'task-boundary-diff' AS kind,
+ CASE status WHEN 'recovered' THEN 0.75 WHEN 'incomplete' THEN 0.5 ELSE 1.0 END::DOUBLE AS weight, cause AS exact_allowed, CASE WHEN cause THEN 'confirmation' ELSE 'observation' END AS basis FROM e""")
+def run_evidence(spark, d):
+    parts = spark.sql(_PARTS.replace("FROM part", "FROM {part}"), part=table(spark, d, "part")).withColumn("artifact_id", F.col("artifact_id").cast("string"))
+    runs = spark.sql(_RUNS.replace("FROM lineitem", "FROM {lineitem}"), lineitem=table(spark, d, "lineitem")).distinct()
+    return capture.run_evidence(view(spark, d, "run_changes"), runs, parts).select("source_id", "target_id", "relation", "kind", "weight", "exact_allowed", "basis")
+
+
+_COMMANDS = "SELECT concat('p:', cast(p_partkey AS varchar(20))) AS run_id, p_brand AS cwd, CASE WHEN p_size % 7 = 0 THEN '--token=[REDACTED]' ELSE p_name END AS word FROM part"
+
+
+@query("reproduce_plan", f"""WITH {_CLAIMS}, runs AS ({_COMMANDS}), found AS (SELECT *, assurance = 'verified' AS sure FROM claims),
+counted AS (SELECT *, count(*) FILTER (sure) OVER (PARTITION BY target_id) AS n_sure FROM found), ranked AS (SELECT *, row_number() OVER (PARTITION BY target_id ORDER BY (sure AND n_sure = 1) DESC, score DESC, priority, source_id, relation) AS r FROM counted)
+SELECT target_id, CASE WHEN NOT sure THEN 'insufficient-evidence' WHEN word IS NOT NULL AND NOT contains(word, '[REDACTED]') THEN 'ready' ELSE 'manual-review' END AS status, CASE WHEN sure THEN coalesce(cwd, '.') END AS working_directory, CASE WHEN sure THEN word END AS command FROM ranked LEFT JOIN runs ON run_id = source_id WHERE r = 1""")
+def reproduce_plan(spark, d):
+    runs = spark.sql(_COMMANDS.replace("FROM part", "FROM {part}"), part=table(spark, d, "part")).select("run_id", "cwd", F.array("word").alias("command"))
+    return answers.reproduce(claims(spark, d), runs).withColumn("command", F.array_join("command", " "))
+
+
+@query("producers_ranked", f"""WITH {_CLAIMS}, found AS (SELECT *, assurance = 'verified' AS sure FROM claims), ranked AS (SELECT *, row_number() OVER (PARTITION BY target_id ORDER BY score DESC, priority, source_id, relation) AS rank, count(*) FILTER (sure) OVER (PARTITION BY target_id) = 1 AS alone FROM found),
+tops AS (SELECT target_id, max(score) FILTER (rank = 1) = max(score) FILTER (rank = 2) AS tied FROM ranked GROUP BY target_id)
+SELECT target_id, rank::INTEGER AS rank, source_id, score, priority, CASE WHEN alone THEN sure ELSE rank = 1 END AS best, coalesce(tied, false) AS tied, alone AND NOT coalesce(tied, false) AS unique_producer FROM ranked JOIN tops USING (target_id)""")
+def producers_ranked(spark, d):
+    return answers.alternatives(claims(spark, d)).select("target_id", "rank", "source_id", "score", "priority", "best", "tied", "unique_producer")
+
+
+_DOCS = "SELECT concat('doc:', substr(source_id, 3)) AS source_id, concat('doc:', substr(target_id, 3)) AS target_id, relation, score, assurance FROM claims WHERE target_id LIKE 'p:%'"
+_ENDS = _PATHS + f", pairs AS (SELECT s.path AS source, t.path AS target, relation, assurance, s.ext AS a, t.ext AS b FROM ({_DOCS}) c JOIN p s ON s.artifact_id = source_id JOIN p t ON t.artifact_id = target_id WHERE score >= 0.3)"
+
+
+def doc_claims(spark, d: str) -> DataFrame:
+    return spark.sql(_DOCS.replace("FROM claims", "FROM {claims}"), claims=claims(spark, d))
+
+
+@query("code_to_image", f"WITH {_CLAIMS}, {_ENDS} SELECT source, target, relation, assurance FROM pairs WHERE a IN ('py', 'ipynb') AND b = 'png'")
+def code_to_image(spark, d):
+    return answers.code_to_image(doc_claims(spark, d), view(spark, d, "artifacts"))
+
+
+@query("document_export", f"WITH {_CLAIMS}, {_ENDS} SELECT source, target, relation, assurance FROM pairs WHERE a IN ('md', 'docx', 'html') AND b IN ('pdf', 'png')")
+def document_export(spark, d):
+    return answers.document_export(doc_claims(spark, d), view(spark, d, "artifacts"))
+
+
+@query("file_lookup", f"""WITH {_PATHS}, asked AS (SELECT name AS requested FROM p UNION SELECT path FROM p UNION SELECT 'none/' || name FROM p), tails AS (SELECT artifact_id, unnest(list_transform(range(2, len(string_split(path, '/')) + 1), lambda i: array_to_string(list_slice(string_split(path, '/'), i, 99), '/'))) AS tail FROM p),
+alone AS (SELECT tail, min(artifact_id) AS one FROM tails GROUP BY tail HAVING count(*) = 1) SELECT requested, coalesce(p.artifact_id, one) AS artifact_id FROM asked LEFT JOIN p ON p.path = requested LEFT JOIN alone ON tail = requested""")
+def file_lookup(spark, d):
+    files = view(spark, d, "artifacts")
+    name = F.regexp_extract("path", "([^/]*)$", 1)
+    asked = files.select(F.explode(F.array(name, "path", F.concat(F.lit("none/"), name))).alias("requested"))
+    return store.resolve(asked, files)
+
+
+@query("find_files", f"""WITH {ctes("artifacts")}, t AS (SELECT doc_id, contains(lower(text), 'license') AS told FROM documents)
+SELECT artifact_id, path, CASE WHEN contains(lower(path), 'license') AND told THEN 'filename,text' WHEN told THEN 'text' ELSE 'filename' END AS matched FROM artifacts JOIN t USING (doc_id) WHERE kind = 'document' AND (told OR contains(lower(path), 'license'))""")
+def find_files(spark, d):
+    held = view(spark, d, "artifacts").withColumn("label", F.col("path")).withColumn("deleted", F.lit(False))
+    said = table(spark, d, "documents").select(F.concat(F.lit("doc:"), F.col("doc_id").cast("string")).alias("file_id"), "text")
+    return store.find(held, "license", said, kind="document")
+
+
+_REFRESH = ctes("before_snapshot", "after_snapshot") + """, both_ AS (SELECT coalesce(b.path, a.path) AS path, 'id:' || b.path AS id, b.sha256 AS bs, a.sha256 AS as_, CASE WHEN a.path IS NULL THEN 'deleted' WHEN b.path IS NULL THEN 'added' WHEN a.bytes = b.bytes AND a.mtime_ns = b.mtime_ns THEN 'reused' ELSE 'changed' END AS state FROM before_snapshot b FULL JOIN after_snapshot a ON a.path = b.path),
+g AS (SELECT bs AS sha, min(path) AS f FROM both_ WHERE state = 'deleted' GROUP BY bs HAVING count(*) = 1), c AS (SELECT as_ AS sha, min(path) AS t FROM both_ WHERE state = 'added' GROUP BY as_ HAVING count(*) = 1), moved AS (SELECT f, t FROM g JOIN c USING (sha))"""
+
+
+@query("refresh_plan", f"""WITH {_REFRESH} SELECT path, CASE WHEN f IS NOT NULL THEN 'id:' || f ELSE coalesce(id, 'file:' || left(sha256(path), 24)) END AS artifact_id, CASE WHEN f IS NOT NULL THEN 'renamed' ELSE state END AS state, f AS previous_path FROM both_ LEFT JOIN moved ON t = path WHERE path NOT IN (SELECT f FROM moved)""")
+def refresh_plan(spark, d):
+    before, after = (view(spark, d, n).withColumnRenamed("bytes", "size") for n in ("before_snapshot", "after_snapshot"))
+    indexed = before.withColumns({"artifact_id": F.concat(F.lit("id:"), F.col("path")), "recognition": F.lit(scan.RECOGNITION), "extractors": F.lit("v1")})
+    return scan.refresh_plan(indexed, after, "v1")
 
 
 @query("run_change_counts", f"WITH {ctes('run_changes')} SELECT run_id, change, count(*) AS n FROM run_changes GROUP BY ALL")
@@ -183,14 +270,15 @@ def run_change_counts(spark, d):
     return view(spark, d, "run_changes").groupBy("run_id", "change").agg(F.count("*").alias("n"))
 
 
-@query("run_clusters", f"""WITH {ctes("run_changes")}, m AS (SELECT run_id, 'part/run_{{n}}.csv' AS label, list_sort(list(DISTINCT path)) AS m FROM run_changes WHERE change = 'created' GROUP BY run_id)
+@query("run_clusters", f"""WITH {ctes("run_changes")}, m AS (SELECT run_id, regexp_extract(path, '^(.*)/[^/]*$', 1) || '/' || regexp_replace(regexp_replace(regexp_extract(path, '([^/]*)\\.[^./]*$', 1), '\\d+', '{{n}}', 'g'), '(?i)[_-]?(final|draft|debug|diagnostic|intermediate)$', '-{{stage}}') || '*.' || lower(regexp_extract(path, '\\.([^./]*)$', 1)) AS label,
+  list_sort(list(DISTINCT path)) AS m FROM run_changes WHERE change = 'created' GROUP BY ALL)
 SELECT run_id, label, len(m)::BIGINT AS n_members, array_to_string(list_transform(list_sort(list_distinct([1, 2, 3, len(m) // 2 + 1, len(m)])), lambda i: m[i]), ',') AS representatives FROM m WHERE len(m) >= 10""")
 def run_clusters(spark, d):
     return filesets.run_clusters(view(spark, d, "run_changes"))
 
 
 _IMPACT = f"""WITH RECURSIVE {_EDGES}, live AS MATERIALIZED (SELECT *, relation IN ('was_generated_by', 'confirmed_export') AND assurance = 'verified' AS sure FROM edges WHERE score >= 0.3),
-walk(root_id, node, depth) AS (SELECT r, r, 0 FROM (VALUES ('s:1'), ('s:2'), ('s:3')) v(r) UNION SELECT root_id, target_id, depth + 1 FROM walk JOIN live ON node = source_id WHERE depth < 3),
+walk(root_id, node, depth) AS (SELECT 's:' || s_suppkey, 's:' || s_suppkey, 0 FROM supplier UNION SELECT root_id, target_id, depth + 1 FROM walk JOIN live ON node = source_id WHERE depth < 3),
 least AS (SELECT root_id, node, min(depth) AS depth FROM walk GROUP BY ALL)"""
 
 
@@ -198,29 +286,36 @@ least AS (SELECT root_id, node, min(depth) AS depth FROM walk GROUP BY ALL)"""
 FROM least t JOIN live e ON e.target_id = t.node JOIN least s ON s.root_id = t.root_id AND s.node = e.source_id AND s.depth = t.depth - 1 WHERE t.depth > 0)
 SELECT root_id, target_id, depth, relation, score FROM hit WHERE r = 1""")
 def impact_levels(spark, d):
-    return graph.impact(edges(spark, d), roots(spark, "s:1", "s:2", "s:3"), 0.3, 3)
+    return graph.impact(edges(spark, d), roots(spark, d, "s", "supplier", "s_suppkey"), 0.3, 3)
 
 
 @query("shortest_path", _IMPACT + " SELECT root_id, node AS target_id, depth AS hops FROM least WHERE node LIKE 'c:%'")
 def shortest_path(spark, d):
     goals = table(spark, d, "customer").select(F.concat(F.lit("c:"), F.col("c_custkey").cast("string")).alias("target_id"))
-    return graph.shortest_path(edges(spark, d), roots(spark, "s:1", "s:2", "s:3"), goals, 0.3, 3).drop("path")
+    return graph.shortest_path(edges(spark, d), roots(spark, d, "s", "supplier", "s_suppkey"), goals, 0.3, 3).drop("path")
 
 
 @query("k_hop", f"""WITH RECURSIVE {_EDGES}, both_ AS MATERIALIZED (SELECT source_id AS a, target_id AS b FROM edges UNION SELECT target_id, source_id FROM edges),
-walk(root_id, node_id, hop) AS (SELECT r, r, 0 FROM (VALUES ('n:3'), ('n:7')) v(r) UNION SELECT root_id, b, hop + 1 FROM walk JOIN both_ ON a = node_id WHERE hop < 2)
+walk(root_id, node_id, hop) AS (SELECT 'n:' || n_nationkey, 'n:' || n_nationkey, 0 FROM nation UNION SELECT root_id, b, hop + 1 FROM walk JOIN both_ ON a = node_id WHERE hop < 2)
 SELECT root_id, node_id, min(hop) AS hop FROM walk GROUP BY ALL""")
 def k_hop(spark, d):
-    return graph.k_hop(edges(spark, d), roots(spark, "n:3", "n:7"), 2)
+    return graph.k_hop(edges(spark, d), roots(spark, d, "n", "nation", "n_nationkey"), 2)
+
 
+_MADE = "SELECT source_id, concat('doc:', substr(target_id, 3)) AS target_id, relation, score FROM claims WHERE target_id LIKE 'p:%'"
 
-@query("orphans", f"""WITH {ctes("artifacts")} SELECT artifact_id, path, kind FROM artifacts WHERE kind IN ('image', 'document', 'data') AND doc_id NOT IN (SELECT l_partkey FROM lineitem WHERE l_discount >= 0.1 AND l_quantity > 40)""")
+
+@query("orphans", f"""WITH {_CLAIMS}, {ctes("artifacts")}, made AS ({_MADE}) SELECT artifact_id, path, kind FROM artifacts WHERE kind IN ('image', 'document', 'data') AND artifact_id NOT IN (SELECT target_id FROM made WHERE score >= 0.995 AND relation IN ({", ".join(repr(r) for r in PRODUCERS)}))""")
 def orphans(spark, d):
-    made = table(spark, d, "lineitem").where("l_discount >= 0.1 and l_quantity > 40").select(F.concat(F.lit("doc:"), F.col("l_partkey").cast("string")).alias("target_id")).distinct()
-    return graph.orphans(view(spark, d, "artifacts"), made)
+    return graph.orphans(view(spark, d, "artifacts"), made(spark, d).where((F.col("score") >= 0.995) & F.col("relation").isin(PRODUCERS)).select("target_id").distinct())
+
+
+def made(spark, d: str) -> DataFrame:
+    """Claims on parts, as claims on the documents of the same number."""
+    return spark.sql(_MADE.replace("FROM claims", "FROM {claims}"), claims=claims(spark, d))
 
 
-_STALE = f"""WITH {_EDGES}, {ctes("times")}, live AS (SELECT *, relation IN ('was_generated_by', 'confirmed_export') AND assurance = 'verified' AS sure FROM edges WHERE score >= 0.3 AND relation IN ({", ".join(repr(r) for r in STALE)}))"""
+_STALE = f"""WITH {_EDGES}, {ctes("times")}, live AS (SELECT *, relation IN ('was_generated_by', 'confirmed_export') AND assurance = 'verified' AS sure FROM edges WHERE score >= 0.3 AND relation IN ({", ".join(repr(r) for r in STALE)}) AND source_id <> target_id)"""
 _GRADE = "CASE WHEN u.mtime > v.mtime THEN CASE WHEN sure_all THEN 'definitely_stale' WHEN least_ >= 0.8 THEN 'probably_stale' ELSE 'possibly_stale' END WHEN u.mtime IS NULL OR v.mtime IS NULL THEN 'unknown' WHEN sure_all THEN 'current' ELSE 'unknown' END"
 
 
@@ -230,15 +325,21 @@ def stale_direct(spark, d):
     return graph.stale_direct(edges(spark, d), view(spark, d, "times"))
 
 
-_LEVEL = """, l{k} AS (SELECT root_id, node, least_, sure_all, {k} AS depth FROM (SELECT f.root_id, e.source_id AS node, least(f.least_, e.score) AS least_, f.sure_all AND e.sure AS sure_all,
-  row_number() OVER (PARTITION BY f.root_id, e.source_id ORDER BY e.score DESC, f.node, least(f.least_, e.score), f.sure_all AND e.sure) AS r FROM l{j} f JOIN live e ON e.target_id = f.node) x
-  WHERE r = 1 AND (root_id, node) NOT IN (SELECT root_id, node FROM ({seen})))"""
+_LEVEL = """, t{k} AS MATERIALIZED (SELECT f.root_id, f.node AS via, e.target_id, e.relation, least(f.least_, e.score) AS least_, f.sure_all AND e.sure AS sure_all, list_append(f.turn, {{'s': -e.score, 't': e.target_id, 'r': e.relation}}) AS turn
+  FROM l{j} f JOIN live e ON e.source_id = f.node WHERE e.target_id <> f.root_id),
+l{k} AS MATERIALIZED (SELECT root_id, target_id AS node, arg_min(least_, turn) AS least_, arg_min(sure_all, turn) AS sure_all, min(turn) AS turn FROM t{k} WHERE (root_id, target_id) NOT IN (SELECT root_id, node FROM ({seen})) GROUP BY root_id, target_id)"""
 
 
-@query("stale_chain", _STALE + ", l0 AS (SELECT 'c:' || i AS root_id, 'c:' || i AS node, 1.0::DOUBLE AS least_, true AS sure_all, 0 AS depth FROM range(1, 6) t(i))" + "".join(_LEVEL.format(k=k, j=k - 1, seen=" UNION ALL ".join(f"SELECT root_id, node FROM l{i}" for i in range(k))) for k in (1, 2, 3)) + f""", every AS (SELECT * FROM l1 UNION ALL SELECT * FROM l2 UNION ALL SELECT * FROM l3)
-SELECT every.node AS upstream, root_id AS downstream, depth, {_GRADE} AS state FROM every LEFT JOIN times u ON u.node = every.node LEFT JOIN times v ON v.node = root_id""")
+@query("stale_chain", _STALE + ", l0 AS (SELECT node AS root_id, node, 1.0::DOUBLE AS least_, true AS sure_all, []::STRUCT(s DOUBLE, t VARCHAR, r VARCHAR)[] AS turn FROM times WHERE mtime IS NOT NULL)" + "".join(_LEVEL.format(k=k, j=k - 1, seen=" UNION ALL ".join(f"SELECT root_id, node FROM l{i}" for i in range(k))) for k in range(1, 6)) + ", every AS (" + " UNION ALL ".join(f"SELECT *, {k} AS depth FROM t{k}" for k in range(1, 6)) + f""")
+SELECT root_id AS upstream, target_id AS downstream, via, relation, depth, {_GRADE} AS state FROM every JOIN times u ON u.node = root_id LEFT JOIN times v ON v.node = target_id""")
 def stale_chain(spark, d):
-    return graph.stale_chains(edges(spark, d), view(spark, d, "times"), roots(spark, *(f"c:{i}" for i in range(1, 6))), 0.3, 3)
+    return graph.stale_chains(edges(spark, d), view(spark, d, "times"))
+
+
+@query("stale_counts", "SELECT upstream, " + ", ".join(f"count(*) FILTER (state = '{x}') AS {x}" for x in ("definitely_stale", "probably_stale", "possibly_stale", "current", "unknown")) + f""", CASE WHEN count(*) FILTER (state = 'definitely_stale') > 0 THEN 'definitely_stale' WHEN count(*) FILTER (state = 'probably_stale') > 0 THEN 'probably_stale' WHEN count(*) FILTER (state = 'possibly_stale') > 0 THEN 'possibly_stale' WHEN count(*) FILTER (state = 'current') > 0 THEN 'current' ELSE 'unknown' END AS overall_state
+FROM ({ORACLE_SQL['stale_chain']}) q GROUP BY upstream""")
+def stale_counts(spark, d):
+    return graph.stale_counts(stale_chain(spark, d))
 
 
 @query("walk_chain", f"""WITH {_EDGES}, best AS (SELECT source_id, target_id, relation FROM (SELECT *, row_number() OVER (PARTITION BY source_id ORDER BY score DESC, target_id, relation) AS r FROM edges WHERE score >= 0.3) WHERE r = 1),
@@ -280,6 +381,35 @@ def content_matches(spark, d):
     return similarity.content_matches(similarity.matching_pairs(texts(spark, d)))
 
 
+@query("benchmark_containment", f"""WITH t AS (SELECT item_id, {_WORDS} AS w FROM benchmark), d AS (SELECT doc_id, {_WORDS} AS w FROM documents),
+a AS (SELECT item_id, {_SHINGLES} AS s FROM t), b AS (SELECT doc_id, {_SHINGLES} AS s FROM d), x AS (SELECT item_id, len(s) AS n, unnest(s) AS g FROM a), y AS (SELECT doc_id, len(s) AS m, unnest(s) AS g FROM b),
+p AS (SELECT item_id, doc_id, n, m, count(*) AS c FROM x JOIN y USING (g) GROUP BY ALL) SELECT item_id, doc_id, round(c / least(n, m), 6) AS containment FROM p WHERE c / least(n, m) >= 0.5""")
+def benchmark_containment(spark, d):
+    items = table(spark, d, "benchmark").select(F.col("item_id").alias("id"), "text")
+    return similarity.similar_pairs(items, texts(spark, d), jaccard=2.0, containment=0.5).select(F.col("a").alias("item_id"), F.col("b").alias("doc_id"), "containment")
+
+
+_EXPORTS = _PATHS + f""", t AS (SELECT artifact_id, ext, stem, mtime_ns, {_WORDS} AS w FROM p JOIN documents USING (doc_id)), s AS (SELECT *, {_SHINGLES} AS s FROM t WHERE len(w) >= 5),
+x AS (SELECT artifact_id AS a, stem AS sa, mtime_ns AS ta, len(s) AS n, unnest(s) AS g FROM s WHERE ext IN ('docx', 'md', 'html')), y AS (SELECT artifact_id AS b, stem AS sb, mtime_ns AS tb, len(s) AS m, unnest(s) AS g FROM s WHERE ext IN ('pdf', 'png')),
+k AS (SELECT a, b, sa, sb, ta, tb, n, m, count(*) AS c FROM x JOIN y USING (g) GROUP BY ALL), w AS (SELECT *, least(0.72, 0.35 + 0.5 * greatest(round(c / (n + m - c), 6), 0.65 * round(c / least(n, m), 6))) AS w1, CASE WHEN lower(sa) = lower(sb) THEN 0.3 ELSE 0 END AS w2,
+ CASE WHEN ta <> 0 AND tb <> 0 AND abs(ta - tb) <= 3600000000000 THEN 0.25 ELSE 0 END AS w3 FROM k WHERE c / (n + m - c) >= 0.15 OR c / least(n, m) >= 0.5)"""
+
+
+@query("document_edges", f"WITH {_EXPORTS} SELECT a AS source_id, b AS target_id, 'content_matches' AS relation, round(least(0.99, 1 - (1 - w1) * (1 - w2) * (1 - w3)), 4)::DOUBLE AS score FROM w")
+def document_edges(spark, d):
+    held = view(spark, d, "artifacts").join(table(spark, d, "documents").select("doc_id", "text"), "doc_id")
+    none = F.array().cast("array<string>")
+    held = held.select(F.col("artifact_id").alias("id"), "path", "text", "sha256", "mtime_ns", none.alias("media"), none.alias("prints"))
+    of = lambda kinds: held.where(F.regexp_extract("path", r"\.([^./]+)$", 1).isin(kinds))
+    return documents.document_edges(documents.document_evidence(of(EDITABLE), of(EXPORTED)))
+
+
+@query("references")
+def references(spark, d):
+    pages = table(spark, d, "pages").select(F.concat(F.lit("page/"), F.col("page_id").cast("string"), F.lit(".html")).alias("path"), F.col("html").alias("text"))
+    return extract.references(pages)
+
+
 @query("page_references", r"""WITH r AS (SELECT page_id, unnest(regexp_extract_all(html, '(?i)(?:href|src)\s*=\s*["'']([^"'']+)["'']', 1)) AS raw_ref FROM pages)
 SELECT page_id, raw_ref, CASE WHEN NOT regexp_matches(raw_ref, '^(#|data:|mailto:|javascript:|[A-Za-z][A-Za-z0-9+.-]*://)') THEN nullif(string_split(string_split(raw_ref, '#')[1], '?')[1], '') END AS clean_ref FROM r""")
 def page_references(spark, d):
@@ -304,8 +434,8 @@ def find_fuzzy(spark, d):
     return search.find_fuzzy(view(spark, d, "artifacts").select(F.col("artifact_id").alias("id"), F.regexp_extract("path", r"([^/]*)$", 1).alias("name")), "sumary_11_final")
 
 
-@query("redact_secrets", r"""SELECT doc_id AS id, regexp_replace(text, '(?i)\b(api[_-]?key|access[_-]?token|token|password|passwd|secret)(\s*[=:]\s*)\S+', '\1\2[REDACTED]', 'g') AS redacted FROM documents
-WHERE regexp_matches(text, '(?i)\b(api[_-]?key|access[_-]?token|token|password|passwd|secret)(\s*[=:]\s*)\S+')""")
+@query("redact_secrets", r"""SELECT doc_id AS id, regexp_replace(text, '(?i)(password|passwd|token|secret|api[-_]?key|authorization)(\s*[:=]\s*)([^\s,;]+)', '\1\2[REDACTED]', 'g') AS redacted FROM documents
+WHERE regexp_matches(text, '(?i)(password|passwd|token|secret|api[-_]?key|authorization)(\s*[:=]\s*)([^\s,;]+)')""")
 def redact_secrets(spark, d):
     return texts(spark, d).where(F.col("text").rlike(T.SECRET)).select("id", T.redacted(F.col("text")).alias("redacted"))
 
@@ -327,9 +457,15 @@ def current_version(spark, d):
     return snapshots.current_versions(view(spark, d, "versions"))
 
 
-@query("rescore", f"WITH {_CLAIMS} SELECT source_id || '>' || target_id AS claim_id, score, assurance FROM claims")
+@query("rescore", f"""WITH {_CLAIMS}, stored AS (SELECT e.source_id || '>' || e.target_id AS claim_id, c.assurance = 'verified' AS sure, e.signal_group, e.weight, e.active FROM evidence e JOIN claims c USING (source_id, target_id, relation)),
+again AS (SELECT claim_id, signal_group, max(CASE WHEN active THEN least(greatest(weight, 0), 0.99) END) AS w, bool_or(active AND sure AND weight >= 1) AS exact FROM stored GROUP BY ALL),
+total AS (SELECT claim_id, CASE WHEN bool_or(exact) THEN 1.0::DOUBLE ELSE round(least(0.99, 1 - product(1 - coalesce(w, 0))), 4)::DOUBLE END AS score FROM again GROUP BY claim_id) SELECT claim_id, score, {_ASSURED} AS assurance FROM total""")
 def rescore(spark, d):
-    return claims(spark, d).select(F.concat("source_id", F.lit(">"), "target_id").alias("claim_id"), "score", "assurance")
+    evidence = view(spark, d, "evidence")
+    claim = F.concat("source_id", F.lit(">"), "target_id").alias("claim_id")
+    ids = evidence.groupBy(claim).agg(F.collect_list("evidence_id").alias("evidence_ids"))
+    stored = claims(spark, d).select(claim, "assurance").join(ids, "claim_id")
+    return C.rescore(stored, evidence).select("claim_id", "score", "assurance")
 
 
 _MISSING = "SELECT l_orderkey * 10 + l_linenumber AS claim_id, concat('@missing/part/', cast(l_partkey AS varchar(20))) AS source_id, concat('o:', cast(l_orderkey AS varchar(20))) AS target_id FROM lineitem"
@@ -346,9 +482,12 @@ def prov_candidate_rank(spark, d):
     return graph.candidate_rank(claims(spark, d))
 
 
-@query("prov_relation_class", f"WITH {_EDGES} SELECT relation, 'Influence' AS prov_class, count(*) AS n FROM edges GROUP BY relation")
+_CLASS = "CASE " + " ".join(f"WHEN relation IN ({', '.join(repr(r) for r in v)}) THEN '{k}'" for k, v in CLASSES.items()) + " ELSE 'Influence' END"
+
+
+@query("prov_relation_class", f"WITH {ctes('typed_edges')} SELECT relation, {_CLASS} AS prov_class, count(*) AS n FROM typed_edges GROUP BY relation")
 def prov_relation_class(spark, d):
-    return exports.provenance_class(edges(spark, d))
+    return exports.provenance_class(view(spark, d, "typed_edges"))
 
 
 _SIDE = "concat(source_id, '|', relation, '|', target_id)"
@@ -361,9 +500,12 @@ def graph_normalized_diff(spark, d):
     return exports.normalized_difference(e.where("score >= 0.5"), e.where("score < 0.9"))
 
 
-@query("timeline", f"""WITH {ctes("times")} SELECT mtime AS at, node AS path, left(node, 1) AS what, lag(node) OVER (PARTITION BY left(node, 1) ORDER BY mtime, node) AS previous FROM times""")
+_EVENTS = "SELECT node AS path, substr(node, 1, 1) AS what, 'first_seen' AS event, mtime AS at FROM times WHERE node NOT LIKE 'o:%' UNION ALL SELECT node, substr(node, 1, 1), 'run_start', mtime FROM times WHERE node LIKE 'o:%'"
+
+
+@query("timeline", f"""WITH {ctes("times")}, e AS ({_EVENTS}) SELECT e.at, path, what, event, lag(path) OVER (PARTITION BY what ORDER BY e.at, path) AS previous FROM e""")
 def timeline(spark, d):
-    return filesets.timeline(view(spark, d, "times").select(F.col("mtime").alias("at"), F.col("node").alias("path"), F.left("node", F.lit(1)).alias("what")))
+    return filesets.timeline(spark.sql(_EVENTS.replace("FROM times", "FROM {times}"), times=view(spark, d, "times")))
 
 
 _STATES = f"""WITH {ctes("boundary_events")}, s AS (SELECT key, CASE WHEN count(*) FILTER (type IN ('start', 'stop')) = 0 THEN 'untouched' WHEN arg_max(type, seq) FILTER (type IN ('start', 'stop')) = 'start' THEN 'open' ELSE 'closed' END AS state, count(*) FILTER (type = 'start') AS n_starts FROM boundary_events GROUP BY key)"""
@@ -374,9 +516,15 @@ def run_state_machine(spark, d):
     return snapshots.run_states(view(spark, d, "boundary_events"))
 
 
-@query("pending_runs", _STATES + " SELECT key FROM s WHERE state = 'open'")
+@query("pending_runs", f"""WITH {ctes("boundary_events")}, s AS (SELECT key, coalesce(max(seq) FILTER (type = 'stop'), -1) AS stopped FROM boundary_events GROUP BY key)
+SELECT key, arg_min(boundary_events.at, seq) AS started_at FROM boundary_events JOIN s USING (key) WHERE type = 'start' AND seq > stopped GROUP BY key""")
 def pending_runs(spark, d):
-    return snapshots.run_states(view(spark, d, "boundary_events")).where("state = 'open'").select("key")
+    return pending(view(spark, d, "boundary_events"))
+
+
+@query("run_transitions_log", f"""WITH {ctes("boundary_events")} SELECT run_id, seq, status FROM (SELECT key AS run_id, seq, type AS status, lag(type) OVER (PARTITION BY key ORDER BY seq) AS before FROM boundary_events) WHERE before IS DISTINCT FROM status""")
+def run_transitions_log(spark, d):
+    return store.transitions(view(spark, d, "boundary_events").select(F.col("key").alias("run_id"), "seq", F.col("type").alias("status")))
 
 
 @query("overview_counts", f"""WITH {_EDGES} SELECT (SELECT count(DISTINCT n) FROM (SELECT source_id AS n FROM edges UNION ALL SELECT target_id FROM edges)) AS nodes, count(*) AS edges,

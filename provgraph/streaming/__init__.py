@@ -1 +1 @@
-
+"""Run boundaries as a keyed stream."""
