@@ -44,7 +44,8 @@ def test_scan_of_a_folder(spark, tmp_path):
     assert again.where("deleted").count() == 0
     cache = listed.where("path = 'data/x.csv'").select("path", "sha256", F.lit("text").alias("adapter"), F.lit("1").alias("version"))
     fresh = plan.withColumn("state", F.lit("changed"))
-    assert {r.path for r in scan.to_extract(fresh, listed, cache, "text", "1").collect()} == {"src/a.py"}
+    now = scan.listing(spark, str(tmp_path), exclude=[".git/**"], secret=["*id_rsa*"])
+    assert {r.path for r in scan.to_extract(fresh, now, cache, "text", "1").collect()} == {"src/a.py", "moved.txt"}
 
 
 SCRIPT = """
