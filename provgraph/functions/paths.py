@@ -99,5 +99,5 @@ def glob_regex(pattern: str) -> str:
 
 def excluded(path: Column, include: list[str], exclude: list[str], secret: list[str]) -> Column:
     """Whether a path is left out: secret or excluded, or not among the included ones."""
-    any_of = lambda globs: F.coalesce(*[F.when(path.rlike(glob_regex(g)) | basename(path).rlike(glob_regex(g)), True) for g in globs], F.lit(False)) if globs else F.lit(False)
+    any_of = lambda globs: F.coalesce(*[F.when(path.rlike(glob_regex(g)), True) for g in globs], F.lit(False)) if globs else F.lit(False)
     return any_of(secret) | any_of(exclude) | (~any_of(include) if include else F.lit(False))

@@ -73,7 +73,7 @@ def safe_url(url: Column) -> Column:
     rest = F.regexp_replace(F.regexp_extract(url, r"^[A-Za-z]+://([^?#]*)", 1), r"^[^/@]*@", "")
     host = F.lower(F.regexp_extract(rest, r"^([^/]*)", 1))
     path = F.regexp_extract(rest, r"^[^/]*(.*)$", 1)
-    return F.when(scheme.isin("http", "https", "ftp"), F.concat(scheme, F.lit("://"), host, path)).when(scheme == "file", F.lit("file:[REDACTED]"))
+    return F.when(scheme.isin("http", "https", "ftp"), F.when(host != "", F.concat(scheme, F.lit("://"), host, F.when(path == "", "/").otherwise(path)))).when(scheme == "file", F.lit("file:///[local-path-redacted]"))
 
 
 def redacted_command(args: Column) -> Column:

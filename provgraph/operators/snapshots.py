@@ -33,18 +33,21 @@ def current_versions(versions: DataFrame) -> DataFrame:
     return versions.groupBy("artifact_id").agg(F.max_by("version_id", F.struct("observed_at", "version_id")).alias("version_id"))
 
 
-def fold_decisions(decisions: DataFrame) -> DataFrame:
-    """(claim_id, status) after an event log (claim_id, seq, action: confirm, reject, undo).
+def fold_decisions(log: DataFrame) -> DataFrame:
+    """(claim_id, status) after a log (claim_id, seq, action: confirm, reject or undo, undoes: the seq of a decision).
 
-    An undo takes back the decision before it; the claim is rejected if a rejection is left, withdrawn
-    if only a confirmation was taken back, else active.
+    A rejection makes a claim rejected; taking it back makes it active, unless another rejection is still in
+    force; taking a confirmation back makes it withdrawn. The last such change holds. Of several undos of
+    one decision the first counts; one of no decision, or before it, does nothing.
     """
-    order = Window.partitionBy("claim_id").orderBy("seq")
-    marked = decisions.withColumn("undone", F.lead("action").over(order) == "undo").where("action <> 'undo'")
-    undone = F.coalesce("undone", F.lit(False))
-    rejected, withdrawn = F.bool_or((F.col("action") == "reject") & ~undone), F.bool_or((F.col("action") == "confirm") & undone)
-    confirmed = F.bool_or((F.col("action") == "confirm") & ~undone)
-    return marked.groupBy("claim_id").agg(F.when(rejected, "rejected").when(withdrawn & ~confirmed, "withdrawn").otherwise("active").alias("status"))
+    undo = log.where("action = 'undo'").groupBy(F.col("undoes").alias("seq")).agg(F.min("seq").alias("undone"))
+    d = log.where("action <> 'undo'").select("claim_id", "seq", (F.col("action") == "reject").alias("no")).join(undo, "seq", "left")
+    made = F.struct("seq", F.col("no").cast("int").alias("up"), F.when(F.col("no"), "rejected").alias("status"))
+    back = F.struct(F.col("undone").alias("seq"), (-F.col("no").cast("int")).alias("up"), F.when(F.col("no"), "active").otherwise("withdrawn").alias("status"))
+    events = d.select("claim_id", F.inline(F.array_compact(F.array(made, F.when(F.col("undone") > F.col("seq"), back)))))
+    open_ = F.sum("up").over(Window.partitionBy("claim_id").orderBy("seq"))
+    told = events.withColumn("open", open_).withColumn("status", F.when((F.col("status") == "active") & (F.col("open") > 0), None).otherwise(F.col("status")))
+    return told.groupBy("claim_id").agg(F.coalesce(F.max_by("status", F.when(F.col("status").isNotNull(), F.col("seq"))), F.lit("active")).alias("status"))
 
 
 def reconcile_virtual(claims: DataFrame, nodes: DataFrame) -> DataFrame:

@@ -440,14 +440,14 @@ def redact_secrets(spark, d):
     return texts(spark, d).where(F.col("text").rlike(T.SECRET)).select("id", T.redacted(F.col("text")).alias("redacted"))
 
 
-@query("safe_url", r"""SELECT page_id, CASE WHEN lower(regexp_extract(url, '^([A-Za-z]+)://', 1)) IN ('http', 'https', 'ftp') THEN lower(regexp_extract(url, '^([A-Za-z]+://[^/?#]*)', 1)) || regexp_extract(url, '^[A-Za-z]+://[^/?#]*([^?#]*)', 1) END AS safe_url FROM pages""")
+@query("safe_url", r"""SELECT page_id, CASE WHEN lower(regexp_extract(url, '^([A-Za-z]+)://', 1)) IN ('http', 'https', 'ftp') THEN lower(regexp_extract(url, '^([A-Za-z]+://[^/?#]*)', 1)) || coalesce(nullif(regexp_extract(url, '^[A-Za-z]+://[^/?#]*([^?#]*)', 1), ''), '/') END AS safe_url FROM pages""")
 def safe_url(spark, d):
     return table(spark, d, "pages").select("page_id", T.safe_url(F.col("url")).alias("safe_url"))
 
 
-@query("decision_fold", f"""WITH {ctes("decision_log")}, m AS (SELECT *, coalesce(lead(action) OVER (PARTITION BY claim_id ORDER BY seq) = 'undo', false) AS undone FROM decision_log)
-SELECT claim_id, CASE WHEN bool_or(action = 'reject' AND NOT undone) THEN 'rejected' WHEN bool_or(action = 'confirm' AND undone) AND NOT bool_or(action = 'confirm' AND NOT undone) THEN 'withdrawn' ELSE 'active' END AS status
-FROM m WHERE action <> 'undo' GROUP BY claim_id""")
+@query("decision_fold", f"""WITH {ctes("decision_log")}, u AS (SELECT undoes AS seq, min(seq) AS undone FROM decision_log WHERE action = 'undo' GROUP BY undoes), d AS (SELECT claim_id, decision_log.seq, action = 'reject' AS no, undone FROM decision_log LEFT JOIN u ON u.seq = decision_log.seq WHERE action <> 'undo'),
+e AS (SELECT claim_id, seq, no::INTEGER AS up, CASE WHEN no THEN 'rejected' END AS status FROM d UNION ALL SELECT claim_id, undone, -(no::INTEGER), CASE WHEN no THEN 'active' ELSE 'withdrawn' END FROM d WHERE undone > seq),
+r AS (SELECT *, sum(up) OVER (PARTITION BY claim_id ORDER BY seq) AS open_ FROM e) SELECT claim_id, coalesce(arg_max(status, seq) FILTER (status IS NOT NULL AND NOT (status = 'active' AND open_ > 0)), 'active') AS status FROM r GROUP BY claim_id""")
 def decision_fold(spark, d):
     return snapshots.fold_decisions(view(spark, d, "decision_log"))
 

@@ -45,7 +45,7 @@ VIEWS = {
         concat('d', cast(max(cast(l_quantity AS bigint)) * 1000 + max(l_suppkey) AS varchar(20))) AS sha256
       FROM lineitem WHERE (l_orderkey % 2 = 0 OR l_partkey % 3 = 0) AND l_partkey % 5 <> 3 GROUP BY l_partkey""",
     "boundary_events": "SELECT user_id AS key, event_id AS seq, CASE event_type WHEN 'signup' THEN 'start' WHEN 'purchase' THEN 'stop' ELSE 'touch' END AS type, ts AS at FROM events",
-    "decision_log": "SELECT user_id AS claim_id, event_id AS seq, CASE WHEN event_id % 3 = 0 THEN 'undo' WHEN event_id % 2 = 0 THEN 'reject' ELSE 'confirm' END AS action FROM events",
+    "decision_log": "SELECT cast(floor(event_id / 12) AS bigint) AS claim_id, event_id AS seq, CASE WHEN event_id % 4 = 3 THEN 'undo' WHEN user_id % 2 = 0 THEN 'reject' ELSE 'confirm' END AS action, CASE WHEN event_id % 4 = 3 THEN event_id - 1 - user_id % 3 END AS undoes FROM events",
     "versions": "SELECT l_partkey AS artifact_id, l_shipdate AS observed_at, l_orderkey * 10 + l_linenumber AS version_id FROM lineitem",
 }
 _DEPENDS = {name: [t for t in TABLES if re.search(rf"FROM {t}\b", sql)] for name, sql in VIEWS.items()}

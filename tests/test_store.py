@@ -3,7 +3,10 @@
 
 from pyspark.sql import functions as F
 
-from provgraph.operators import capture, exports, similarity, store
+from provgraph.functions.paths import excluded
+from provgraph.functions.text import safe_url
+from provgraph.operators import capture, exports, origin, similarity, snapshots, store
+from provgraph.sources import config
 from provgraph.streaming import runs
 
 ARTIFACTS = [("1", "src/a.py", "code", "a.py", False, "2026-01-02"), ("2", "lib/a.py", "code", "a.py", False, "2026-01-03"), ("3", "docs/final panel.png", "image", "final panel.png", False, "2026-01-04"), ("4", "gone.txt", "document", "gone.txt", True, "2026-01-01"), ("5", "@missing/x", "missing-file", "x", False, "2026-01-05")]
@@ -46,6 +49,22 @@ def test_claims_and_decisions(spark):
     assert {k: v.count() for k, v in store.prepared_rebuild({"runs": states, "claims": claims}).items()} == {"runs": 3, "claims": 0}
 
 
+def test_decisions_fold_by_their_ids(spark):
+    log = [("a", 1, "reject", None), ("a", 2, "reject", None), ("a", 3, "undo", 1), ("b", 4, "reject", None), ("b", 5, "undo", 4), ("b", 6, "undo", 4), ("c", 7, "confirm", None), ("c", 8, "undo", 7), ("d", 9, "confirm", None), ("e", 10, "reject", None), ("e", 11, "undo", 99), ("f", 12, "reject", None), ("f", 13, "reject", None), ("f", 14, "undo", 12), ("f", 15, "undo", 13)]
+    got = snapshots.fold_decisions(spark.createDataFrame(log, "claim_id string, seq int, action string, undoes int"))
+    assert {r.claim_id: r.status for r in got.collect()} == {"a": "rejected", "b": "active", "c": "withdrawn", "d": "active", "e": "rejected", "f": "active"}
+
+
+def test_settings_and_urls(spark):
+    s = config.settings('[lineage]\nexclude = ["tmp/**"]\nmin_confidence = 0.5\nunknown = 1\n')
+    assert s.exclude[-1] == "tmp/**" and ".git/**" in s.exclude and s.min_confidence == 0.5 and config.settings().include == []
+    urls = ["https://u:p@Host.net:8080/a?b#c", "HTTP://x.org", "file:///etc/passwd", "mailto:a@b", "data:x", None]
+    frame = spark.createDataFrame([(u,) for u in urls], "u string")
+    assert [r[0] for r in frame.select(safe_url(F.col("u"))).collect()] == ["https://host.net:8080/a", "http://x.org/", "file:///[local-path-redacted]", None, None, None]
+    paths = spark.createDataFrame([("a.py",), (".git/x",), ("dir/id_rsa",), ("my secret.txt",), ("venv/lib/a.py",), ("src/venv.py",)], "p string")
+    assert [r.p for r in paths.where(~excluded(F.col("p"), [], s.exclude, s.redaction_patterns)).collect()] == ["a.py", "dir/id_rsa", "src/venv.py"]
+
+
 def test_virtual_ends(spark):
     a = artifacts(spark)
     found = store.resolved_candidates(spark.createDataFrame([("src/a.py", "new.csv", "can_generate"), ("@origin/u", "new.csv", "downloaded_from")], "source_path string, target_path string, relation string"), a).collect()
@@ -55,6 +74,12 @@ def test_virtual_ends(spark):
     assert {(r.artifact_id, r.adapter) for r in held.collect()} == {("1", "text"), ("2", "text"), ("3", "image")}
 
 
+def test_download_origins(spark):
+    rows = [("a.zip", "https://u:p@H.org/x?t=1", "windows-zone"), ("a.zip", "https://h.org/x", "windows-zone"), ("a.zip", "file:///home/me", "linux-xattr"), ("b", "javascript:x", "linux-xattr"), ("b", "http://h.org", "unheard-of")]
+    got = origin.origin_evidence(spark.createDataFrame(rows, "path string, url string, source string")).collect()
+    assert sorted((r.target_path, r.url, r.weight, r.confidence) for r in got) == [("a.zip", "file:///[local-path-redacted]", 0.66, "moderate"), ("a.zip", "https://h.org/x", 0.78, "strong")]
+
+
 def test_capture(spark):
     form = "path string, bytes long, sha256 string"
     before = spark.createDataFrame([("old.txt", 1, "a"), ("m.txt", 1, "b"), ("d.txt", 1, "c")], form)
