@@ -56,7 +56,7 @@ CUT = 32
 #: Part of a large group in one of its regions from which on its pivots tell too little.
 FLAT = 0.75
 #: N-grams of the members that a cell holds of a block, as a multiple of ``leaf``.
-BLOCK = 4096
+BLOCK = 1024
 #: Fixed pivots: parts of all n-grams, the distances to which rule out links before sets are fetched.
 PIVOTS = 256
 #: Entries (document, region) up to which a list of documents is broadcast; a longer one is joined by a shuffle.
@@ -223,44 +223,74 @@ def _deal(buckets: int):
     return run
 
 
-def _meet(table: pa.Table) -> pa.Table:
-    """(id, pivot) of a bucket's entries that share a key, and (key, pivot) of each frequent key."""
-    keys = np.frombuffer(b"".join(table.column("packed").to_pylist()), dtype=U)
-    ids = pa.concat_arrays([x.flatten() for x in table.column("ids").chunks])
-    hot = np.unique(np.frombuffer(b"".join(table.column("hot").to_pylist()), dtype=U))
-    rank = pa.compute.rank(ids, tiebreaker="dense").to_numpy().astype(np.int64)
-    by = np.lexsort((rank, keys))
-    k, r = keys[by], rank[by]
-    begin = np.flatnonzero(np.append(True, k[1:] != k[:-1]))
-    run = np.repeat(np.arange(len(begin)), np.diff(np.append(begin, len(k))))
-    is_hot = np.isin(k[begin], hot, assume_unique=True) if len(hot) else np.zeros(len(begin), dtype=bool)
-    shared = (r != r[begin[run]]) & ~is_hot[run]
-    pairs = np.unique(np.stack([r[shared], r[begin[run]][shared]]), axis=1) if shared.any() else np.zeros((2, 0), dtype=np.int64)
-    place = np.empty(int(rank.max()) + 1, dtype=np.int64)
-    place[rank] = np.arange(len(rank))
-    named = begin[is_hot]
-    own, pivot = ids.take(pa.array(place[pairs[0]])), ids.take(pa.array(place[np.concatenate([pairs[1], r[named]])]))
-    key = pa.concat_arrays([pa.nulls(len(own), pa.int64()), pa.array(k[named].view(np.int64), pa.int64())])
-    return pa.table({"id": pa.concat_arrays([own, pa.nulls(len(named), ids.type)]), "pivot": pivot, "key": key})
+def _meet(parts: int):
+    """(part, ids, pivots, keys): id and pivot of a bucket's entries that share a key, each pair once, as one row for
+    each part of the pivots, packed in lists; and one row, of part -1, with each frequent key and its pivot."""
+
+    def run(table: pa.Table) -> pa.Table:
+        keys = np.frombuffer(b"".join(table.column("packed").to_pylist()), dtype=U)
+        ids = pa.concat_arrays([x.flatten() for x in table.column("ids").chunks])
+        hot = np.unique(np.frombuffer(b"".join(table.column("hot").to_pylist()), dtype=U))
+        rank = pa.compute.rank(ids, tiebreaker="dense").to_numpy().astype(np.int64)
+        by = np.lexsort((rank, keys))
+        k, r = keys[by], rank[by]
+        begin = np.flatnonzero(np.append(True, k[1:] != k[:-1]))
+        run = np.repeat(np.arange(len(begin)), np.diff(np.append(begin, len(k))))
+        is_hot = np.isin(k[begin], hot, assume_unique=True) if len(hot) else np.zeros(len(begin), dtype=bool)
+        shared = (r != r[begin[run]]) & ~is_hot[run]
+        pairs = np.unique(np.stack([r[begin[run]][shared], r[shared]]), axis=1) if shared.any() else np.zeros((2, 0), dtype=np.int64)
+        place = np.empty(int(rank.max()) + 1, dtype=np.int64)
+        place[rank] = np.arange(len(rank))
+        own, pivot = ids.take(pa.array(place[pairs[1]])), ids.take(pa.array(place[pairs[0]]))
+        part = (_hashed(pivot) % U(parts)).astype(np.int64)
+        order = np.argsort(part, kind="stable")
+        used, first = np.unique(part[order], return_index=True)
+        ends = [*first.tolist(), len(order), len(order) + int(is_hot.sum())]
+        named = begin[is_hot]
+        pack = lambda x, last: pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.concat_arrays([x.take(pa.array(order)), last]))
+        none = pa.nulls(len(named), ids.type)
+        held = pa.ListArray.from_arrays(pa.array([0] * (len(used) + 1) + [len(named)], pa.int32()), pa.array(k[named].view(np.int64)))
+        return pa.table({"part": pa.array([*used.tolist(), -1], pa.int64()), "ids": pack(own, none), "pivots": pack(pivot, ids.take(pa.array(place[r[named]]))), "keys": held})
+
+    return run
+
+
+def _hashed(ids: pa.Array) -> np.ndarray:
+    """A hash of each id, the same in every task."""
+    if pa.types.is_integer(ids.type):
+        return mix(ids.cast(pa.int64()).to_numpy(zero_copy_only=False).view(U) + U(0x9E3779B97F4A7C15))
+    coded = ids.dictionary_encode()
+    known = np.array([hash_of(x) for x in coded.dictionary.to_pylist()], dtype=U)
+    return known[coded.indices.to_numpy()] if len(known) else np.zeros(0, dtype=U)
+
+
+def _merged(table: pa.Table) -> pa.Table:
+    """The pairs of all buckets in a part of the pivots, each once."""
+    flat = lambda name: pa.concat_arrays([x.flatten() for x in table.column(name).chunks])
+    both = pa.concat_arrays([flat("ids"), flat("pivots")])
+    rank = pa.compute.rank(both, tiebreaker="dense").to_numpy().astype(np.int64).reshape(2, -1)
+    _, first = np.unique(rank[0] * (rank.max(initial=0) + 1) + rank[1], return_index=True)
+    return pa.table({"id": both.take(pa.array(first)), "pivot": both.take(pa.array(first + rank.shape[1]))})
 
 
 def _regions(stage: Stage, tried: DataFrame, name: str, kind: str) -> DataFrame:
     """(id, pivot): for each key of a document (id, keys) the smallest document that has it, if another.
 
-    One shuffle of packed entries, by buckets of keys whose number grows with them. The documents of a key
-    that any task found frequent are all found again by that key, whatever the splits of ``tried``.
+    Two shuffles of packed entries, by buckets of keys and by parts of pivots, whose number grows with the
+    keys. The documents of a key that any task found frequent are all found again by that key, whatever the
+    splits of ``tried``.
     """
     total = tried.agg(F.coalesce(F.sum(F.size("keys")), F.lit(0))).first()[0]
     buckets = max(12, -(-total // BUCKET))
     dealt = tried.mapInArrow(_deal(buckets), f"bucket long, packed binary, ids array<{kind}>, hot binary")
-    met = stage.put(dealt.groupBy("bucket").applyInArrow(_meet, f"id {kind}, pivot {kind}, key long"), f"{name}-met")
-    found = met.where("key is null").select("id", "pivot")
-    hot = met.where("key is not null").select("key", "pivot")
+    met = stage.put(dealt.groupBy("bucket").applyInArrow(_meet(buckets), f"part long, ids array<{kind}>, pivots array<{kind}>, keys array<long>"), f"{name}-met")
+    found = met.where("part >= 0").select("part", "ids", "pivots").groupBy("part").applyInArrow(_merged, f"id {kind}, pivot {kind}")
+    hot = stage.put(met.where("part < 0").select(F.inline(F.arrays_zip("keys", "pivots"))).toDF("key", "pivot"), f"{name}-hot")
     if n := hot.count():
         back = tried.select("id", F.explode("keys").alias("key")).join(F.broadcast(hot) if n <= BROADCAST else hot, "key")
-        found = found.unionByName(back.where("id <> pivot").select("id", "pivot"))
-    found = stage.put(found.distinct(), name)
-    stage.drop(f"{name}-met")
+        found = found.unionByName(back.where("id <> pivot").select("id", "pivot")).distinct()
+    found = stage.put(found, name)
+    stage.drop(f"{name}-met", f"{name}-hot")
     return found
 
 
@@ -299,20 +329,29 @@ class Forest:
         return a != b
 
 
-def _common(sets: list[np.ndarray], others: list[np.ndarray]) -> np.ndarray:
-    """Sizes of the intersections of every set with every other one."""
-    sizes = np.array([len(x) for x in others])
-    values, at = np.unique(np.concatenate(others), return_inverse=True)
-    by = np.argsort(at, kind="stable")
-    posting, begin = np.repeat(np.arange(len(others)), sizes)[by], np.searchsorted(at[by], np.arange(len(values) + 1))
-    out = np.zeros((len(sets), len(others)), dtype=np.int64)
-    for i, x in enumerate(sets):
-        where = np.minimum(np.searchsorted(values, x), len(values) - 1)
-        where = where[values[where] == x]
-        lo, count = begin[where], begin[where + 1] - begin[where]
-        which = np.repeat(lo - np.concatenate([[0], np.cumsum(count)[:-1]]), count) + np.arange(int(count.sum())) if len(where) else lo
-        out[i] = np.bincount(posting[which], minlength=len(others))
-    return out
+class Postings:
+    """An inverted index of sets."""
+
+    def __init__(self, sets: list[np.ndarray]):
+        self.n = len(sets)
+        whole = np.concatenate(sets)
+        by = np.argsort(whole, kind="stable")
+        whole = whole[by]
+        self.posting = np.repeat(np.arange(self.n, dtype=np.int32), [len(x) for x in sets])[by]
+        first = np.flatnonzero(np.append(True, whole[1:] != whole[:-1])) if len(whole) else np.zeros(0, dtype=np.int64)
+        self.values, self.begin = whole[first], np.append(first, len(whole))
+
+    def common(self, sets: list[np.ndarray]) -> np.ndarray:
+        """Sizes of the intersections of every one of some sets with every set of the index."""
+        out = np.zeros((len(sets), self.n), dtype=np.int64)
+        for i, x in enumerate(sets):
+            where = np.minimum(np.searchsorted(self.values, x), len(self.values) - 1)
+            where = where[self.values[where] == x]
+            if len(where):
+                lo, count = self.begin[where], self.begin[where + 1] - self.begin[where]
+                which = np.repeat(lo - np.concatenate([[0], np.cumsum(count)[:-1]]), count) + np.arange(int(count.sum()))
+                out[i] = np.bincount(self.posting[which], minlength=self.n)
+        return out
 
 
 def voronoi(grams: list[np.ndarray], pivots: list[np.ndarray], num: int, den: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -321,7 +360,7 @@ def voronoi(grams: list[np.ndarray], pivots: list[np.ndarray], num: int, den: in
     ``window``: for each set and pivot, whether the set takes part in the pivot's region, as its home or
     as a replica; ``linked``: whether they are linked, exactly.
     """
-    common = _common(grams, pivots)
+    common = Postings(pivots).common(grams)
     union = np.array([len(x) for x in grams])[:, None] + np.array([len(x) for x in pivots])[None, :] - common
     apart = 1 - common / np.maximum(union, 1)
     nearest = apart.argmin(axis=1)
@@ -378,10 +417,10 @@ def join_cell(ids: list, grams: list[np.ndarray], home: np.ndarray, block: np.nd
     if not len(rows):
         return []
     across = len(set(block.tolist())) > 1
-    forest, found = Forest(len(names)), []
+    forest, found, index = Forest(len(names)), [], Postings(grams)
     for at in range(0, len(rows), 256):
         part = rows[at : at + 256]
-        common = _common([grams[i] for i in part], grams)
+        common = index.common([grams[i] for i in part])
         linked = den * common >= num * (sizes[None, :] + sizes[part][:, None] - common)
         for i, near in zip(part.tolist(), linked, strict=True):
             near[i] = False
@@ -529,8 +568,10 @@ def ngram_jaccard_join(docs: DataFrame, id_col: str = "doc_id", text_col: str =
         tried = stage.put(crowd.mapInArrow(_deeper(width, num, den, level), f"id {kind}, keys array<long>"), f"tried{level}")
         stage.drop(f"regions{level - 1}")
     stage.drop("profile")
-    if left:  # such regions are part of a group whole
-        ties = ties.unionByName(large.select(F.col("id").alias("a"), F.col("pivot").alias("b")))
+    if left:  # such regions are part of a group whole: each member is tied to one pivot, and its other pivots to that
+        first = large.groupBy("id").agg(F.min("pivot").alias("one"))
+        others = large.join(first, "id").where("pivot <> one").select(F.col("pivot").alias("a"), F.col("one").alias("b")).distinct()
+        ties = ties.unionByName(first.select(F.col("id").alias("a"), F.col("one").alias("b"))).unionByName(others)
 
     groups = stage.put(connected_components(ties, "a", "b", stage, "groups").select(F.col("node").alias("id"), F.col("label").alias("group")), "grouped")
     sizes = stage.put(groups.groupBy("group").count(), "sizes")
