@@ -22,8 +22,9 @@ inequalities. ``radius`` is 1 - threshold; linked sets lie at most a radius apar
    are joined with an inverted index; members that are connected already are not tried again.
 4. *Large groups* of more than ``leaf`` members take the first such step distributed, chunk by chunk
    against the group's pivots. Members whose nearest pivot is too far for the windows to tell anything
-   meet in a region of their own, with all that may reach them; a group that its pivots hardly cut is
-   one region. A region that stays large falls into rings one radius wide around its pivot, each with
+   meet in a region of their own, with all that may reach them; a group that its pivots hardly cut falls
+   into parts of sets that share one of their rarest n-grams, as linked sets do, and loses all others.
+   A region or part that stays large falls into rings one radius wide around its pivot, each with
    its inner neighbour replicated into it, cut by hash into blocks that join block by block.
 
 Each region returns a spanning forest of its links, not all pairs. Sets that are equal are one class
@@ -623,12 +624,17 @@ def _large(stage: Stage, carried: DataFrame, sizes: DataFrame, kind: str, num: i
     every = near.groupBy("group", "pivot").agg(F.count("*").alias("size"), F.min("label").alias("one"), F.max("label").alias("two")).join(sizes, "group")
     every = stage.put(every.select("group", "pivot", "size", "count", (F.col("one") != F.col("two")).alias("open")), "every")
     flat = every.where(F.col("size") > FLAT * F.col("count")).select("group").distinct()
-    # regions whose members are all connected already are done; a group that pivots hardly cut is one region
+    # regions whose members are all connected already are done; a group that pivots hardly cut falls into parts by rare n-grams
     open_ = every.where("open").join(flat, "group", "left_anti").select(F.col("group").alias("g"), F.col("pivot").alias("p"), "size")
     name = F.xxhash64(F.coalesce(F.col("pivot").cast("string"), F.lit("")), F.col("group").cast("string"), F.col("pivot").isNull())
     cut = near.join(open_, F.col("group").eqNullSafe(F.col("g")) & F.col("pivot").eqNullSafe(F.col("p"))).select(name.alias("region"), "id", "n", "ring", "label", "size")
-    whole = near.join(flat, "group", "left_semi").select(F.xxhash64(F.col("group").cast("string")).alias("region"), "id", "n", F.lit(1).alias("ring"), "label", F.lit(leaf + 1).cast("long").alias("size")).distinct()
-    near = stage.put(cut.unionByName(whole), "near")
+    flat = stage.put(flat, "flat")
+    if not flat.isEmpty():
+        parts = _split(stage, carried.join(F.broadcast(flat), "group", "left_semi"), kind, num, den)
+        whole = near.join(flat, "group", "left_semi").select("id", "n", "label").distinct().join(parts, "id")
+        open_ = whole.groupBy("part").agg(F.count("*").alias("size"), F.min("label").alias("one"), F.max("label").alias("two")).where("one <> two").select("part", "size")
+        cut = cut.unionByName(whole.join(open_, "part").select(F.xxhash64(F.col("part").cast("string")).alias("region"), "id", "n", F.lit(1).alias("ring"), "label", "size"))
+    near = stage.put(cut, "near")
     sets = carried.select("id", "grams")
     few_ = near.where(F.col("size") <= leaf).select(F.col("region").alias("group"), "id").join(sets, "id")
     done = few_.groupBy("group").applyInArrow(_small(num, den, few), f"a {kind}, b {kind}")
@@ -639,6 +645,79 @@ def _large(stage: Stage, carried: DataFrame, sizes: DataFrame, kind: str, num: i
     return out.unionByName(_ringed(crowded.select("region", "id", "n", "ring", "label"), sets, kind, num, den, BLOCK * leaf))
 
 
+def _dealt(parts: int):
+    """The n-grams of each set (group, id, grams), told apart by groups, as rows (bucket, id, sig, n, keys)."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            at, buckets, sigs, sizes, packed = [], [], [], [], []
+            for i, (group, grams) in enumerate(zip(batch.column(0).to_pylist(), batch.column(2).to_pylist(), strict=True)):
+                x = mix(np.frombuffer(grams, dtype=U) ^ np.array([hash_of(group)], dtype=U))
+                bucket = (x % U(parts)).astype(np.int64)
+                by = np.argsort(bucket, kind="stable")
+                used, first = np.unique(bucket[by], return_index=True)
+                packed += [y.tobytes() for y in np.split(x[by], first[1:])]
+                buckets += used.tolist()
+                at += [i] * len(used)
+                sigs += [int(mix(x * U(3)).sum(dtype=U).astype(np.int64))] * len(used)
+                sizes += [len(x)] * len(used)
+            yield pa.RecordBatch.from_arrays([pa.array(buckets, pa.int64()), batch.column(1).take(pa.array(at, pa.int64())), pa.array(sigs, pa.int64()), pa.array(sizes, pa.int64()), pa.array(packed, pa.binary())], ["bucket", "id", "sig", "n", "keys"])
+
+    return run
+
+
+def _shared(table: pa.Table) -> pa.Table:
+    """Of a bucket's keys those that several sets have, with the number of these sets."""
+    held = [np.frombuffer(x, dtype=U) for x in table.column("keys").to_pylist()]
+    _, inverse, count = np.unique(np.concatenate(held), return_inverse=True, return_counts=True)
+    often = np.split(count[inverse].astype(np.uint32), np.cumsum([len(x) for x in held])[:-1])
+    keys, counts = [x[c > 1].tobytes() for x, c in zip(held, often, strict=True)], [c[c > 1].tobytes() for c in often]
+    return table.select(["id", "sig", "n"]).append_column("keys", pa.array(keys, pa.binary())).append_column("counts", pa.array(counts, pa.binary()))
+
+
+def _rarest(num: int, den: int):
+    """(id, keys): the rarest keys of each set, of which linked sets have one in common; none if no set can be linked to it.
+
+    Linked sets have num / den of the larger one in common, so in one order of all keys the first
+    n - ceil(n * num / den) + 1 of both meet. The order is by number of sets, so keys of one set come first.
+    """
+
+    def run(table: pa.Table) -> pa.Table:
+        sizes, counts, keys = (table.column(x).to_pylist() for x in ("n", "counts", "keys"))
+        rank = pa.compute.rank(table.column("id").combine_chunks(), tiebreaker="dense").to_pylist()
+        of: dict[tuple, list[int]] = {}
+        for i, own in enumerate(zip(rank, table.column("sig").to_pylist(), strict=True)):
+            of.setdefault(own, []).append(i)
+        at, out = [], []
+        for rows in of.values():
+            x, first = np.unique(np.frombuffer(b"".join(keys[i] for i in rows), dtype=U), return_index=True)
+            c = np.frombuffer(b"".join(counts[i] for i in rows), dtype=np.uint32)[first]
+            n = sizes[rows[0]]
+            if (take := len(x) + (-num * n // den) + 1) > 0:
+                at.append(rows[0])
+                out.append(x[np.lexsort((x, c))[:take]])
+        return pa.table({"id": table.column("id").combine_chunks().take(pa.array(at, pa.int64())), "keys": _lists(out) if out else pa.array([], pa.list_(pa.int64()))})
+
+    return run
+
+
+def _split(stage: Stage, sets: DataFrame, kind: str, num: int, den: int) -> DataFrame:
+    """(id, part) of the sets (group, id, grams) of some groups: no link leaves a part, and what no link reaches has none.
+
+    Sets that share a rare n-gram are tied; each n-gram is counted once and none is compared with another.
+    """
+    total = sets.agg(F.coalesce(F.sum(F.length("grams")), F.lit(0))).first()[0] // 8
+    parts = max(12, -(-total // BUCKET))
+    dealt = sets.select("group", "id", "grams").mapInArrow(_dealt(parts), f"bucket long, id {kind}, sig long, n long, keys binary")
+    counted = dealt.groupBy("bucket").applyInArrow(_shared, f"id {kind}, sig long, n long, keys binary, counts binary")
+    rare = counted.groupBy(F.pmod(F.xxhash64("id"), F.lit(parts)).alias("bucket")).applyInArrow(_rarest(num, den), f"id {kind}, keys array<long>")
+    found = _regions(stage, stage.put(rare, "rare"), "meeting", kind)
+    parts_ = connected_components(found, "id", "pivot", stage, "parts")
+    out = stage.put(parts_.select(F.col("node").alias("id"), F.col("label").alias("part")), "split")
+    stage.drop("rare", "meeting")
+    return out
+
+
 def _ringed(near: DataFrame, sets: DataFrame, kind: str, num: int, den: int, most: int) -> DataFrame:
     """Links within regions of any size: (region, id, n, ring, label) and the sets (id, grams) of n n-grams.
 

@@ -97,6 +97,32 @@ def test_ngram_join_of_crowded_copies(spark, leaf, num, block, monkeypatch):
     first = {r.id: r.representative for r in members.collect()}
     assert [component(first[i], pairs) for i in range(len(sets))] == classes_of(sets, num)
 
+def test_ngram_join_of_a_group_that_pivots_hardly_cut(spark, monkeypatch):
+    from pyspark.sql import functions as F
+
+    from provgraph.llm.shared import Stage
+
+    rng = np.random.default_rng(5)
+    passage = rng.integers(1, 1 << 62, 300).astype(np.uint64)
+    sets = [np.unique(np.concatenate([passage, rng.integers(1, 1 << 62, 200).astype(np.uint64)])) for _ in range(90)]
+    sets += [np.unique(np.append(x[rng.permutation(500)[: 500 - cut]], np.arange(7, dtype=np.uint64))) for x, cut in zip(sets[:12], (5, 60, 111, 112, 113, 114) * 2, strict=True)]
+    sets += [np.unique(np.concatenate([passage, rng.integers(1, 1 << 62, k).astype(np.uint64)])) for k in (0, 20, 30, 40, 60, 76, 80)]
+    carried = spark.createDataFrame([(0, i, x.tobytes()) for i, x in enumerate(sets)] + [(0, 3, sets[3].tobytes()), (0, 4, sets[50].tobytes())], "group long, id long, grams binary").cache()
+    linked = lambda x, y: 100 * (k := len(np.intersect1d(x, y))) >= 80 * (len(x) + len(y) - k)
+    forest = ngram_join.Forest(len(sets))
+    known = [(i, j) for i in range(len(sets)) for j in range(i) if linked(sets[i], sets[j]) or {i, j} & {4} and linked(sets[50], sets[(i + j) - 4])]
+    for i, j in known:
+        forest.tie(i, j)
+    seen, whole = [], ngram_join._ringed
+    monkeypatch.setattr(ngram_join, "_ringed", lambda near, *more: seen.append(near.select("id").distinct().count()) or whole(near, *more))
+    found = ngram_join._large(Stage(spark, "flat"), carried, carried.groupBy("group").agg(F.count("*").alias("count")), "bigint", 80, 100, 16, 4).collect()
+    got = ngram_join.Forest(len(sets))
+    for r in found:
+        assert r.a == r.b or (max(r), min(r)) in known
+        got.tie(r.a, r.b)
+    assert [got.top(i) for i in range(len(sets))] == [forest.top(i) for i in range(len(sets))]
+    assert len(known) > 10 and sum(seen) <= 30  # sets that only share the passage meet nobody
+
 
 def test_ngram_join_rings_with_exact_ties(spark):
     """Crowded regions keep links of exactly the threshold, also from a pivot's members to those at two radii."""
