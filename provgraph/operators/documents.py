@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from provgraph.functions.paths import stem
-from provgraph.operators.similarity import similar_pairs
+from provgraph.operators.similarity import matching_pairs
 
 
 def document_evidence(sources: DataFrame, targets: DataFrame) -> DataFrame:
@@ -15,10 +15,11 @@ def document_evidence(sources: DataFrame, targets: DataFrame) -> DataFrame:
     Contents: similar texts (jaccard of at least 0.15 or containment of a half; at most 0.72), the target's
     very bytes among the media in the source (0.85), media of one fingerprint in both (0.80). Only a pair
     that contents support also gets evidence from an equal stem (0.30) and from times at most an hour
-    apart (0.25). Texts and media meet by equal shingles, digests and fingerprints, never pair by pair.
+    apart (0.25). Texts and media meet by equal shingles, digests and fingerprints, never pair by pair,
+    and texts in cells of bounded size, without a row for each shingle that a pair shares.
     """
     text = lambda df: df.select("id", "text")
-    alike = similar_pairs(text(sources), text(targets))
+    alike = matching_pairs(text(sources), others=text(targets))
     weight = F.least(F.lit(0.72), 0.35 + 0.5 * F.greatest(F.col("jaccard"), 0.65 * F.col("containment")))
     row = lambda df, kind, group, w: df.select("source_id", "target_id", F.lit(kind).alias("kind"), F.lit(group).alias("signal_group"), w.alias("weight"))
     by_text = row(alike.withColumnsRenamed({"a": "source_id", "b": "target_id"}), "normalized-text-similarity", "document-text", weight)

@@ -160,3 +160,28 @@ def test_matching_pairs_against_brute_force(spark, monkeypatch):
         monkeypatch.setattr(similarity, "TEXT_ENTRIES", sizes[1])
         got = similarity.matching_pairs(spark.createDataFrame(list(enumerate(texts)), "id long, text string"))
         assert sorted((r.a, r.b, r.jaccard, r.containment) for r in got.collect()) == sorted(want)
+
+
+def test_matching_pairs_of_two_tables_against_brute_force(spark, monkeypatch):
+    """Ids of both tables may be equal and of other types; equal texts, texts of one table alone and null ids among them."""
+    import random
+
+    from provgraph.operators import similarity
+
+    rng = random.Random(11)
+    base = [rng.choices([f"w{k}" for k in range(300)], k=rng.randint(3, 60)) for _ in range(12)]
+    made = lambda: " ".join(w if rng.random() > 0.04 else f"x{rng.randrange(10**6)}" for w in rng.choice(base))
+    one, two = [made() for _ in range(60)] + ["a b c d e f g", None], [made() for _ in range(50)] + ["a b c d e f g", "", "q r s t u v"]
+    left = spark.createDataFrame([(i, t) for i, t in enumerate(one)] + [(None, one[0])], "id long, text string")
+    right = spark.createDataFrame([(str(i), t) for i, t in enumerate(two)], "id string, text string")
+    sets = lambda t: {tuple(w[i : i + 5]) for w in [(t or "").split()] for i in range(len(w) - 4)}
+    want = {}
+    for i, x in enumerate(map(sets, one)):
+        for j, y in enumerate(map(sets, two)):
+            if x and y and (c := len(x & y)) and (c / len(x | y) >= 0.15 or c / min(len(x), len(y)) >= 0.5):
+                want[i, str(j)] = (round(c / len(x | y), 6), round(c / min(len(x), len(y)), 6))
+    for queries, texts in ((50_000, 400_000), (300, 900)):
+        monkeypatch.setattr(similarity, "QUERY_ENTRIES", queries)
+        monkeypatch.setattr(similarity, "TEXT_ENTRIES", texts)
+        rows = similarity.matching_pairs(left, others=right).collect()
+        assert {(r.a, r.b): (r.jaccard, r.containment) for r in rows} == want and len(rows) == len(want) > 100
