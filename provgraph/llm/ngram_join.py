@@ -42,7 +42,7 @@ import pyarrow.compute  # noqa: F401
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from provgraph.llm.components import connected_components
+from provgraph.llm.components import Forest, connected_components
 from provgraph.llm.shared import Stage
 from provgraph.llm.words import SPACED, U, hashes, mix, slices, spans
 
@@ -66,6 +66,8 @@ BROADCAST = 1_000_000
 BUCKET = 500_000
 #: Times that entries dealt out at once may have a key whose documents are gathered in the key's bucket.
 HOT = 64
+#: Members of candidate regions that are compared by their distances to the fixed pivots in one call.
+TOGETHER = 4096
 #: Part of a region that must go for it to be cut once more by other parts.
 SHRINKS = 0.2
 
@@ -310,26 +312,6 @@ def _carried(width: int):
     return run
 
 
-class Forest:
-    """Which of n things are connected."""
-
-    def __init__(self, n: int):
-        self.up = list(range(n))
-
-    def top(self, i: int) -> int:
-        while self.up[i] != i:
-            self.up[i] = self.up[self.up[i]]
-            i = self.up[i]
-        return i
-
-    def tie(self, i: int, j: int) -> bool:
-        """Connect two; whether they were apart."""
-        a, b = self.top(i), self.top(j)
-        if a != b:
-            self.up[max(a, b)] = min(a, b)
-        return a != b
-
-
 class Postings:
     """An inverted index of sets."""
 
@@ -504,20 +486,26 @@ def _cells(num: int, den: int):
 
 
 def _tied(num: int, den: int):
-    """Members of a region that by their distances to the fixed pivots may be linked, as a spanning forest."""
+    """Members of regions (pivot, id, n_shingles, sketch) that by their distances to the fixed pivots may be linked, as
+    a spanning forest of each region; many regions at once."""
 
     def run(table: pa.Table) -> pa.Table:
-        n = np.array(table.column("n_shingles").to_pylist(), dtype=np.int64)
-        held = np.frombuffer(b"".join(table.column("sketch").to_pylist()), dtype=np.uint8).reshape(-1, PIVOTS).astype(np.int16)
-        forest, a, b = Forest(len(n)), [], []
-        for i in range(len(n) - 1):
-            near = (den + num) * np.abs(held[i + 1 :] - held[i]).sum(axis=1) <= (den - num) * (n[i + 1 :] + n[i])
-            for j in (np.flatnonzero(near) + i + 1).tolist():
-                if forest.tie(i, j):
-                    a.append(i)
-                    b.append(j)
-        ids = table.column("id")
-        return pa.table({"a": ids.take(pa.array(a, pa.int64())), "b": ids.take(pa.array(b, pa.int64()))})
+        pivot = pa.compute.rank(table.column("pivot").combine_chunks(), tiebreaker="dense").to_numpy()
+        by = np.argsort(pivot, kind="stable")
+        n = table.column("n_shingles").to_numpy()[by]
+        held = np.frombuffer(b"".join(table.column("sketch").to_pylist()), dtype=np.uint8).reshape(-1, PIVOTS)[by]
+        ends = np.flatnonzero(np.diff(pivot[by], append=-1)) + 1
+        a, b = [], []
+        for at, end in zip([0, *ends.tolist()], ends.tolist(), strict=False):
+            forest, sizes, counts = Forest(end - at), n[at:end], held[at:end].astype(np.int16)
+            for i in range(end - at - 1):
+                near = (den + num) * np.abs(counts[i + 1 :] - counts[i]).sum(axis=1) <= (den - num) * (sizes[i + 1 :] + sizes[i])
+                for j in (np.flatnonzero(near) + i + 1).tolist():
+                    if forest.tie(i, j):
+                        a.append(at + i)
+                        b.append(at + j)
+        ids, kind = table.column("id").combine_chunks(), pa.int64()
+        return pa.table({"a": ids.take(pa.array(by[np.array(a, dtype=np.int64)], kind)), "b": ids.take(pa.array(by[np.array(b, dtype=np.int64)], kind))})
 
     return run
 
@@ -557,7 +545,8 @@ def ngram_jaccard_join(docs: DataFrame, id_col: str = "doc_id", text_col: str =
         crowded = stage.put(sizes.where(F.col("count") > leaf).select("pivot"), f"crowded{level}")
         part = found.join(crowded, "pivot", "left_anti")
         part = part.unionByName(part.select(F.col("pivot").alias("id"), "pivot").distinct()).join(sketches, "id")
-        tied = part.select("pivot", "id", "n_shingles", "sketch").groupBy("pivot").applyInArrow(_tied(num, den), f"a {kind}, b {kind}")
+        buckets = max(12, found.count() // TOGETHER)
+        tied = part.select("pivot", "id", "n_shingles", "sketch", F.pmod(F.xxhash64("pivot"), F.lit(buckets)).alias("bucket")).groupBy("bucket").applyInArrow(_tied(num, den), f"a {kind}, b {kind}")
         tied = stage.put(tied.distinct(), f"tied{level}")
         ties = tied if ties is None else ties.unionByName(tied)
         large = found.join(crowded, "pivot", "left_semi")
