@@ -44,7 +44,7 @@ from pyspark.sql import functions as F
 
 from provgraph.llm.components import Forest, connected_components
 from provgraph.llm.shared import Stage
-from provgraph.llm.words import SPACED, U, hashes, mix, slices, spans
+from provgraph.llm.words import SPACED, U, hashes, mix, release, slices, spans
 
 #: Ratio of the sizes that a size class holds.
 SIZE_RATIO = 1.7
@@ -174,14 +174,18 @@ def _gathered(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[np.ndarray, p
     """Keys and their ids, from rows (id, keys), about BUCKET at once."""
     keys, ids, held = [], [], 0
     for batch in batches:
-        at = batch.column(1)
-        own = np.repeat(np.arange(batch.num_rows), np.asarray(at.value_lengths().fill_null(0)))
-        keys.append(np.asarray(at.flatten()).view(U))
-        ids.append(batch.column(0).take(pa.array(own)))
-        held += len(own)
-        if held >= BUCKET:
-            yield np.concatenate(keys), pa.concat_arrays(ids)
-            keys, ids, held = [], [], 0
+        ends = np.cumsum(np.asarray(batch.column(1).value_lengths().fill_null(0)), dtype=np.int64)
+        at = 0
+        while at < batch.num_rows:  # a batch of documents may have many times as many keys
+            before = int(ends[at - 1]) if at else 0
+            to = max(at + 1, int(np.searchsorted(ends, before + BUCKET - held, side="right")))
+            own = np.repeat(np.arange(at, to), np.diff(ends[at:to], prepend=before))
+            keys.append(np.asarray(batch.column(1).slice(at, to - at).flatten()).view(U))
+            ids.append(batch.column(0).take(pa.array(own)))
+            held, at = held + len(own), to
+            if held and (held >= BUCKET or to < batch.num_rows):
+                yield np.concatenate(keys), pa.concat_arrays(ids)
+                keys, ids, held = [], [], 0
     if held:
         yield np.concatenate(keys), pa.concat_arrays(ids)
 
@@ -222,6 +226,7 @@ def _deal(buckets: int):
             named = [hot[hot_bucket == x].tobytes() for x in used.tolist()] if len(hot) else [b""] * len(used)
             lists = pa.ListArray.from_arrays(pa.array([*first.tolist(), len(by)], pa.int32()), ids.take(pa.array(by)))
             yield pa.RecordBatch.from_arrays([pa.array(used, pa.int64()), pa.array([packed[a:b] for a, b in zip(bounds, bounds[1:])], pa.binary()), lists, pa.array(named, pa.binary())], ["bucket", "packed", "ids", "hot"])
+        release()
 
     return run
 
@@ -231,6 +236,7 @@ def _meet(parts: int):
     each part of the pivots, packed in lists; and one row, of part -1, with each frequent key and its pivot."""
 
     def run(table: pa.Table) -> pa.Table:
+        release()
         keys = np.frombuffer(b"".join(table.column("packed").to_pylist()), dtype=U)
         ids = pa.concat_arrays([x.flatten() for x in table.column("ids").chunks])
         hot = np.unique(np.frombuffer(b"".join(table.column("hot").to_pylist()), dtype=U))
@@ -269,6 +275,7 @@ def _hashed(ids: pa.Array) -> np.ndarray:
 
 def _merged(table: pa.Table) -> pa.Table:
     """The pairs of all buckets in a part of the pivots, each once."""
+    release()
     flat = lambda name: pa.concat_arrays([x.flatten() for x in table.column(name).chunks])
     both = pa.concat_arrays([flat("ids"), flat("pivots")])
     rank = pa.compute.rank(both, tiebreaker="dense").to_numpy().astype(np.int64).reshape(2, -1)
@@ -429,6 +436,7 @@ def _small(num: int, den: int, few: int):
     """Links of whole groups (group, id, grams), many groups at once."""
 
     def run(table: pa.Table) -> pa.Table:
+        release()
         ids, grams = table.column("id").to_pylist(), _sets(table.column("grams"))
         forest, found, of = Forest(len(ids)), [], {}
         for i, g in enumerate(table.column("group").to_pylist()):
@@ -450,6 +458,7 @@ def _assigned(num: int, den: int):
     radius = 1 - num / den
 
     def run(table: pa.Table) -> pa.Table:
+        release()
         flag = np.array(table.column("is_pivot").to_pylist(), dtype=bool)
         grams, ids = _sets(table.column("grams")), table.column("id").combine_chunks()
         at, own = np.flatnonzero(~flag), np.flatnonzero(flag)
@@ -479,6 +488,7 @@ def _pairs(grams: list[np.ndarray], i: np.ndarray, j: np.ndarray) -> np.ndarray:
 
 def _cells(num: int, den: int):
     def run(table: pa.Table) -> pa.Table:
+        release()
         found = join_cell(table.column("id").to_pylist(), _sets(table.column("grams")), np.array(table.column("home").to_pylist(), dtype=bool), np.array(table.column("block").to_pylist()), table.column("label").to_pylist(), num, den)
         return _links(found, table.schema.field("id").type)
 
@@ -490,6 +500,7 @@ def _tied(num: int, den: int):
     a spanning forest of each region; many regions at once."""
 
     def run(table: pa.Table) -> pa.Table:
+        release()
         pivot = pa.compute.rank(table.column("pivot").combine_chunks(), tiebreaker="dense").to_numpy()
         by = np.argsort(pivot, kind="stable")
         n = table.column("n_shingles").to_numpy()[by]
@@ -651,12 +662,14 @@ def _dealt(parts: int):
                 sigs += [int(mix(x * U(3)).sum(dtype=U).astype(np.int64))] * len(used)
                 sizes += [len(x)] * len(used)
             yield pa.RecordBatch.from_arrays([pa.array(buckets, pa.int64()), batch.column(1).take(pa.array(at, pa.int64())), pa.array(sigs, pa.int64()), pa.array(sizes, pa.int64()), pa.array(packed, pa.binary())], ["bucket", "id", "sig", "n", "keys"])
+        release()
 
     return run
 
 
 def _shared(table: pa.Table) -> pa.Table:
     """Of a bucket's keys those that several sets have, with the number of these sets."""
+    release()
     held = [np.frombuffer(x, dtype=U) for x in table.column("keys").to_pylist()]
     _, inverse, count = np.unique(np.concatenate(held), return_inverse=True, return_counts=True)
     often = np.split(count[inverse].astype(np.uint32), np.cumsum([len(x) for x in held])[:-1])
@@ -672,6 +685,7 @@ def _rarest(num: int, den: int):
     """
 
     def run(table: pa.Table) -> pa.Table:
+        release()
         sizes, counts, keys = (table.column(x).to_pylist() for x in ("n", "counts", "keys"))
         rank = pa.compute.rank(table.column("id").combine_chunks(), tiebreaker="dense").to_pylist()
         of: dict[tuple, list[int]] = {}

@@ -7,6 +7,8 @@ two given words of a corpus collide with a chance of about 2**-64.
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
 from collections.abc import Iterable, Iterator
 
 import numpy as np
@@ -116,6 +118,13 @@ def column_bytes(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return data[offsets[0] : offsets[-1]], offsets - offsets[0]
 
 
+def release() -> None:
+    """Give memory that this worker no longer uses back to the system; a worker stays for later tasks."""
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):  # not every C library has it
+        ctypes.CDLL(None).malloc_trim(0)
+
+
 def slices(batches: Iterator[pa.RecordBatch], column: str, most: int = 1 << 21) -> Iterator[tuple[pa.RecordBatch, np.ndarray, np.ndarray]]:
     """Rows in groups of about ``most`` bytes of text, each row whole, with their bytes and offsets."""
     for batch in batches:
@@ -126,6 +135,8 @@ def slices(batches: Iterator[pa.RecordBatch], column: str, most: int = 1 << 21)
             to = min(to, batch.num_rows)
             yield batch.slice(at, to - at), data[offsets[at] : offsets[to]], offsets[at : to + 1] - offsets[at]
             at = to
+        batch = data = offsets = None
+    release()
 
 
 def texts(batch: pa.RecordBatch, column: str) -> list[str]:

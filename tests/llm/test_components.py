@@ -4,7 +4,7 @@ import numpy as np
 import pyarrow as pa
 import pytest
 
-from provgraph.llm import ngram_join
+from provgraph.llm import ngram_join, words
 from provgraph.llm.components import Forest, connected_components
 from provgraph.llm.shared import Stage
 
@@ -44,3 +44,18 @@ def test_many_candidate_regions_are_compared_in_one_call():
     alone = [x for p in (2, 5, 9) for x in ngram_join._tied(80, 100)(made([r for r in rows if r[0] == p])).to_pylist()]
     assert found == alone and len(found) == 6
     assert all(x["a"] // 100 == x["b"] // 100 and x["a"] % 100 % 3 == x["b"] % 100 % 3 == 0 for x in found)
+
+
+def test_slices_of_no_batches():
+    assert list(words.slices(iter([]), "text")) == []
+
+
+def test_keys_of_one_batch_are_dealt_out_in_bounded_pieces(monkeypatch):
+    monkeypatch.setattr(ngram_join, "BUCKET", 100)
+    sizes = [0, 30, 90, 250, 0, 10, 40, 60, 1]
+    lists = [[1000 * i + k for k in range(n)] for i, n in enumerate(sizes)] + [None]
+    batch = pa.record_batch({"id": pa.array(range(10)), "keys": pa.array(lists, pa.list_(pa.int64()))})
+    got = list(ngram_join._gathered(iter([batch, batch])))
+    assert max(len(k) for k, _ in got) == 250 and sum(len(k) > 100 for k, _ in got) == 2
+    pairs = [(i, int(k)) for keys, ids in got for k, i in zip(keys, ids.to_pylist(), strict=True)]
+    assert pairs == 2 * [(i, k) for i, x in enumerate(lists) for k in x or []]
