@@ -145,3 +145,39 @@ def test_traversals_in_slices_leave_little_on_disk(spark, monkeypatch):
         assert sorted(map(tuple, run().collect())) == rows
     first = graph.impact(edges, roots, depth=3)
     assert first.groupBy("root_id", "target_id").count().where(F.col("count") > 1).isEmpty()
+
+
+def test_stale_chains_are_the_same_by_buckets_by_sorting_and_in_lists(spark, monkeypatch):
+    """Nodes too large for buckets join by sorting, and turns that no number holds are lists: the same rows, also in two parts of a bucket each."""
+    monkeypatch.setitem(globals(), "EDGES", EDGES + [("b", "c", "derived_from", 1.0, "strong-candidate"), ("b", "e", "generated", 0.5, "weak-signal"), ("c", "e", "generated", 0.9, "strong-candidate"), ("e", "d", "used", 0.7, "candidate")])
+    edges = spark.createDataFrame(EDGES, FORM)
+    times = spark.createDataFrame(list(TIMES.items()), "node string, mtime long")
+    for hub, part, depth in ((1_000_000, 3, 5), (0, 3, 5), (3, 3, 5), (1_000_000, 3, 40), (0, 3, 40)):
+        monkeypatch.setattr(graph, "HUB", hub)
+        monkeypatch.setattr(graph, "PART", part)
+        assert sorted(map(tuple, graph.stale_chains(edges, times, depth=depth).collect())) == by_hand(depth), (hub, part, depth)
+    roots = spark.createDataFrame([("b",), ("c",), ("f",), ("c",)], "root_id string")
+    assert sorted(map(tuple, graph.stale_chains(edges, times, roots).collect())) == [r for r in by_hand() if r[0] in "bcf"]
+    assert graph.stale_chains(edges.where("score > 2"), times).isEmpty()
+
+
+def test_stale_chains_store_no_row_for_each_traversed_edge(spark):
+    """Only edges, nodes and the frontiers that are followed twice are stored; ends that nothing leaves, here the leaves, are in none."""
+    from pathlib import Path
+    from urllib.parse import urlparse
+
+    import pyarrow.parquet as pq
+
+    from provgraph.plans.lineage import cut
+
+    cut(spark.range(1)).count()
+    folder = Path(urlparse(spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()).path)
+    stored = lambda: {p: pq.read_metadata(p).num_rows for p in folder.rglob("cuts-*/**/*.parquet")}
+    pairs = [(f"r:{i}", f"m:{j}") for i in range(40) for j in range(40)] + [(f"m:{i}", f"t:{i}:{j}") for i in range(40) for j in range(10)] + [(f"t:{i}:{j}", f"leaf:{i}") for i in range(40) for j in range(10)]
+    edges = spark.createDataFrame([(a, b, "was_generated_by", 1.0, "verified") for a, b in pairs], FORM)
+    times = spark.createDataFrame([(x, len(x)) for x in sorted({x for p in pairs for x in p})], "node string, mtime long")
+    before = stored()
+    got = graph.stale_chains(edges, times)
+    kept = sum(n for p, n in stored().items() if p not in before)
+    rows = got.count()
+    assert rows == 40 * (40 + 400 + 400) + 40 * (10 + 10) + 400 and kept < rows / 5, (rows, kept)
